@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingspark.llm.common import table
+from filingspark.llm.common import crc_bucket, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,50 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingspark.llm import langid
+
+    documents = table(spark, sf_dir, "documents")
+    found = langid.identify(documents, langid.fit(documents, held_out_mod=5))
+    return found.select("doc_id", held_out("doc_id", 5, 0), "lang_pred", "score")
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingspark.llm import topk
+
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingspark.llm import quality
+
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), held_out_mod=4, held_out=2)
+    found = quality.score(documents, model)
+    return found.select("doc_id", held_out("doc_id", 4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingspark.llm import html_main
+
+    return html_main.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingspark.llm import toxicity
+
+    documents = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(documents, table(spark, sf_dir, "labels"), held_out_mod=5, held_out=0)
+    found = toxicity.score(documents, lexicon)
+    return found.select("doc_id", held_out("doc_id", 5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def held_out(key: str, mod: int, remainder: int):
+    return (crc_bucket(F.col(key), mod) == remainder).alias("held_out")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_packing, op5_simhash)
+    f.__name__: f for f in (op1_decontamination, op3_packing, op5_simhash, op6_langid, op7_topk, op8_quality, op9_html_main, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -51,4 +93,10 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORD
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(pos.n_hit, 0)::BIGINT AS n_hit, coalesce(its.n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(its.s, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AND 20 * coalesce(pos.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op7_topk": """
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, i, floor(256 * embedding[i]::DOUBLE)::BIGINT AS x FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM e)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sum(q.x * c.x)::BIGINT AS score FROM v AS q JOIN v AS c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
