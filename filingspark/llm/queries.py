@@ -16,6 +16,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from filingspark.llm import warc
+
+    collection = warc.write(table(spark, sf_dir, "pages"), least=1000)
+    return collection.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from filingspark.llm import packing
 
@@ -76,7 +83,7 @@ def held_out(key: str, mod: int, remainder: int):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_packing, op5_simhash, op6_langid, op7_topk, op8_quality, op9_html_main, op10_toxicity)
+    f.__name__: f for f in (op1_decontamination, op2_warc, op3_packing, op5_simhash, op6_langid, op7_topk, op8_quality, op9_html_main, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,6 +100,11 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORD
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(pos.n_hit, 0)::BIGINT AS n_hit, coalesce(its.n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(its.s, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AND 20 * coalesce(pos.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op2_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN kept <> page_id THEN kept END AS refers_to FROM m""",
     "op7_topk": """
 WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 v AS (SELECT vec_id, i, floor(256 * embedding[i]::DOUBLE)::BIGINT AS x FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM e)),
