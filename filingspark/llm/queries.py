@@ -33,6 +33,16 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer, with_ids=False)
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    from filingspark.llm import lattice_lm
+
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    return lattice_lm.score(table(spark, sf_dir, "documents"), vocabulary, held_out_mod=7, held_out=2)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from filingspark.llm import simhash
 
@@ -83,7 +93,7 @@ def held_out(key: str, mod: int, remainder: int):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_warc, op3_packing, op5_simhash, op6_langid, op7_topk, op8_quality, op9_html_main, op10_toxicity)
+    f.__name__: f for f in (op1_decontamination, op2_warc, op3_packing, op4_lattice_lm, op5_simhash, op6_langid, op7_topk, op8_quality, op9_html_main, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {
