@@ -198,3 +198,15 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             yield to_batch({"doc_id": part.column("doc_id"), "lang_pred": lang, "score": score}, schema)
 
     return docs.mapInArrow(run, f"doc_id {id_type.simpleString()}, lang_pred string, score double")
+
+
+def reject(documents: DataFrame, model: Model, least_share: float) -> DataFrame:
+    """documents, all columns, without those of no language or whose language has a smaller share."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches, "text", 1 << 20):
+            lang, score, _ = shared.value.predict(part.column("text"))
+            yield part.filter(pa.array([x != UND and s >= least_share for x, s in zip(lang, score.tolist())], type=pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

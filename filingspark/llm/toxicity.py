@@ -180,3 +180,14 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield to_batch({"doc_id": part.column("doc_id"), "score": [shared.value.score(t) for t in part.column("text").to_pylist()]}, schema)
 
     return docs.mapInArrow(run, f"doc_id {id_type.simpleString()}, score double")
+
+
+def reject(documents: DataFrame, lexicon: Lexicon, threshold: float) -> DataFrame:
+    """documents, all columns, without those that score threshold or more."""
+    shared = documents.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches, "text"):
+            yield part.filter(pa.array([shared.value.score(t) < threshold for t in part.column("text").to_pylist()], type=pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
