@@ -18,7 +18,10 @@ number times 2**40 plus a count, so they are unique, not dense.
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,26 +34,51 @@ from filingspark.llm.common import text_chunks, to_batch
 END = 1
 
 
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
+_PLAIN = bytes(32 if c == 10 else c for c in range(256))
+_CACHES: dict[str, TokenCache] = {}
+
+
 class TokenCache:
-    """Token ids of a text as little-endian unsigned 32-bit bytes.
+    """Token ids of a text as little-endian unsigned 32-bit bytes, looked up part by part.
 
-    The pre-tokenizer never joins what white space parts, so a text's ids are those of its
-    space-free parts in a row, and parts are looked up in a table of at most `limit` entries."""
+    The pre-tokenizer never joins what a space or line feed parts, nor a letter and a comma or full
+    stop, and lower-cases, so a text's ids are those of its parts in a row. The table holds at most
+    about `limit` parts and lives as long as the Python worker."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it may use
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
 
-    def encode(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        if missing := [p for p in set(parts) if p not in self.known]:
-            if len(self.known) + len(missing) > self.limit:
-                self.known = {}
-                missing = list(set(parts))
-            for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+    @classmethod
+    def of(cls, path: str) -> TokenCache:
+        if path not in _CACHES:
+            _CACHES[path] = cls(path)
+        return _CACHES[path]
+
+    def learn(self, parts: list[bytes]) -> None:
+        core = {p: p[:-1] if p[-1:] in (b",", b".") and 97 <= p[-2] <= 122 else p for p in parts if len(p) > 1} | {p: p for p in parts if len(p) < 2}
+        fresh = list({c for c in [*core.values(), b",", b"."] if c not in self.known})
+        for c, e in zip(fresh, self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)):
+            self.known[c] = np.array(e.ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", e.ids).tobytes()
+        for p, c in core.items():
+            if p is not c:
+                self.known[p] = self.known[c] + self.known[p[-1:]]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Unknown parts of all texts go to the tokenizer in one call. A special token's text is
+        never brought about by lower-casing."""
+        raw = [(t or "").encode() for t in texts]
+        cut = [r.translate(_PLAIN if b"<|" in r else _LOWER).split(b" ") for r in raw]
+        parts = set().union(*cut)
+        missing = [p for p in parts if p not in self.known]
+        if len(self.known) + len(missing) > self.limit:
+            self.known.clear()
+            missing = list(parts)
+        self.learn(missing)
+        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
 
 def cut(length: int, capacity: int, least: int) -> list[int]:
@@ -141,10 +169,10 @@ def pack(documents: DataFrame, tokenizer: str, *, capacity: int = 2048, least: i
         return to_batch(data, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, packer, out = TokenCache(tokenizer), Packer(capacity, TaskContext.get().partitionId() << 40), []
+        cache, packer, out = TokenCache.of(tokenizer), Packer(capacity, TaskContext.get().partitionId() << 40), []
         for part in text_chunks(batches, "text", 2 << 20):
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = cache.encode(text or "") + end
+            for doc, ids in zip(part.column("doc_id").to_pylist(), cache.encode(part.column("text").to_pylist())):
+                ids += end
                 total, start = len(ids) // 4, 0
                 for n in cut(total, capacity, least):
                     out += packer.add((doc, start, ids[4 * start : 4 * (start + n)], total))
