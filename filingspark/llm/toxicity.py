@@ -38,7 +38,7 @@ HOMOGLYPHS = (
     ("υս", "u"), ("ν", "v"), ("ѡω", "w"), ("хχ", "x"), ("уγ", "y"),
 )
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-INVISIBLE = "­​‌‍⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "rodeo clown", "sore loser")
 
 _FOLD: dict[int, str | None] = {ord(c): to for group, to in HOMOGLYPHS for c in group}
