@@ -26,12 +26,12 @@ _PREFIX = r"(?d)(?i)(.*:)|(.+-[ \t\n\f\r])"
 def separators(v: Column, fmt: Column) -> Column:
     """Thousands separators out, the decimal separator to a point, by the transform's local name."""
     dotted = F.translate(F.translate(v, ".", ""), ",", ".")
-    spaced = F.translate(v, "  ", "")
+    spaced = F.translate(v, " \u00a0", "")
     return (
         F.when(fmt == "numdotcomma", dotted)
         .when(fmt == "numspacedot", spaced)
         .when(fmt == "numspacecomma", F.translate(spaced, ",", "."))
-        .otherwise(F.translate(v, ",  ", ""))
+        .otherwise(F.translate(v, ", \u00a0", ""))
     )
 
 
@@ -102,7 +102,7 @@ def normalise_numeric(value: Column, scale: Column, sign: Column, fmt: Column, e
 
 
 # The residue, in Python.
-_PLAIN = re.compile(r"\s*[(]?[-+]?[0-9.,  ]*[)]?\s*\Z", re.A)
+_PLAIN = re.compile(r"\s*[(]?[-+]?[0-9., \u00a0]*[)]?\s*\Z", re.A)
 _RATIO = re.compile(r"([0-9]+)/([0-9]+)\Z", re.A)
 _PREFIXED = re.compile(r"0[xX][0-9a-fA-F]+\Z|0[bB][01]+\Z|0[oO][0-7]+\Z")
 
@@ -112,7 +112,7 @@ def exact_number(value: str, scale: str, sign: str, fmt: str) -> str | None:
     base, or one of so many digits that rounding it needs a long carry. None for any other."""
     if _PLAIN.match(value) and len(value) < 30 and len(scale) < 4:
         return None
-    v = re.sub(r"[   -   　  ]", " ", value).strip()
+    v = re.sub(r"[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\u2028\u2029]", " ", value).strip()
     fl = fmt.strip().lower().rpartition(":")[2]
     v = v.replace(".", "").replace(",", ".") if fl == "numdotcomma" else v.replace(" ", "").replace(",", ".") if fl == "numspacecomma" else v.replace(" ", "") if fl == "numspacedot" else v.replace(",", "").replace(" ", "")
     negative = sign == "-"

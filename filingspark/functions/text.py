@@ -74,7 +74,7 @@ def dimensions_json(dims: Column) -> Column:
     escaped; an empty or null map is the empty text."""
     sorted_map = F.map_from_entries(F.array_sort(F.map_entries(dims)))
     out = F.to_json(sorted_map)
-    for sign, code in (("&", "0026"), ("<", "003c"), (">", "003e"), (" ", "2028"), (" ", "2029")):
+    for sign, code in (("&", "0026"), ("<", "003c"), (">", "003e"), ("\u2028", "2028"), ("\u2029", "2029")):
         out = F.replace(out, F.lit(sign), F.lit(f"\\u{code}"))
     return F.when(F.coalesce(F.size(dims), F.lit(0)) <= 0, F.lit("")).otherwise(out)
 

@@ -18,7 +18,7 @@ from html.entities import name2codepoint
 START, END, TEXT = "start", "end", "text"
 XML_NAMESPACE = "http://www.w3.org/XML/1998/namespace"
 
-_BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
+_BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff\ufffe\uffff]")
 _NAME = re.compile("[A-Za-z0-9_:.\\-\x80-\U0010ffff]+")
 _GAP = re.compile(r"[ \r\n\t]*")
 _ATTRIBUTE = re.compile("[ \r\n\t]*([A-Za-z0-9_:.\\-\x80-\U0010ffff]+)[ \r\n\t]*(?:=[ \r\n\t]*(?:\"([^\"<]*)\"|'([^'<]*)'|([A-Za-z0-9_:\\-]*(?![\"'A-Za-z0-9_:\\-]))))?")
