@@ -19,6 +19,7 @@ number times 2**40 plus a count, so they are unique, not dense.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
 from array import array
@@ -32,25 +33,41 @@ from pyspark.sql import DataFrame
 from filingspark.llm.common import text_chunks, to_batch
 
 END = 1
+_LITTLE = sys.byteorder == "little"
+_PROBES = ["the", "packing", "straße", "élève", "niño", "überzwölf", "xqzjv"]
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
 _PLAIN = bytes(32 if c == 10 else c for c in range(256))
+# Latin words: their lower case is its own normal form, and they are one piece to the pre-tokenizer.
+_WORD = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _CACHES: dict[str, TokenCache] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the
+    next unused one from 256."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class TokenCache:
     """Token ids of a text as little-endian unsigned 32-bit bytes, looked up part by part.
 
     The pre-tokenizer never joins what a space or line feed parts, nor a letter and a comma or full
-    stop, and lower-cases, so a text's ids are those of its parts in a row. The table holds at most
-    about `limit` parts and lives as long as the Python worker."""
+    stop, and lower-cases, so a text's ids are those of its parts in a row. Parts that are Latin
+    words go straight to the tokenizer's model, others through the whole tokenizer. The table holds
+    the first `limit` parts met, the frequent ones among them, and lives as long as the Python
+    worker."""
 
     def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it may use
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.letters = {chr(b): c for b, c in _byte_letters().items()}
+        self.direct = all(self._word(w) == self._ids(e) for w, e in zip(_PROBES, self.tokenizer.encode_batch_fast(_PROBES, add_special_tokens=False)))
 
     @classmethod
     def of(cls, path: str) -> TokenCache:
@@ -58,27 +75,51 @@ class TokenCache:
             _CACHES[path] = cls(path)
         return _CACHES[path]
 
-    def learn(self, parts: list[bytes]) -> None:
-        core = {p: p[:-1] if p[-1:] in (b",", b".") and 97 <= p[-2] <= 122 else p for p in parts if len(p) > 1} | {p: p for p in parts if len(p) < 2}
-        fresh = list({c for c in [*core.values(), b",", b"."] if c not in self.known})
-        for c, e in zip(fresh, self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", e.ids).tobytes()
+    @staticmethod
+    def _ids(encoding) -> bytes:
+        return np.array(encoding.ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.lower().encode().decode("latin-1")))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], dtype="<u4").tobytes()
+
+    def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of unknown parts; those for which there is room are kept."""
+        fresh: dict[bytes, bytes] = {}
+        core = {p: p[:-1] if len(p) > 1 and p[-1] in b",." and 97 <= p[-2] <= 122 else p for p in parts}
+        model = self.tokenizer.model.tokenize if self.direct else None
+        others = []
+        for c in {*core.values(), b",", b"."}:
+            if c in self.known or c in fresh:
+                continue
+            word = c.decode()
+            if model and _WORD.fullmatch(word):
+                if not word.isascii():
+                    word = "".join(map(self.letters.__getitem__, word.lower().encode().decode("latin-1")))
+                fresh[c] = array("I", [t.id for t in model(word)]).tobytes() if _LITTLE else self._word(word)
+            else:
+                others.append(c)
+        for c, e in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)):
+            fresh[c] = self._ids(e)
+        of = lambda c: fresh[c] if c in fresh else self.known[c]
         for p, c in core.items():
             if p is not c:
-                self.known[p] = self.known[c] + self.known[p[-1:]]
+                fresh[p] = of(c) + of(p[-1:])
+        room = self.limit - len(self.known)
+        if room > 0:
+            self.known.update(fresh if len(fresh) <= room else dict(zip(fresh, [*fresh.values()][:room])))
+        return fresh
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Unknown parts of all texts go to the tokenizer in one call. A special token's text is
-        never brought about by lower-casing."""
+        """Ids of texts. A special token's text is never brought about by lower-casing."""
         raw = [(t or "").encode() for t in texts]
         cut = [r.translate(_PLAIN if b"<|" in r else _LOWER).split(b" ") for r in raw]
-        parts = set().union(*cut)
-        missing = [p for p in parts if p not in self.known]
-        if len(self.known) + len(missing) > self.limit:
-            self.known.clear()
-            missing = list(parts)
-        self.learn(missing)
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        known = self.known
+        fresh = self.learn([p for p in set().union(*cut) if p not in known])
+        if len(known) < self.limit:
+            return [b"".join(map(known.__getitem__, c)) for c in cut]
+        return [b"".join([known[p] if p in known else fresh[p] for p in c]) for c in cut]
 
 
 def cut(length: int, capacity: int, least: int) -> list[int]:
