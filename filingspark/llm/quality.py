@@ -163,7 +163,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, *, held
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket(F.col("doc_id"), held_out_mod) != held_out)).select("doc_id", F.col(label).alias("label"))
     totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     base = totals.get(1, 0) / max(1, sum(totals.values())) if totals else 0.5
-    keys = F.broadcast(sample_ids(known, "doc_id", ["label"], per_class).groupBy("doc_id").agg(F.min("label").alias("label")))
+    # Hashes spread evenly, so rows under this share of their range hold the per_class least of each
+    # class; only these few are ranked.
+    place = F.xxhash64(F.col("doc_id").cast("string")) / F.lit(2.0**64) + 0.5
+    share = F.when(F.col("label") == 1, 2.0 * per_class / max(1, totals.get(1, 0))).otherwise(2.0 * per_class / max(1, totals.get(0, 0)))
+    keys = F.broadcast(sample_ids(known.where(place <= share), "doc_id", ["label"], per_class).groupBy("doc_id").agg(F.min("label").alias("label")))
     rows = documents.where(F.length("text") <= train_chars).select("doc_id", "text").join(keys, "doc_id").collect()
     return sorted({(r[0], r[1], r[2]) for r in rows}), base
 
