@@ -93,7 +93,8 @@ def soft_equal(a: Column, b: Column, *, reported: bool = False, wide: bool = Fal
             same = same | truth
         return same
 
-    return let(soft_value(a, reported), lambda x: let(soft_value(b, reported), lambda y: of(x, y)))
+    # equal text needs no more; the rest is looked at only where it differs
+    return F.when(a.eqNullSafe(b), True).otherwise(let(soft_value(a, reported), lambda x: let(soft_value(b, reported), lambda y: of(x, y))))
 
 
 def register(spark: SparkSession) -> None:

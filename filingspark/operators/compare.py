@@ -165,28 +165,38 @@ def mapped_columns(facts: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.select("fact_ord", *PERIOD_KEYS, "column_name", "priority", "grain", transformed(F.col("value"), F.col("transform")).alias("value"))
 
 
-def first_values(mapped: DataFrame, grain: str) -> DataFrame:
-    """Per file, column and, for periodical grain, period: first by priority, then by place."""
-    keys = PERIOD_KEYS if grain == "periodical" else FILE_KEYS
-    order = Window.partitionBy(*keys, "column_name").orderBy("priority", "fact_ord")
-    return mapped.where(F.col("grain") == grain).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+def first_values(mapped: DataFrame) -> DataFrame:
+    """Per file and column - and period, for columns of periodical grain - the first value by
+    priority, then by place. The period of a general column's value is null.
 
-
-def _pivot(best: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    return best.groupBy(*keys).agg(*(F.max(F.when(F.col("column_name") == c, F.col("value"))).alias(c) for c in columns))
+    Rows are dealt by file and company once; the rank, and what later groups by them, stays there."""
+    periodical = F.col("grain") == "periodical"
+    rows = mapped.withColumns({c: F.when(periodical, F.col(c)) for c in ("period_start", "period_end")}).repartition(*FILE_KEYS)
+    order = Window.partitionBy(*PERIOD_KEYS, "grain", "column_name").orderBy("priority", "fact_ord")
+    return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
 def extract_wide(facts: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """Wide rows per file, company and period; a file with general columns alone has one row
-    without a period."""
-    mapped = mapped_columns(facts, mapping if mapping is not None else column_map(facts.sparkSession))
-    periodical, general = first_values(mapped, "periodical"), first_values(mapped, "general")
-    by_period = _pivot(periodical, PERIOD_KEYS, PERIODICAL)
-    by_file = _pivot(general, FILE_KEYS, GENERAL)
-    with_period = by_period.select(*FILE_KEYS).distinct()
-    alone = by_file.join(with_period, [by_file[k].eqNullSafe(with_period[k]) for k in FILE_KEYS], "left_anti").select(*FILE_KEYS)
-    rows = by_period.unionByName(alone, allowMissingColumns=True)
-    return rows.join(by_file, FILE_KEYS, "left").select(*FILE_KEYS, *GENERAL, "period_start", "period_end", *PERIODICAL)
+    without a period. Without a company number a row keeps its file alone, as nothing joins on a
+    missing number: such a file has a row per period, and one more if it has general columns."""
+    best = first_values(mapped_columns(facts, mapping if mapping is not None else column_map(facts.sparkSession)))
+    values = best.groupBy(*PERIOD_KEYS, "grain").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "value"))).alias("m"))
+    general = F.col("grain") == "general"
+    entry = F.struct("period_start", "period_end", "m")
+    files = values.groupBy(*FILE_KEYS).agg(F.collect_list(F.when(~general, entry)).alias("periods"), F.first(F.when(general, F.col("m")), True).alias("general"))
+    named = F.col("company_id").isNotNull()
+    bare = F.transform("periods", lambda x: F.struct(x["period_start"].alias("period_start"), x["period_end"].alias("period_end")))
+    none = F.array(F.struct(F.lit(None).cast("date").alias("period_start"), F.lit(None).cast("date").alias("period_end")))
+    n_rows = F.when(named, F.greatest(F.size("periods"), F.lit(1))).otherwise(F.size(F.array_distinct(F.when(F.col("general").isNotNull(), F.concat(bare, none)).otherwise(bare))))
+    rows = files.select(*FILE_KEYS, F.when(named, F.col("general")).alias("g"), F.when(named, F.col("periods")).alias("periods"), F.explode(F.sequence(F.lit(0), n_rows - 1)).alias("i")).withColumn("p", F.get("periods", F.col("i")))
+    return rows.select(
+        *FILE_KEYS,
+        *(F.try_element_at("g", F.lit(c)).alias(c) for c in GENERAL),
+        F.col("p.period_start").alias("period_start"),
+        F.col("p.period_end").alias("period_end"),
+        *(F.try_element_at("p.m", F.lit(c)).alias(c) for c in PERIODICAL),
+    )
 
 
 def paired_rows(oracle: DataFrame, own: DataFrame) -> DataFrame:
@@ -213,29 +223,48 @@ def cells(paired: DataFrame, spec: DataFrame | None = None) -> DataFrame:
     return rows.join(small(spec), rows["col"] == spec["column_name"]).drop("column_name")
 
 
+def _differs(kind: Column, o: Column, e: Column) -> Column:
+    """A cell counts: must columns where the oracle has a value, observed columns where both have
+    one, unless the values are softly equal."""
+    counts = ((kind == "must") & ~soft.empty_value(o)) | ((kind == "observe") & ~soft.empty_value(o) & ~soft.empty_value(e))
+    return counts & ~soft.soft_equal(o, e, wide=True)
+
+
 def cell_diffs(cell: DataFrame) -> DataFrame:
-    """Cells of paired rows that differ: must columns where the oracle has a value, observed columns
-    where both have one."""
-    o, e = F.col("o_val"), F.col("e_val")
-    counts = ((F.col("kind") == "must") & ~soft.empty_value(o)) | ((F.col("kind") == "observe") & ~soft.empty_value(o) & ~soft.empty_value(e))
-    return cell.where(F.col("has_oracle") & F.col("has_extract") & counts & ~soft.soft_equal(o, e, wide=True)).select("source_file", "period_start", "period_end", "col", "o_val", "e_val", "kind")
+    """Cells of paired rows that differ."""
+    return cell.where(F.col("has_oracle") & F.col("has_extract") & _differs(F.col("kind"), F.col("o_val"), F.col("e_val"))).select("source_file", "period_start", "period_end", "col", "o_val", "e_val", "kind")
 
 
 def oracle_only_must(cell: DataFrame) -> DataFrame:
     return cell.where(F.col("has_oracle") & ~F.col("has_extract") & (F.col("kind") == "must") & ~soft.empty_value(F.col("o_val"))).select("source_file", "period_start", "period_end").distinct()
 
 
-def per_file(files: DataFrame, oracle: DataFrame, own: DataFrame, paired: DataFrame, diffs: DataFrame, only: DataFrame) -> DataFrame:
-    """Counts per file of rows, pairs, leftovers and mismatches; files without any have zeros."""
-    count = lambda df, name, when=F.lit(True): df.groupBy("source_file").agg(F.count_if(when).alias(name))
+def per_file(files: DataFrame, oracle: DataFrame, own: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+    """Counts per file of rows, pairs, leftovers and mismatches; files without any have zeros.
+    Mismatches are counted inside each pair's row, so cells are not exploded. kinds: how each column
+    counts."""
+    kinds = kinds or {r["column_name"]: r["kind"] for r in fixed_values.rows(fixed_values.COMPARE_SPEC)}
+    paired = paired_rows(oracle, own)
+
+    def mismatches(kind: str) -> Column:
+        columns = [c for c in COMPARED if kinds.get(c) == kind]
+        pairs = F.array(*(F.struct(F.col(f"o_{c}").cast("string").alias("o"), F.col(f"e_{c}").cast("string").alias("e")) for c in columns))
+        return F.size(F.filter(pairs, lambda x: _differs(F.lit(kind), x["o"], x["e"]))) if columns else F.lit(0)
+
+    both = F.col("has_oracle") & F.col("has_extract")
+    must_values = F.exists(F.array(*(F.col(f"o_{c}").cast("string") for c in COMPARED if kinds.get(c) == "must")), lambda v: ~soft.empty_value(v))
+    only = F.col("has_oracle") & ~F.col("has_extract")
     pair = paired.groupBy("source_file").agg(
-        F.count_if(F.col("has_oracle") & F.col("has_extract")).alias("paired_rows"),
-        F.count_if(F.col("has_oracle") & ~F.col("has_extract")).alias("oracle_only_rows"),
+        F.count_if(both).alias("paired_rows"),
+        F.count_if(only).alias("oracle_only_rows"),
         F.count_if(F.col("has_extract") & ~F.col("has_oracle")).alias("extract_only_rows"),
+        F.sum(F.when(both, mismatches("must")).otherwise(0)).alias("must_mismatches"),
+        F.sum(F.when(both, mismatches("observe")).otherwise(0)).alias("observe_mismatches"),
+        F.count_distinct(F.when(only & must_values, F.struct(F.coalesce("o_period_start", "e_period_start"), F.coalesce("o_period_end", "e_period_end")))).alias("oracle_only_must_rows"),
     )
-    off = diffs.groupBy("source_file").agg(F.count_if(F.col("kind") == "must").alias("must_mismatches"), F.count_if(F.col("kind") == "observe").alias("observe_mismatches"))
+    count = lambda df, name: df.groupBy("source_file").agg(F.count(F.lit(1)).alias(name))
     out = files.select("source_file").distinct()
-    for part in (count(oracle, "oracle_rows"), count(own, "extract_rows"), pair, off, count(only, "oracle_only_must_rows")):
+    for part in (count(oracle, "oracle_rows"), count(own, "extract_rows"), pair):
         out = out.join(part, "source_file", "left")
     return out.select("source_file", *(F.coalesce(c, F.lit(0)).alias(c) for c in out.columns if c != "source_file"))
 
@@ -254,3 +283,28 @@ def file_status(by_file: DataFrame) -> DataFrame:
         .otherwise("OK")
     )
     return by_file.withColumn("status", status)
+
+
+def classify_run(statuses: DataFrame, unmapped_rows: int = 0) -> DataFrame:
+    """One row, `status`, of a whole comparison: the worst of its files; ERROR without files, FAIL if
+    rows of the oracle belong to no file."""
+    has = lambda s: F.count_if(F.col("status") == s) > 0
+    worst = F.when(F.count(F.lit(1)) == 0, "ERROR").when(F.lit(unmapped_rows) > 0, "FAIL")
+    for s in ("ERROR", "FAIL", "OK_SOFT"):
+        worst = worst.when(has(s), s)
+    return statuses.agg(worst.otherwise("OK").alias("status"))
+
+
+def attach_files(oracle: DataFrame, files: DataFrame) -> DataFrame:
+    """The other source's rows (company_id, run_code, date, ...) with the source_file they came from,
+    by file_map rows (file_company_id, run_code, file_date, source_file); null where none fits."""
+    keys = files.select(F.col("file_company_id").alias("_id"), F.col("run_code").alias("_code"), F.col("file_date").cast("date").alias("_date"), "source_file")
+    on = (F.trim(oracle["company_id"].cast("string")) == F.col("_id")) & (F.trim(oracle["run_code"].cast("string")) == F.col("_code")) & soft.to_date(oracle["date"].cast("string")).eqNullSafe(F.col("_date"))
+    return oracle.join(keys, on, "left").drop("_id", "_code", "_date")
+
+
+def release_check(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Facts that two runs do not share, as multisets: side, n, and the facts' columns."""
+    a, b = before.select(FACT.names), after.select(FACT.names)
+    lost = a.exceptAll(b).withColumn("side", F.lit("before"))
+    return lost.unionByName(b.exceptAll(a).withColumn("side", F.lit("after"))).groupBy("side", *FACT.names).agg(F.count(F.lit(1)).alias("n"))
