@@ -28,14 +28,26 @@ _PARAMETER = re.compile(r"\b(version|encoding)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
 _PREDEFINED = {"lt": "<", "gt": ">", "amp": "&", "apos": "'", "quot": '"'}
 
 
+# A tag as most are: ASCII names, quoted values without references. Others take the long way.
+_ASCII_NAME = r"([A-Za-z_][\w.\-]*)(?::([A-Za-z_][\w.\-]*))?"
+_PAIR = r"[ \r\n\t]+[A-Za-z_][\w.\-]*(?::[A-Za-z_][\w.\-]*)?[ \r\n\t]*=[ \r\n\t]*(?:\"[^\"<&\r]*\"|'[^'<&\r]*')"
+_TAG = re.compile(rf"</{_ASCII_NAME}[ \r\n\t]*>|<{_ASCII_NAME}((?:{_PAIR})*)[ \r\n\t]*(/?)>", re.A)
+_VALUE = re.compile(r"([A-Za-z_][\w.\-]*)(?::([A-Za-z_][\w.\-]*))?[ \r\n\t]*=[ \r\n\t]*(?:\"([^\"]*)\"|'([^']*)')", re.A)
+_RESERVED = frozenset(("xml", "xmlns"))
+
+
 class MarkupError(ValueError):
     """A document that the reader rejects."""
 
 
 class Reader:
-    """Tokens of one document. Between tokens `ns` holds the bindings in scope."""
+    """Tokens of one document. Between tokens `ns` holds the bindings in scope.
+
+    Elements of the namespace `quiet` that declare no namespace are checked but not told, nor is
+    text, while `listening` is false; their ends and text are told while it is true."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, quiet: str | None = None):
+        self.quiet, self.listening = quiet, quiet is None
         self.doc = data.decode("utf-8", "surrogateescape")
         self.clean = not _BAD.search(self.doc)
         self.ns: dict[str, str] = {}
@@ -112,22 +124,41 @@ class Reader:
         """(START, namespace, local, attributes), (END, namespace, local) and (TEXT, text, place,
         decoded). Attributes are (prefix, local, value) in order."""
         doc, at, size = self.doc, 0, len(self.doc)
+        tag, ns, stack, quiet = _TAG.match, self.ns, self.open, self.quiet
+        plain_text = self.clean and "]]>" not in doc
         while at < size:
             lt = doc.find("<", at)
             end = size if lt < 0 else lt
             if end > at:
-                run = doc[at:end]
-                if "]]>" in run:
-                    raise self.fail(at + run.index("]]>"), "unescaped ]]> not in CDATA section")
-                self.check(run, at)
-                if "&" in run:
-                    if lt < 0 and _CUT_OFF.search(run):
-                        raise self.cut_off()
-                    if "&#" in run:
-                        self.decode(run, at)
-                yield TEXT, run, at, False
+                if not plain_text or lt < 0 or doc.find("&#", at, end) >= 0:
+                    self.check_text(at, end, lt < 0)
+                if self.listening:
+                    yield TEXT, doc[at:end], at, False
                 at = end
                 continue
+            m = tag(doc, at) if self.clean else None
+            if m:
+                prefix, local = m.group(1, 2) if m[1] else m.group(3, 4)
+                prefix, local = (prefix, local) if local else ("", prefix)
+                if m[1]:
+                    if stack and not stack[-1][2] and stack[-1][1] == local and stack[-1][0] == prefix and prefix not in _RESERVED:
+                        stack.pop()
+                        space = ns.get(prefix, prefix)
+                        if self.listening or space != quiet:
+                            yield END, space, local
+                        at = m.end()
+                        continue
+                elif "xmlns" not in m[5] and prefix not in _RESERVED and local != "xmlns" and m.end() < size:
+                    space = ns.get(prefix, prefix)
+                    if space != quiet:
+                        attributes = [(p, n, v if v is not None else w) if n else ("", p, v if v is not None else w) for p, n, v, w in (x.groups() for x in _VALUE.finditer(m[5]))]
+                        yield START, space, local, attributes
+                    if not m[6]:
+                        stack.append((prefix, local, ()))
+                    elif self.listening or space != quiet:
+                        yield END, space, local
+                    at = m.end()
+                    continue
             at += 1
             if at >= size:
                 raise self.cut_off()
@@ -152,6 +183,16 @@ class Reader:
         if self.open:
             raise self.cut_off()
 
+    def check_text(self, at: int, end: int, last: bool) -> None:
+        run = self.doc[at:end]
+        if "]]>" in run:
+            raise self.fail(at + run.index("]]>"), "unescaped ]]> not in CDATA section")
+        self.check(run, at)
+        if last and "&" in run and _CUT_OFF.search(run):
+            raise self.cut_off()
+        if "&#" in run:
+            self.decode(run, at)
+
     def start_tag(self, at: int) -> Iterator[tuple]:
         doc = self.doc
         at, prefix, local = self.name(at, "expected element name after <")
