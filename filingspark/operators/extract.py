@@ -66,7 +66,8 @@ def bind(documents: DataFrame) -> DataFrame:
 
 def facts_of(bound: DataFrame, *, with_order: bool = False) -> DataFrame:
     """Long facts, nine text columns; with_order adds each fact's place in its document."""
-    rows = bound.select(F.posexplode("facts").alias("fact_ord", "f"))
+    # The outer form: for the plain one the optimizer adds filters that compute the array again.
+    rows = bound.select(F.posexplode_outer("facts").alias("fact_ord", "f")).where(F.col("fact_ord").isNotNull())
     return rows.select(*(F.col("f")[n].alias(n) for n in FACT.names), *([F.col("fact_ord")] * with_order))
 
 

@@ -134,7 +134,7 @@ def headcount_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<xbrli:unit id="p"><xbrli:measure>xbrli:pure</xbrli:measure></xbrli:unit><ix:nonFraction name="core:AverageNumberEmployeesDuringPeriod" unitRef="p" scale="-2" decimals="2">', (F.col("o_custkey") % 500 + 1).cast("string"), "</ix:nonFraction>", _TAIL,
     )
     bound = E.bind(parse_documents(members(spark, sf_dir, *body)))
-    return bound.select("source_file", "corrections", F.explode("facts").alias("f")).where("f.concept = 'AverageNumberEmployeesDuringPeriod'").select("source_file", "corrections", F.col("f.value").alias("value"))
+    return bound.select("source_file", "corrections", F.explode_outer("facts").alias("f")).where("f.concept = 'AverageNumberEmployeesDuringPeriod'").select("source_file", "corrections", F.col("f.value").alias("value"))
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
