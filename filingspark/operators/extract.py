@@ -51,7 +51,9 @@ def bind(documents: DataFrame) -> DataFrame:
     kept = F.filter("facts", lambda f: (f["name"] != "") & (~F.col("only_ukfrs") | (f["target"] == TARGET)))
     gate = producer_gate(F.col("producer"), F.col("producer_version"))
     bound = F.transform(kept, lambda f: _bound(f, F.col("contexts"), F.col("units"), F.col("gate"), F.col("source_file")))
-    rows = documents.withColumn("gate", gate).select("source_file", "error", bound.alias("facts"))
+    # One generated row per document holds its facts, so that what follows reads them and does not
+    # compute them again.
+    rows = documents.withColumn("gate", gate).select("source_file", "error", F.explode_outer(F.array(bound)).alias("facts"))
     failure = F.get(F.filter(F.transform("facts", lambda f: f["failure"]), lambda x: x.isNotNull()), F.lit(0))
     error = F.coalesce("error", F.concat(failure, F.lit(" in "), "source_file"), F.when(F.size("facts") == 0, F.concat(F.lit("no facts extracted from "), "source_file")))
     rows = rows.withColumn("error", error)
