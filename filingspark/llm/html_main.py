@@ -50,27 +50,49 @@ _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"(
 _WORD = re.compile(r"[A-Za-z]+")
 
 
-def _furniture(tag: str, attributes: str) -> bool:
+ARTICLE, LOOSE, NO, SOFT, MARKED = range(5)
+
+# Words that a wrapper of the article may hold too ("page with-sidebar"): main or article inside
+# such an element is the article all the same. Inside an article they mark nothing.
+WRAPPERS = frozenset("header masthead sidebar rail nav navbar navigation menu banner footer search tags alert overlay social widget widgets toolbar".split())
+KEPT_INSIDE = frozenset("header masthead alert tags".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply".split())
+
+
+def _furniture(tag: str, attributes: str, inside: bool) -> int:
+    """How an element marks itself as furniture: MARKED, SOFT (by a word that wrappers hold too) or
+    0. inside: it stands in an article."""
     if tag in DROP:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0 if inside and tag in ("header", "figure") else MARKED
+    if not attributes or tag in ("html", "body", "main"):
+        return 0
+    soft = 0
     for m in _NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role" and value in ROLES or name == "hidden" and not value.startswith("until"):
-            return True
+            return MARKED
         if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id") and any(w in FURNITURE for w in _WORD.findall(value)):
-            return True
-    return False
+            return MARKED
+        if name in ("class", "id"):
+            words = set(_WORD.findall(value))
+            if tag == "article":
+                if words & COMMENTS:
+                    return MARKED
+                continue
+            words &= FURNITURE
+            if inside:
+                words -= KEPT_INSIDE
+            if words - WRAPPERS or words and inside:
+                return MARKED
+            soft = SOFT if words else soft
+    return soft
 
 
-ARTICLE, LOOSE, MARKED, NO = range(4)
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
-    """(text, kind) of the blocks in page order; kind is ARTICLE, LOOSE or MARKED (as furniture)."""
+    """(text, kind) of the blocks in page order; kind is ARTICLE, LOOSE, or SOFT or MARKED as
+    furniture."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # tag, kind outside it
@@ -109,7 +131,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
         else:
-            marked = _furniture(tag, m[3]) and not (tag in ("header", "figure") and kind == ARTICLE)
+            marked = _furniture(tag, m[3], kind == ARTICLE)
             if tag in BLOCK or marked:
                 flush()
             if tag == "p" and stack and stack[-1][0] == "p":
@@ -119,8 +141,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             stack.append((tag, kind))
             if tag == "head":
                 kind = NO
-            elif kind in (ARTICLE, LOOSE):
-                kind = MARKED if marked else ARTICLE if tag in ("article", "main") else kind
+            elif kind in (ARTICLE, LOOSE, SOFT):
+                kind = marked if marked else ARTICLE if tag in ("article", "main") else kind
     flush()
     return out
 
@@ -178,7 +200,7 @@ def parse(pages: DataFrame) -> DataFrame:
             found = [blocks(h) for h in part.column("html").to_pylist()]
             urls = part.column("url").to_pylist()
             keys = [url_key(u) for u in urls]
-            yield to_batch({"page_id": part.column("page_id"), "url": urls, "host": [k[0] for k in keys], "path": [k[1] for k in keys], "article": [[x for x, k in f if k == ARTICLE] for f in found], "others": [[x for x, k in f if k != ARTICLE] for f in found], "marked": [[k == MARKED for _, k in f if k != ARTICLE] for f in found]}, _KEY)
+            yield to_batch({"page_id": part.column("page_id"), "url": urls, "host": [k[0] for k in keys], "path": [k[1] for k in keys], "article": [[x for x, k in f if k == ARTICLE] for f in found], "others": [[x for x, k in f if k != ARTICLE] for f in found], "marked": [[k != LOOSE for _, k in f if k != ARTICLE] for f in found]}, _KEY)
 
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, url string, host string, path string, article array<string>, others array<string>, marked array<boolean>")
 

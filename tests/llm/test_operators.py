@@ -369,6 +369,9 @@ def test_main_text_blocks():
     assert [x for x, k in blocks(page) if k == MARKED] == ["m", "ad", "f", "s", "c", "©"]
     assert blocks(None) == blocks("") == [] and blocks("plain < text")[0][0] == "plain < text"
     assert blocks("<p>a<" + "b" * 50000)
+    kept = lambda page: [x for x, k in blocks(page) if k == ARTICLE]
+    assert kept("<body class=nav><div class='with-sidebar'><p>s</p><article><div class='entry-header'><h1>T</h1></div><p>x</p><div class=share>n</div></article></div>") == ["T", "x"]
+    assert kept("<main><p>x</p></main><section id=comments><article><p>no</p></article></section><aside><article>no</article></aside><article class='comment c2'>no</article>") == ["x"]
 
 
 def brute_lcs(a, b):
