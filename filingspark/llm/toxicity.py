@@ -46,8 +46,10 @@ _FOLD |= {ord(c): None for c in INVISIBLE}
 _FOLD |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _ODD = re.compile(f"[{''.join(map(chr, _FOLD))}]")
 _SUB = str.maketrans(SUBSTITUTES)
-# a substitute counts only in a token that holds a letter
-_MIXED = re.compile(r"[^\W\d_]*[013457@$]+(?:[^\W\d_][013457@$]*)+|[^\W\d_]+[013457@$]+")
+# A run of letters, digits and signs that holds a substitute, from its beginning; possessive, so that
+# long runs cost their length. The substitute counts if the run holds a letter.
+_MIXED = re.compile(r"(?<![\w@$])[^\W\d]*+[013457@$][\w@$]*+")
+_LETTER = re.compile(r"[^\W\d_]")
 _DIGIT = re.compile(r"[013457@$]")
 _BREAK = re.compile(r"[^\w]+|_+")
 
@@ -57,7 +59,7 @@ def fold(text: str | None) -> str:
     if _ODD.search(text):
         text = text.translate(_FOLD)
     if _DIGIT.search(text):
-        text = _MIXED.sub(lambda m: m[0].translate(_SUB), text)
+        text = _MIXED.sub(lambda m: m[0].translate(_SUB) if _LETTER.search(m[0]) else m[0], text)
     return text
 
 
@@ -126,8 +128,8 @@ def log_odds(toxic: int, clean: int, n_toxic: int, n_clean: int, z: float = 1.64
 
 
 def train(texts: list[str], labels: list[int], *, stem_sizes: tuple[int, ...] = (4, 5, 6), least: int = 5, least_odds: float = 1.8, most: int = 5000) -> Lexicon:
-    """Entries in at least `least` toxic documents whose log-odds are surely at least least_odds;
-    at most `most` of each kind, the heaviest. A stem is left out if one word makes up half of it,
+    """Entries in at least `least` toxic documents, after at least as many different words, whose
+    log-odds are surely at least least_odds; at most `most` of each kind, the heaviest. A stem is left out if one word makes up half of it,
     or if a longer stem holds nearly all of it."""
     n = [labels.count(0), labels.count(1)]
     lexicon = Lexicon()
@@ -147,6 +149,18 @@ def train(texts: list[str], labels: list[int], *, stem_sizes: tuple[int, ...] =
         return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:most])
 
     lexicon.words, found = chosen(words), chosen(stems)
+    # In copies of one document a rare word always stands after the same word.
+    after: dict[str, set[str]] = {}
+    for text, label in zip(texts, labels):
+        row = words_of(text).split() if label else []
+        for before, w in zip(["", *row], row):
+            if w in lexicon.words:
+                after.setdefault(f" {w} ", set()).add(before)
+            for k in stem_sizes:
+                if len(w) > k and w[:k] in found:
+                    after.setdefault(f" {w[:k]}", set()).add(before)
+    lexicon.words = {t: w for t, w in lexicon.words.items() if len(after[f" {t} "]) >= least}
+    found = {t: w for t, w in found.items() if len(after[f" {t}"]) >= least}
     longest_word, longer = Counter(), Counter()
     for t, c in words[1].items():
         for k in stem_sizes:
