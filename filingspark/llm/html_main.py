@@ -45,7 +45,11 @@ FURNITURE = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login form search skip toolbar tags tagcloud".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Possessive and bounded, so that broken markup costs no more than its length. The second form of a
+# tag takes what the first refuses: a quote that never ends, or a very long value.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S
+)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
@@ -96,7 +100,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # tag, kind outside it
-    kind, at, page = LOOSE, 0, page or ""
+    kind, at, page = LOOSE, 0, (page or "").replace("\0", " ")
+    stop = page.rfind(">") + 1  # no tag ends after that
 
     def flush() -> None:
         if text:
@@ -105,17 +110,18 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             text.clear()
 
     while True:
-        m = _TOKEN.search(page, at)
-        text.append(page[at : m.start() if m else len(page)])
+        m = _TOKEN.search(page, at, stop)
+        text.append(page[at : m.start() if m else len(page)].partition("<!--" if not m else "\0")[0])
         if not m:
             break
-        at, tag = m.end(), (m[2] or "").lower()
+        closing, tag, attributes = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], (m[5] or "").lower(), m[6] or "")
+        at = m.end()
         if not tag:
             if m[0].startswith("<![CDATA["):
                 text.append(_html.escape(m[0][9:].removesuffix("]]>")))
         elif tag == "br":
             text.append(" ")
-        elif m[1]:  # an end tag closes what is open inside its element
+        elif closing:  # an end tag closes what is open inside its element
             if any(t == tag for t, _ in stack):
                 flush()
                 while stack:
@@ -127,16 +133,16 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         elif tag in RAW:
             if tag in BLOCK and tag not in INLINE:
                 flush()
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
         else:
-            marked = _furniture(tag, m[3], kind == ARTICLE)
+            marked = _furniture(tag, attributes, kind == ARTICLE)
             if tag in BLOCK or marked:
                 flush()
             if tag == "p" and stack and stack[-1][0] == "p":
                 kind = stack.pop()[1]
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK or not (tag in BLOCK or marked):
+            if tag in VOID or attributes.endswith("/") and tag not in BLOCK or not (tag in BLOCK or marked):
                 continue
             stack.append((tag, kind))
             if tag == "head":
