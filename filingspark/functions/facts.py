@@ -25,7 +25,8 @@ def normalise_text(value: Column, fmt: Column) -> Column:
     def of(fl: Column) -> Column:
         return F.when(fl == "booleantrue", fixed("true")).when(fl == "booleanfalse", fixed("false")).when(fl == "nocontent", fixed("")).otherwise(let(text, lambda t: transform_date(fl, t)))
 
-    return let(format_local(fmt), of)
+    plain = F.struct(collapse_spaces(F.coalesce(value, F.lit(""))).alias("value"), F.lit(False).alias("failed"))
+    return F.when(F.coalesce(fmt, F.lit("")) == "", plain).otherwise(let(format_local(fmt), of))
 
 
 def is_headcount(concept: Column) -> Column:
@@ -56,11 +57,12 @@ def displayed_integer(value: Column, fmt: Column) -> Column:
 def correct_headcount(concept: Column, scale: Column, unit: Column, value: Column, fmt: Column, sign: Column, gate: Column) -> Column:
     """struct(scale, sign, corrected): a positive headcount loses a tagged minus; from the known
     producer (gate), a whole headcount with scale -2 and a pure unit is taken as displayed."""
-    head = is_headcount(concept)
+    same = F.struct(scale.alias("scale"), sign.alias("sign"), F.lit(False).alias("corrected"))
     minus = trim_space(F.coalesce(sign, F.lit(""))) == "-"
-    drop = minus & head & displayed_positive(value, fmt)
-    rescale = gate & head & (trim_space(F.coalesce(scale, F.lit(""))) == "-2") & is_pure(F.coalesce(unit, F.lit(""))) & (~minus | drop) & displayed_integer(value, fmt)
-    return F.struct(F.when(rescale, F.lit("0")).otherwise(scale).alias("scale"), F.when(drop, F.lit("")).otherwise(sign).alias("sign"), (drop | rescale).alias("corrected"))
+    drop = minus & displayed_positive(value, fmt)
+    rescale = gate & (trim_space(F.coalesce(scale, F.lit(""))) == "-2") & is_pure(F.coalesce(unit, F.lit(""))) & (~minus | drop) & displayed_integer(value, fmt)
+    fixed = F.struct(F.when(rescale, F.lit("0")).otherwise(scale).alias("scale"), F.when(drop, F.lit("")).otherwise(sign).alias("sign"), (drop | rescale).alias("corrected"))
+    return F.when(is_headcount(concept), fixed).otherwise(same)
 
 
 def producer_gate(name: Column, version: Column) -> Column:

@@ -98,7 +98,11 @@ def normalise_numeric(value: Column, scale: Column, sign: Column, fmt: Column, e
         known = let(start, lambda v: F.when(v.isin(*DASHES) | (f == "zerodash"), F.lit("0")).otherwise(strip_prefix(v)))
         return let(known, lambda v: let(separators(v, f), bracketed))
 
-    return let(fl, with_format)
+    # Most numbers are plain digits and thousands commas, without sign, scaled by zeros if at all.
+    zeros = F.coalesce(scale, F.lit(""))
+    digits = F.coalesce(value, F.lit("")).rlike(r"\A[1-9][0-9,]{0,17}\z") & zeros.rlike(r"\A[0-9]?\z")
+    usual = digits & (F.coalesce(sign, F.lit("")) == "") & ~F.lower(F.coalesce(fmt, F.lit(""))).rlike("numdotcomma|numspace|zerodash")
+    return F.when(usual, F.rpad(F.translate(value, ",", ""), F.length(F.translate(value, ",", "")) + F.coalesce(zeros.try_cast("int"), F.lit(0)), "0")).otherwise(let(fl, with_format))
 
 
 # The residue, in Python.
