@@ -117,17 +117,17 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> int:
 
 
 def _raw_schema(id_type: pa.DataType, item_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("doc_id", id_type), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(item_type))])
+    return pa.schema([("doc_id", id_type), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(item_type))])
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 32 << 20) -> DataFrame:
     """Per document: doc_id, n_words, spans (merged [first, end) word ranges), items (sorted as
     strings). documents needs doc_id and text, benchmark item_id and text."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text")
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     bench = benchmark.select("item_id", "text")
     n_blocks = _blocks(bench, block_chars)
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, spans array<array<bigint>>, items array<{bench.schema['item_id'].dataType.simpleString()}>"
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash bigint, n_words bigint, spans array<array<bigint>>, items array<{bench.schema['item_id'].dataType.simpleString()}>"
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = _raw_schema(to_arrow_type(docs.schema["doc_id"].dataType), to_arrow_type(bench.schema["item_id"].dataType))
@@ -139,25 +139,27 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_c
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in text_chunks(batches, "text"):
                 lengths, spans, items = index.value.scan(part.column("text").to_pylist())
-                yield to_batch({"doc_id": part.column("doc_id"), "n_words": lengths, "spans": [merge_spans(s) for s in spans], "items": [sorted(x, key=str) for x in items]}, schema)
+                yield to_batch({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n_words": lengths, "spans": [merge_spans(s) for s in spans], "items": [sorted(x, key=str) for x in items]}, schema)
 
         return docs.mapInArrow(run, ddl)
 
     found = scanner(0)
     if n_blocks == 1:
-        return found
-    # Every pass reads all documents; after the first, only documents with hits come out.
-    # Repeated doc_ids are told apart by nothing here, so their passes merge per doc_id.
+        return found.drop("text_hash")
+    # Every pass reads all documents; after the first, only documents with hits come out. Rows of
+    # equal id and text have equal hits, so they meet as one and come apart again by their number.
+    found = found.withColumn("rows", F.lit(1))
     for block in range(1, n_blocks):
-        found = found.unionByName(scanner(block).where(F.size("spans") > 0))
+        found = found.unionByName(scanner(block).where(F.size("spans") > 0).withColumn("rows", F.lit(0)))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = [merge_spans((s[0], s[1] - s[0]) for s in x) for x in b.column("spans").to_pylist()]
             items = [sorted(set(x), key=str) for x in b.column("items").to_pylist()]
-            yield to_batch({"doc_id": b.column("doc_id"), "n_words": b.column("n_words"), "spans": spans, "items": items}, schema)
+            yield to_batch({"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "n_words": b.column("n_words"), "spans": spans, "items": items}, schema)
 
-    return found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).mapInArrow(merged, ddl)
+    whole = found.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"), F.sum("rows").alias("rows"))
+    return whole.select("doc_id", "text_hash", "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).drop("col").mapInArrow(merged, ddl).drop("text_hash")
 
 
 def report(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 32 << 20) -> DataFrame:

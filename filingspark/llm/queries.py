@@ -89,7 +89,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(key: str, mod: int, remainder: int):
-    return (crc_bucket(F.col(key), mod) == remainder).alias("held_out")
+    return F.coalesce(crc_bucket(F.col(key), mod) == remainder, F.lit(False)).alias("held_out")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
