@@ -6,7 +6,11 @@ product of its pieces' unigram probabilities. A forward recursion in log space s
 the word's marginal probability; a text's is the product over its words and one end of text. Pieces
 are counted on the vocabulary's own segmentation of each distinct learning word, with `smooth`
 added. Each learning word is an edge of its own from end to end, weighing (c - discount) / N; what
-the discounts leave weighs the subword paths. So the paths' sum is a probability over all texts.
+the discounts leave weighs the subword paths. So the paths' sum is a probability over all words.
+Within a document words repeat more than that: the document's words are drawn from a Dirichlet
+distribution around those probabilities, which is integrated out in closed form, for each of a few
+`concentrations` that weigh alike. A high one is close to the plain product; a low one lets a
+document's own words recur. What the score gives is still a probability over texts.
 The base score is an add-one unigram model over whole words.
 
 Texts are read once. Each task gathers documents into blocks of about `block_chars` characters and
@@ -92,6 +96,32 @@ class Lattice:
         return top + math.log(math.exp(whole - top) + math.exp(inner - top))
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Natural log of the gamma function of positive numbers: Stirling's series after eight steps up."""
+    down = np.zeros_like(x)
+    low = x < 8
+    y = np.where(low, x + 8, x)
+    for i in range(8):
+        down[low] += np.log(x[low] + i)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / (1260 * y * y)) / (y * y)) / y - down
+
+
+def document_scores(n: int, doc: np.ndarray, times: np.ndarray, lp: np.ndarray, concentrations: tuple[float, ...]) -> np.ndarray:
+    """Natural log probability of n bags of words: rows of (document, times a word occurs, log
+    probability of the word). The mean over the concentrations of Dirichlet-multinomial sequences."""
+    length = np.bincount(doc, times, n)
+    distinct, plain = np.bincount(doc, minlength=n), np.bincount(doc, lp, n)
+    again = np.flatnonzero(times > 1)
+    t, where, p = times[again].astype(np.float64), doc[again], np.exp(lp[again])
+    rows = []
+    for a in concentrations:
+        extra = np.bincount(where, log_gamma(a * p + t) - log_gamma(a * p + 1), n)
+        rows.append(plain + distinct * math.log(a) + extra + math.lgamma(a) - log_gamma(a + length))
+    v = np.stack(rows)
+    top = v.max(axis=0)
+    return top + np.log(np.exp(v - top).mean(axis=0))
+
+
 def load_vocabulary(path: str) -> list[str]:
     import sentencepiece
 
@@ -129,7 +159,7 @@ def _expand(data: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), dtype=kind) if n else np.zeros(0, dtype=kind)
 
 
-def score(documents: DataFrame, vocabulary: str, *, held_out_mod: int = 7, held_out: int = 2, smooth: float = 0.1, discount: float = 0.75, block_chars: int = 12 << 20) -> DataFrame:
+def score(documents: DataFrame, vocabulary: str, *, held_out_mod: int = 7, held_out: int = 2, smooth: float = 0.1, discount: float = 0.75, concentrations: tuple[float, ...] = (30.0, 100.0, 300.0, 1e3, 3e3, 1e4, 1e5), block_chars: int = 12 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per document.
     vocabulary: path of a sentencepiece model."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -258,7 +288,7 @@ def score(documents: DataFrame, vocabulary: str, *, held_out_mod: int = 7, held_
             out["n_tokens"] += [t + 1 for t in row["tokens"]]
             out["n_known"] += (np.rint(add(known_of)).astype(np.int64) + (ends > 0)).tolist()
             out["base_score"] += (add(base_of) + end_base).tolist()
-            out["score"] += (add(lp_of) + end_lp).tolist()
+            out["score"] += (document_scores(len(sizes), doc, times, lp_of[at] * _LOG10, concentrations) / _LOG10 + end_lp).tolist()
         return pa.Table.from_batches([to_batch(out, result)])
 
     scored = packed.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(finish, f"doc_id {id_ddl}, n_tokens bigint, n_known bigint, base_score double, score double")

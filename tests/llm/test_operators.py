@@ -150,6 +150,28 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(sum(p.values()) + sum(map(math.exp, model.bytes_)) + math.exp(model.end), 1.0, rel_tol=1e-9)
 
 
+def test_document_scores_are_a_probability():
+    from itertools import product
+
+    from filingspark.llm.lattice_lm import document_scores, log_gamma
+
+    x = np.array([1e-9, 0.3, 1.0, 7.9, 8.0, 250.5, 1e6])
+    assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-9)
+    p = {"a": 0.5, "b": 0.3, "c": 0.2}
+    texts = list(product("abc", repeat=4))
+    rows = [(d, k, math.log(p[w])) for d, text in enumerate(texts) for w, k in Counter(text).items()]
+    doc, times, lp = (np.array(c) for c in zip(*rows))
+    got = document_scores(len(texts), doc, times, lp, (0.5, 20.0))
+    assert math.isclose(np.exp(got).sum(), 1.0, rel_tol=1e-9)
+
+    def urn(text, a):
+        return math.prod((a * p[w] + text[:i].count(w)) / (a + i) for i, w in enumerate(text))
+
+    assert np.allclose(np.exp(got), [(urn(t, 0.5) + urn(t, 20.0)) / 2 for t in texts])
+    none = np.zeros(0, dtype=int)
+    assert np.allclose(document_scores(2, none, none, none.astype(float), (1.0, 9.0)), 0)
+
+
 @pytest.mark.parametrize("block_chars", [1 << 20, 50])
 def test_lattice_scores(docs, nothing, block_chars):
     import public_tokenizers as P
