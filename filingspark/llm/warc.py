@@ -14,7 +14,8 @@ Files go through pyarrow's file systems, so the folder may be any that these rea
 executors; a task writes under a name of its own and renames when it is done, so a task that runs
 again replaces what it wrote.
 
-Defined results: null html is an empty payload; a null url has the empty key; repeated rows are
+Defined results: null html is an empty payload; a null url has the empty key; a null page_id is
+archived and read as null, and is never referred to; repeated rows are
 archived as often as they occur (copies of the response row are responses); an empty table gives
 an empty collection; other columns are ignored.
 """
@@ -65,7 +66,7 @@ def url_key(url: str | None) -> str:
     return _SPACE.sub("%20", ",".join(reversed(host.split("."))) + ")" + path + (f"?{parts.query}" if parts.query else ""))
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record, not compressed."""
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -82,7 +83,7 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
 
 @dataclass
 class Record:
-    page_id: int
+    page_id: int | None
     kind: str
     url: str
     payload: bytes
@@ -103,7 +104,7 @@ def parse_record(raw: bytes) -> Record:
     payload = body.partition(b"\r\n\r\n")[2]
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
     size, refers = int(fields["X-Payload-Length"]), fields.get("WARC-Refers-To")
-    number = lambda s: int(s[len("<urn:page:") : -1])
+    number = lambda s: None if s == "<urn:page:None>" else int(s[len("<urn:page:") : -1])
     if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
     return Record(number(fields["WARC-Record-ID"]), kind, fields["WARC-Target-URI"], payload, digest, size, refers and number(refers))
@@ -142,7 +143,7 @@ class Collection:
             rows = before.unionByName(self.directory.where(F.col("first_key") == key)).collect()
             for row in sorted(rows, key=lambda r: (r.first_key, r.block_file, r.block_offset)):
                 entries = read_block(self.root, row.block_file, row.block_offset, row.block_length)
-                at = bisect.bisect_left(entries, (key,))
+                at = bisect.bisect_left([e[0] for e in entries], key)
                 while at < len(entries) and entries[at][0] == key:
                     _, _, name, offset, length = entries[at]
                     out.append(parse_record(read_range(self.root, name, offset, length)))
@@ -194,7 +195,7 @@ def read_range(root: str, name: str, offset: int, length: int) -> bytes:
 
 def read_block(root: str, name: str, offset: int, length: int) -> list[tuple]:
     lines = zlib.decompress(read_range(root, name, offset, length)).decode().split("\n")[:-1]
-    return [(k, int(p), f, int(o), int(n)) for k, p, f, o, n in (x.split(" ") for x in lines)]
+    return [(k, None if p == "None" else int(p), f, int(o), int(n)) for k, p, f, o, n in (x.split(" ") for x in lines)]
 
 
 class _Writer:

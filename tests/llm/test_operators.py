@@ -75,11 +75,12 @@ def test_warc(spark):
     from filingspark.llm import warc
 
     big = "é" * 700
-    rows = [(1, "http://www.b.example.org/x?q=1", big), (2, "https://a.example.org/y z", big), (9, None, big), (3, "http://a.example.org/y%20z/", "small"), (4, None, None), (5, "x", ""), (5, "x", ""), (6, "http://h/" + "p" * 3000, "small"), (7, "http://[bad", "t\r\n\r\nt")]
+    rows = [(1, "http://www.b.example.org/x?q=1", big), (2, "https://a.example.org/y z", big), (9, None, big), (3, "http://a.example.org/y%20z/", "small"), (4, None, None), (5, "x", ""), (5, "x", ""), (6, "http://h/" + "p" * 3000, "small"), (7, "http://[bad", "t\r\n\r\nt"), (None, "http://n/", big)]
     pages = spark.createDataFrame([(*r, "no") for r in rows], "page_id bigint, url string, html string, digest string").repartition(3)
     made = warc.write(pages, per_block=2, roll=600)
-    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in made.read().collect())
-    want = sorted(((p, len(b := (h or "").encode()), hashlib.sha1(b).hexdigest(), "response" if h != big or p == 9 else "revisit", 9 if h == big and p != 9 else None) for p, _, h in rows), key=lambda r: (r[0],))
+    got = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in made.read().collect())
+    revisits = lambda p, h: h == big and p not in (9, None)
+    want = sorted(((p or 0, len(b := (h or "").encode()), hashlib.sha1(b).hexdigest(), "revisit" if revisits(p, h) else "response", 9 if revisits(p, h) else None) for p, _, h in rows), key=lambda r: (r[0],))
     assert got == want
     assert sorted(r.page_id for r in made.lookup(["https://a.example.org/y z", "http://b.example.org/x?q=1"])) == [1, 2, 3]
     assert made.lookup(["http://none/"]) == []
