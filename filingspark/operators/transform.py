@@ -2,8 +2,8 @@
 
 typed facts -> facts without dimensions -> join with the concept map -> best value per company,
 period and column -> pivot -> casts. One lazy plan: the map is broadcast (its size is fixed by the
-package, or checked where a caller brings another), the best value is a windowed rank that Spark
-limits before the shuffle, and the pivot runs on the window's partitioning.
+package, or checked where a caller brings another), the best value is a windowed rank on rows
+dealt by company and period, and the pivot runs on the same partitioning, so there is one shuffle.
 """
 
 from __future__ import annotations
@@ -56,9 +56,10 @@ def mapped_facts(plain: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def best_facts(mapped: DataFrame) -> DataFrame:
     """Per company, period and canonical the value of the first priority; of equal priorities the
-    value last in order, so that the pick does not depend on the rows' order."""
+    value last in order, so that the pick does not depend on the rows' order. Rows are dealt by
+    company and period once: the rank and the pivot after it both stay on that partitioning."""
     order = Window.partitionBy(*KEYS, "canonical").orderBy(F.asc("priority"), F.desc_nulls_last("value"))
-    ranked = mapped.where(F.col("value").isNotNull()).withColumn("rn", F.row_number().over(order)).where("rn = 1")
+    ranked = mapped.where(F.col("value").isNotNull()).repartition(*KEYS).withColumn("rn", F.row_number().over(order)).where("rn = 1")
     return ranked.select(*KEYS, "canonical", "value", "cast_type", F.col("concept").alias("source_concept"), "priority")
 
 

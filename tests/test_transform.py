@@ -35,9 +35,10 @@ def test_wide_row(spark):
     assert len(r) == 75 and len(fixed_values.canonicals()) == 72
 
 
-def test_wide_plan_has_one_shuffle_for_ranking(spark):
+def test_wide_plan_has_one_shuffle(spark):
     plan = T.accounts_wide(facts(spark, [fact("Debtors", "1")]).repartition(3))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan and "ObjectHashAggregate" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_empty_and_extra_columns(spark):
