@@ -123,6 +123,11 @@ def _raw_schema(id_type: pa.DataType, item_type: pa.DataType) -> pa.Schema:
 def scan(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 32 << 20) -> DataFrame:
     """Per document: doc_id, n_words, spans (merged [first, end) word ranges), items (sorted as
     strings). documents needs doc_id and text, benchmark item_id and text."""
+    return _scan(documents, benchmark, width, block_chars).drop("text_hash")
+
+
+def _scan(documents: DataFrame, benchmark: DataFrame, width: int, block_chars: int) -> DataFrame:
+    """scan, with text_hash, which with doc_id tells rows apart that are not equal."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     bench = benchmark.select("item_id", "text")
@@ -145,7 +150,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_c
 
     found = scanner(0)
     if n_blocks == 1:
-        return found.drop("text_hash")
+        return found
     # Every pass reads all documents; after the first, only documents with hits come out. Rows of
     # equal id and text have equal hits, so they meet as one and come apart again by their number.
     found = found.withColumn("rows", F.lit(1))
@@ -159,7 +164,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_c
             yield to_batch({"doc_id": b.column("doc_id"), "text_hash": b.column("text_hash"), "n_words": b.column("n_words"), "spans": spans, "items": items}, schema)
 
     whole = found.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"), F.sum("rows").alias("rows"))
-    return whole.select("doc_id", "text_hash", "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).drop("col").mapInArrow(merged, ddl).drop("text_hash")
+    return whole.select("doc_id", "text_hash", "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).drop("col").mapInArrow(merged, ddl)
 
 
 def report(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 32 << 20) -> DataFrame:
@@ -190,33 +195,43 @@ def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[end:]]).decode()
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, width: int = 13) -> DataFrame:
-    """documents, all columns, without the contaminated ones; from the others every hit span is
-    cut. For one block only: a larger benchmark is taken in several calls, one per block."""
-    spark = documents.sparkSession
+def _cut(text: str, ranges: list[tuple[int, int]], n_words: int) -> str | None:
+    """text without the words in ranges; None if they make up a twentieth of it or more."""
+    hit = sum(b - a for a, b in ranges)
+    return None if hit and 20 * hit >= n_words else remove_words(text, ranges) if hit else text
+
+
+def _with_text(part: pa.RecordBatch, texts: list[str | None], keep: list[bool]) -> pa.RecordBatch:
+    k = part.schema.get_field_index("text")
+    return part.set_column(k, part.schema.field(k), pa.array(texts, type=part.schema.field(k).type)).filter(pa.array(keep, type=pa.bool_()))
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 32 << 20) -> DataFrame:
+    """documents, all columns, without the contaminated ones; from the others every hit span is cut.
+
+    A benchmark of one block is scanned and cut in one pass without a shuffle. Of a larger one the
+    spans of all blocks meet first and are joined to the documents by id and text hash."""
     rows = benchmark.select("item_id", "text")
-    n_blocks = _blocks(rows, 32 << 20)
-    out = documents
-    for block in range(n_blocks):
-        items = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(WindowIndex.build(((r[0], r[1]) for r in items), width))
+    if _blocks(rows, block_chars) > 1:
+        found = _scan(documents, rows, width, block_chars).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"), F.col("n_words").alias("_words"))
+        found = found.groupBy("_id", "_hash").agg(F.first("_spans").alias("_spans"), F.first("_words").alias("_words"))
+        joined = documents.join(found, documents["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(documents["text"]) == F.col("_hash")), "left")
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in text_chunks(batches, "text"):
-                texts = part.column("text").to_pylist()
-                lengths, spans, _ = index.value.scan(texts)
-                keep = np.ones(len(texts), dtype=bool)
-                for i, found in enumerate(spans):
-                    if found:
-                        ranges = merge_spans(found)
-                        hit = sum(b - a for a, b in ranges)
-                        keep[i] = 20 * hit < lengths[i]
-                        if keep[i]:
-                            texts[i] = remove_words(texts[i], ranges)
-                k = part.schema.get_field_index("text")
-                part = part.set_column(k, part.schema.field(k), pa.array(texts, type=part.schema.field(k).type))
-                yield part.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, out.schema)
-    return out
-
+                cut = [t if not r else _cut(t, r, n) for t, r, n in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), part.column("_words").to_pylist())]
+                keep = [not r or c is not None for c, r in zip(cut, part.column("_spans").to_pylist())]
+                yield _with_text(part, cut, keep).select(documents_columns)
+
+        documents_columns = documents.columns
+        return joined.select(*documents.columns, "_spans", "_words").mapInArrow(apply, documents.schema)
+    index = documents.sparkSession.sparkContext.broadcast(WindowIndex.build(((r[0], r[1]) for r in rows.collect()), width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches, "text"):
+            texts = part.column("text").to_pylist()
+            lengths, spans, _ = index.value.scan(texts)
+            cut = [_cut(t, merge_spans(s), n) if s else t for t, s, n in zip(texts, spans, lengths)]
+            yield _with_text(part, cut, [not s or c is not None for c, s in zip(cut, spans)])
+
+    return documents.mapInArrow(run, documents.schema)
