@@ -70,6 +70,36 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 <
             start = stop
 
 
+def stretches(column: pa.Array, limit: int, mark: str) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """A text column in parts of about `limit` bytes: the rows that the part's texts belong to, and
+    the texts. A longer text is cut behind the last `mark` before the limit, or at it if there is
+    none, so that what is worked on at once has a bound; nothing is left out."""
+    sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype("float64"))
+    if sizes.sum() <= limit:
+        yield np.arange(len(column)), column
+        return
+    rows: list[int] = []
+    texts: list[str | None] = []
+    held = 0
+    for i, text in enumerate(column.to_pylist()):
+        at = 0
+        while True:
+            end = len(text or "")
+            if end - at > limit:
+                end = (text.rfind(mark, at, at + limit) + 1) or at + limit
+            piece = text[at:end] if text else text
+            if rows and held + len(piece or "") > limit:
+                yield np.array(rows), pa.array(texts, type=pa.large_string())
+                rows, texts, held = [], [], 0
+            rows.append(i)
+            texts.append(piece)
+            held += len(piece or "")
+            at = end
+            if at >= len(text or ""):
+                break
+    yield np.array(rows, dtype=np.int64), pa.array(texts, type=pa.large_string())
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n+1 offsets of its rows (null: no bytes)."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,7 +8,8 @@ documents of different languages. Forward-backward labels every word of a text;
 is the one with the largest sum of marginals, weighted by word length, and the score its share.
 
 Fitting uses at most `per_language` documents of each of at most `most_languages` languages, those
-with the least hash, of at most `train_chars` characters; prediction reads every text whole.
+with the least hash, of at most `train_chars` characters; prediction reads every text whole. A text of more
+than 2 MB is labelled in stretches of that size, each a chain of its own, which bounds memory.
 
 Defined results: null text, and text without a letter, gives `und` with score 0; so does every
 text if there is nothing to learn from. Ties go to the language first in order. Repeated rows come
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingspark.llm import crf
-from filingspark.llm.common import crc_bucket, flat_text, sample_ids, text_chunks, to_batch
+from filingspark.llm.common import crc_bucket, flat_text, sample_ids, stretches, text_chunks, to_batch
 
 UND = "und"
+STRETCH = 2 << 20
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -101,10 +103,14 @@ class Model:
         n, k = len(column), len(self.languages)
         if not k:
             return [UND] * n, np.zeros(n), np.zeros((n, 0))
-        w = words_of(column)
-        first = np.concatenate([[True], w.doc[1:] != w.doc[:-1]]) if len(w.doc) else np.zeros(0, dtype=bool)
-        p, _ = crf.marginals(self.scores(w), first, self.trans, self.start)
-        total = np.stack([np.bincount(w.doc, p[:, j] * w.size, n)[:n] for j in range(k)], axis=1) if len(w.doc) else np.zeros((n, k))
+        total = np.zeros((n, k))
+        for rows, part in stretches(column, STRETCH, " "):
+            w = words_of(part)
+            if not len(w.doc):
+                continue
+            first = np.concatenate([[True], w.doc[1:] != w.doc[:-1]])
+            p, _ = crf.marginals(self.scores(w), first, self.trans, self.start)
+            total += np.stack([np.bincount(rows[w.doc], p[:, j] * w.size, n) for j in range(k)], axis=1)
         mass = total.sum(axis=1)
         share = total / np.maximum(mass, 1e-300)[:, None]
         best = share.argmax(axis=1)

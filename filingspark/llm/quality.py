@@ -8,7 +8,8 @@ line's probability of being good; their mean weighted by length, on the log-odds
 through a logistic curve fitted on the same rows to give the document's score.
 
 Fitting uses at most `per_class` labelled rows of each class, those with the least hash, of at most
-`train_chars` characters; scoring reads every text whole.
+`train_chars` characters; scoring reads every text whole. A text of more than 2 MB is labelled in
+stretches of that size, each a chain of its own, which bounds memory.
 
 Defined results: null, empty and all-newline texts get the share of label 1 among the rows fitted
 (0.5 if there are none), as do all texts if only one class or no label is known; repeated rows come
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingspark.llm import crf
-from filingspark.llm.common import crc_bucket, flat_text, sample_ids, text_chunks, to_batch
+from filingspark.llm.common import crc_bucket, flat_text, sample_ids, stretches, text_chunks, to_batch
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 !, 5 |, 6 symbol, 7 . , ; : ? ' " ( ) -, 8 space
 _KIND[97:123] = 1
@@ -45,6 +46,9 @@ for _c in b" \t\r\n\x0b\x0c":
 _POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(4096)], dtype=np.uint64)
 
 
+STRETCH = 2 << 20
+
+
 @dataclass
 class Lines:
     features: np.ndarray
@@ -119,13 +123,17 @@ class Model:
 
     def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Length-weighted mean log-odds and mean probability of good, and whether a text has any length."""
-        lines, n = lines_of(column), len(column)
-        z = lines.features @ self.weights
-        p, _ = crf.marginals(np.stack([np.zeros_like(z), z], axis=1), lines.first, self.trans, self.start)
-        good = np.clip(p[:, 1], 1e-6, 1 - 1e-6)
-        mass = np.bincount(lines.doc, lines.size, n)
-        odds = np.bincount(lines.doc, lines.size * np.log(good / (1 - good)), n) / np.maximum(mass, 1)
-        mean = np.bincount(lines.doc, lines.size * good, n) / np.maximum(mass, 1)
+        n = len(column)
+        mass, odds, mean = np.zeros(n), np.zeros(n), np.zeros(n)
+        for rows, part in stretches(column, STRETCH, "\n"):
+            lines = lines_of(part)
+            z = lines.features @ self.weights
+            p, _ = crf.marginals(np.stack([np.zeros_like(z), z], axis=1), lines.first, self.trans, self.start)
+            good, doc = np.clip(p[:, 1], 1e-6, 1 - 1e-6), rows[lines.doc]
+            mass += np.bincount(doc, lines.size, n)
+            odds += np.bincount(doc, lines.size * np.log(good / (1 - good)), n)
+            mean += np.bincount(doc, lines.size * good, n)
+        odds, mean = odds / np.maximum(mass, 1), mean / np.maximum(mass, 1)
         return np.stack([np.ones(n), odds, mean], axis=1), mass > 0
 
     def score(self, column: pa.Array) -> np.ndarray:

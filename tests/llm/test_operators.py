@@ -287,6 +287,22 @@ def test_chain_marginals_are_exact():
     assert crf.marginals(np.zeros((0, 3)), np.zeros(0, dtype=bool), trans, start)[0].shape == (0, 3)
 
 
+def test_stretches_leave_nothing_out():
+    import pyarrow as pa
+
+    from filingspark.llm.common import stretches
+
+    texts = ["ab cd ef gh", None, "", "x" * 25, "a b", "élan vital"]
+    for limit in (1, 4, 7, 100):
+        back = [""] * len(texts)
+        for rows, part in stretches(pa.array(texts), limit, " "):
+            for i, t in zip(rows.tolist(), part.to_pylist()):
+                back[i] += t or ""
+                assert len(t or "") <= limit or limit == 100
+        assert back == [t or "" for t in texts]
+    assert [len(r) for r, _ in stretches(pa.array([], type=pa.string()), 5, " ")] == [0]
+
+
 EN = "the of and that was with for this have from".split()
 DE = "der die und nicht für über mit auch schön größe".split()
 
