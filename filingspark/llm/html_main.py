@@ -1,16 +1,16 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into lines: runs of text between block-level tags, with character references decoded
-and white space folded; scripts, styles and comments give none. Lines inside an article or main
-element are the article, and protected: pages that quote or copy each other keep their text. Pages
-are sorted by host and URL path, dealt by range, and each page is paired with the neighbour of its
-host whose path shares the longest beginning. The pair's other lines are aligned by longest common
-subsequence, and those they share, the template, are deleted. A check follows for the template
-lines that differ from page to page: lines in elements that mark themselves as furniture (by tag,
-role, or class and id words) go as well. A page that has article lines gives those alone; a page
-without any gives the lines that are left. A partner with the very same lines is a copy and says
-nothing about the template, so the other neighbour is asked, and if that is a copy too nothing is
-deleted by comparison.
+and white space folded; scripts, styles and comments give none. Pages are sorted by host and URL
+path, dealt by range, and each page is paired with the neighbour of its host whose path shares the
+longest beginning. The pair's lines are aligned by longest common subsequence, and those they share,
+the template, are deleted. Pages that quote or copy each other share text as well, so a line inside
+an article or main element is deleted only if both neighbours share it, and none is if more than
+half of the article's text would go. A check follows for the template lines that differ from page to
+page: lines in elements that mark themselves as furniture (by tag, role, or class and id words) go
+as well. All other lines are the text, inside and outside of article and main. A partner with the
+very same lines is a copy and says nothing about the template, so the other neighbour is asked, and
+if that is a copy too nothing is deleted by comparison.
 
 The neighbours are those in the sorted order; a page at the edge of a task has one neighbour.
 
@@ -195,20 +195,36 @@ def url_key(url: str | None) -> tuple[str, str]:
     return host, parts.path or "/"
 
 
-_KEY = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("article", pa.list_(pa.string())), ("others", pa.list_(pa.string())), ("marked", pa.list_(pa.bool_()))])
+_KEY = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("kinds", pa.binary())])
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, article lines, the other lines, and which of those are marked."""
+    """page_id, url, host, path, the lines, and their kinds, a byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "html"):
             found = [blocks(h) for h in part.column("html").to_pylist()]
             urls = part.column("url").to_pylist()
             keys = [url_key(u) for u in urls]
-            yield to_batch({"page_id": part.column("page_id"), "url": urls, "host": [k[0] for k in keys], "path": [k[1] for k in keys], "article": [[x for x, k in f if k == ARTICLE] for f in found], "others": [[x for x, k in f if k != ARTICLE] for f in found], "marked": [[k != LOOSE for _, k in f if k != ARTICLE] for f in found]}, _KEY)
+            yield to_batch({"page_id": part.column("page_id"), "url": urls, "host": [k[0] for k in keys], "path": [k[1] for k in keys], "lines": [[x for x, _ in f] for f in found], "kinds": [bytes(k for _, k in f) for f in found]}, _KEY)
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, url string, host string, path string, article array<string>, others array<string>, marked array<boolean>")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, url string, host string, path string, lines array<string>, kinds binary")
+
+
+def template(lines: list[str], kinds: bytes, near: list[list[str]]) -> set[int]:
+    """Places of the unmarked lines that comparison deletes. near: the lines of the neighbours that
+    differ, the partner first. An article's line goes if both share it, unless more than half of
+    the article's text would go."""
+    if not near:
+        return set()
+    shared = {i for i in shared_lines(lines, near[0]) if kinds[i] in (ARTICLE, LOOSE)}
+    article = [i for i, k in enumerate(kinds) if k == ARTICLE]
+    quoted = shared.intersection(article)
+    if quoted and len(near) > 1:
+        both = quoted & shared_lines(lines, near[1])
+        if 2 * sum(len(lines[i]) for i in both) <= sum(len(lines[i]) for i in article):
+            quoted -= both
+    return shared - quoted
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -222,14 +238,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     def solve(row: dict, neighbours: list[dict]) -> dict:
         near = [x for x in neighbours if x and x["host"] == row["host"]]
         near.sort(key=lambda x: -len(os.path.commonprefix([x["path"], row["path"]])))
-        partner, shared = None, set()
-        for other in near:
-            partner = partner or other
-            if other["others"] != row["others"]:
-                partner, shared = other, shared_lines(row["others"], other["others"])
-                break
-        text = "\n".join(row["article"] or [x for i, x in enumerate(row["others"]) if i not in shared and not row["marked"][i]])
-        return {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text), "partner_id": partner and partner["page_id"], "n_shared": len(shared)}
+        differ = [x for x in near if x["lines"] != row["lines"]]
+        partner = next(iter(differ or near), None)
+        gone = template(row["lines"], row["kinds"], [x["lines"] for x in differ])
+        text = "\n".join(x for i, x in enumerate(row["lines"]) if row["kinds"][i] in (ARTICLE, LOOSE) and i not in gone)
+        return {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text), "partner_id": partner and partner["page_id"], "n_shared": len(gone)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = now = None

@@ -451,6 +451,22 @@ def test_page_differencing(spark):
     assert html_main.main_text(pages.limit(0)).count() == 0
 
 
+def test_differencing_decides_article_pages(spark):
+    from filingspark.llm import html_main
+
+    page = lambda title, *body: f"<div>Site name</div><nav>menu</nav><main><p>{title}</p><p>Read in two minutes</p>{''.join(f'<p>{x}</p>' for x in body)}</main><div>note on {title}</div><div>Imprint</div>"
+    rows = [(1, "http://h/a/1", page("one", "a quoted line")), (2, "http://h/a/2", page("two of some length", "a quoted line")), (3, "http://h/a/3", page("three of some length", "another line of the third"))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.page_id: r.text.split("\n") for r in html_main.main_text(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[1] == ["one", "Read in two minutes", "a quoted line", "note on one"]  # a single neighbour deletes nothing of an article
+    assert got[2] == ["two of some length", "a quoted line", "note on two of some length"]
+    assert html_main.template(["x", "y"], bytes([0, 0]), [["x", "y", "z"], ["x", "y"]]) == set()  # copies of the article
+
+
 # -- the pipeline ---------------------------------------------------------------------------------
 
 
