@@ -36,25 +36,36 @@ _SPACES = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else
 SMALL_TILE = 256
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint, as a signed integer."""
+def shingle_hashes(text: str | None) -> tuple[np.ndarray, int]:
+    """The hashes of a text's shingles in order, and the number of its words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(_SPACES).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64), 0
     n = max(1, len(words) - 2)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[-n:].tolist()
-    h = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops)), dtype=np.uint64, count=n)
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops)), dtype=np.uint64, count=n), len(words)
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    n = len(h)
+    if not n:
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, n, 1 << 14):
         counts += np.unpackbits(h[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """The 64-bit fingerprint, as a signed integer."""
+    return fingerprint_of(shingle_hashes(text)[0])
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a bigint."""
     docs = documents.select("doc_id", "text")

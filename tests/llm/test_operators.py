@@ -492,6 +492,34 @@ def test_pipeline(spark, tmp_path):
     assert C.run(spark, d).count() == left.count()
 
 
+def test_near_copies_reach_similarity(spark):
+    import corpus_pipeline as C
+    from filingspark.llm import simhash
+
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.choice(300, rng.integers(1, 12), replace=False):
+                copy[at] = "changed" + str(at)
+            texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    prints = [simhash.fingerprint(" ".join(t)) % (1 << 64) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, ""), (901, None), (902, "one two three four"), (903, "one two three  Four"), (904, "five"), (905, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    left = {r.doc_id for r in C.drop_near_duplicates(spark, docs, "").collect()}
+    assert left == {*root, 900, 902, 904, 905}
+    assert C.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_registered_queries_run_on_small_tables(spark):
     from filingspark.llm.queries import ORACLE_SQL, QUERIES
 
