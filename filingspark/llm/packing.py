@@ -218,7 +218,7 @@ def pack(documents: DataFrame, tokenizer: str, *, capacity: int = 2048, least: i
                 for n in cut(total, capacity, least):
                     out += packer.add((doc, start, ids[4 * start : 4 * (start + n)], total))
                     start += n
-            if len(out) > 8192:
+            if len(out) > (1024 if with_ids else 8192):
                 yield rows(out)
                 out = []
         out += packer.finish()

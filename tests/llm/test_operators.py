@@ -520,6 +520,15 @@ def test_near_copies_reach_similarity(spark):
     assert C.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_pipeline_gives_token_ids(spark, docs):
+    import corpus_pipeline as C
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    rows = sorted((r for r in C.pack(spark, docs, "").collect() if r.doc_id == 1), key=lambda r: r.start)
+    assert [t for r in rows for t in r.ids] == Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(TEXTS[0][1], add_special_tokens=False).ids + [1]
+
+
 def test_registered_queries_run_on_small_tables(spark):
     from filingspark.llm.queries import ORACLE_SQL, QUERIES
 
