@@ -520,6 +520,15 @@ def test_near_copies_reach_similarity(spark):
     assert C.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_duplicates_keep_one_row(spark):
+    import corpus_pipeline as C
+
+    rows = [(1, "a first text of some words"), (5, "a first text of some words"), (5, "quite another story that stands alone"), (6, "one more"), (6, "one more"), (None, "one more"), (None, "nobody knows this"), (None, "nobody knows this")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string").repartition(3)
+    left = sorted((r.doc_id or 0, r.text) for r in C.drop_near_duplicates(spark, docs, "").collect())
+    assert left == sorted([(1, rows[0][1]), (5, rows[2][1]), (6, "one more"), (0, "nobody knows this")])
+
+
 def test_pipeline_gives_token_ids(spark, docs):
     import corpus_pipeline as C
     import public_tokenizers as P
