@@ -8,11 +8,11 @@ the template, are deleted. Pages that quote or copy each other share text as wel
 an article or main element is deleted only if both neighbours share it, and none is if more than
 half of the article's text would go. A check follows for the template lines that differ from page to
 page: lines in elements that mark themselves as furniture (by tag, role, or class and id words) go
-as well. All other lines are the text, inside and outside of article and main. A partner with the
-very same lines is a copy and says nothing about the template, so the other neighbour is asked, and
-if that is a copy too nothing is deleted by comparison.
-
-The neighbours are those in the sorted order; a page at the edge of a task has one neighbour.
+as well. All other lines are the text, inside and outside of article and main. Pages of
+a host with equal unmarked lines that follow each other are copies and say nothing about the
+template: they are one run, compared with the pages that differ before and behind it, and get the
+same text. Tasks get the pages beyond their edges, so that the result does not depend on their
+number. Equal pages with others between them may have different partners.
 
 Defined results: null and empty html give the empty text; a null url stands for a host of its own;
 repeated rows are paired like any other; other columns are ignored.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingspark.llm.common import text_chunks, to_batch
+from filingspark.llm.common import materialize, text_chunks
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -195,20 +195,107 @@ def url_key(url: str | None) -> tuple[str, str]:
     return host, parts.path or "/"
 
 
-_KEY = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.string())), ("kinds", pa.binary())])
+_KEY = pa.schema([("part", pa.int32()), ("role", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("whole", pa.string()), ("url", pa.string()), ("lines", pa.list_(pa.string())), ("kinds", pa.binary())])
+_KEY_DDL = "part int, role int, host string, path string, digest string, page_id bigint, whole string, url string, lines array<string>, kinds binary"
+_ORDER = ["host", "path", "digest", "page_id", "whole"]
+BEFORE, OWN, AFTER = range(3)
+
+
+def order_key(row) -> tuple:
+    """The sort order of pages: host, path, unmarked lines, page_id with null first, all lines."""
+    return row["host"], row["path"], row["digest"], row["page_id"] is not None, row["page_id"] or 0, row["whole"]
+
 
+def parse(pages: DataFrame, bounds: list[tuple] | None = None, edges: dict[tuple, list[tuple[int, int]]] | None = None) -> DataFrame:
+    """part (by bounds), role, host, path, digest of the unmarked lines, page_id, digest of all
+    lines, url, the lines, and their kinds, a byte each. Without bounds lines and kinds are null.
+    edges: (part, role) of the further places that a page of that order key goes to."""
+    import hashlib
+    from bisect import bisect_right
 
-def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, the lines, and their kinds, a byte each."""
+    def digest(*values: bytes) -> str:
+        return hashlib.blake2b(b"\0".join(values), digest_size=16).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()
         for part in text_chunks(batches, "html"):
-            found = [blocks(h) for h in part.column("html").to_pylist()]
-            urls = part.column("url").to_pylist()
-            keys = [url_key(u) for u in urls]
-            yield to_batch({"page_id": part.column("page_id"), "url": urls, "host": [k[0] for k in keys], "path": [k[1] for k in keys], "lines": [[x for x, _ in f] for f in found], "kinds": [bytes(k for _, k in f) for f in found]}, _KEY)
+            out = []
+            for page_id, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+                found = blocks(html)
+                host, path = url_key(url)
+                kinds = bytes(k for _, k in found)
+                unmarked = digest(*(x.encode() for x, k in found if k in (ARTICLE, LOOSE)))
+                row = {"part": 0, "role": OWN, "host": host, "path": path, "digest": unmarked, "page_id": page_id, "whole": digest(kinds, *(x.encode() for x, _ in found)), "url": url, "lines": None, "kinds": None}
+                if bounds is not None:
+                    key = order_key(row)
+                    row |= {"part": bisect_right(bounds, key), "lines": [x for x, _ in found], "kinds": kinds}
+                    if key in edges and key not in sent:
+                        sent.add(key)
+                        out += [row | {"part": p, "role": r} for p, r in edges[key]]
+                out.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=_KEY)
+
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, _KEY_DDL)
+
+
+def part_ends(keys: DataFrame, bounds: list[tuple]) -> list:
+    """Of each part with rows, in order: its first and last page, the last page of the first run's
+    end and the first page of the last run (a run: pages of equal unmarked lines that follow each
+    other), the page before the last run, the page after the first run."""
+    from bisect import bisect_right
+
+    n = len(bounds) + 1
+    key = pa.struct([("host", pa.string()), ("path", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("whole", pa.string())])
+    names = ["first", "last", "last_run", "before_last", "after_first", "first_run_end"]
+    schema = pa.schema([("part", pa.int32()), *((x, key) for x in names)])
+    ddl = "part int, " + ", ".join(f"{x} struct<host:string,path:string,digest:string,page_id:bigint,whole:string>" for x in names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [bisect_right(bounds, order_key(r)) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int32())], names=[*_ORDER, "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = row.pop("part")
+                if not now or now["part"] != part:
+                    now = {"part": part, "first": row, "last": row, "last_run": row, "before_last": None, "after_first": None, "first_run_end": row}
+                    out.append(now)
+                    continue
+                if (row["host"], row["digest"]) != (now["last"]["host"], now["last"]["digest"]):
+                    now["before_last"], now["last_run"] = now["last"], row
+                    now["after_first"] = now["after_first"] or row
+                elif not now["after_first"]:
+                    now["first_run_end"] = row
+                now["last"] = row
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, url string, host string, path string, lines array<string>, kinds binary")
+    dealt = keys.select(_ORDER).mapInArrow(deal, "host string, path string, digest string, page_id bigint, whole string, part int")
+    ends = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", *_ORDER).mapInArrow(run, ddl).collect()
+    return sorted((r.asDict(recursive=True) for r in ends), key=lambda r: r["part"])
+
+
+def neighbours(ends: list[dict]) -> tuple[dict[tuple, list[tuple[int, int]]], dict[int, str], dict[int, str]]:
+    """Where edge pages go as well; the path that the run at a part's begin begins with, and that
+    the run at its end ends with, wherever that is."""
+    edges: dict[tuple, list[tuple[int, int]]] = {}
+    paths: tuple[dict[int, str], dict[int, str]] = {}, {}
+    for role, order, near, far, near_run, beyond in ((BEFORE, ends, "first", "last", "last_run", "before_last"), (AFTER, ends[::-1], "last", "first", "first_run_end", "after_first")):
+        run = outer = previous = start = None  # the run so far, the page beyond it, the last page, the run's outermost path
+        for e in order:
+            same = (e[near]["host"], e[near]["digest"])
+            if same != run:
+                run, outer, start = same, previous, e[near]["path"]
+            paths[role == AFTER][e["part"]] = start
+            if outer and outer["host"] == e[near]["host"]:
+                edges.setdefault(order_key(outer), []).append((e["part"], role))
+            if e[beyond]:
+                run, outer, start = (e[far]["host"], e[far]["digest"]), e[beyond], e[near_run]["path"]
+            previous = e[far]
+    return edges, *paths
 
 
 def template(lines: list[str], kinds: bytes, near: list[list[str]]) -> set[int]:
@@ -233,36 +320,69 @@ def main_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("partner_id", pa.int64()), ("n_shared", pa.int64())])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = parse(pages).repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "url")
-
-    def solve(row: dict, neighbours: list[dict]) -> dict:
-        near = [x for x in neighbours if x and x["host"] == row["host"]]
-        near.sort(key=lambda x: -len(os.path.commonprefix([x["path"], row["path"]])))
-        differ = [x for x in near if x["lines"] != row["lines"]]
-        partner = next(iter(differ or near), None)
-        gone = template(row["lines"], row["kinds"], [x["lines"] for x in differ])
-        text = "\n".join(x for i, x in enumerate(row["lines"]) if row["kinds"][i] in (ARTICLE, LOOSE) and i not in gone)
-        return {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text), "partner_id": partner and partner["page_id"], "n_shared": len(gone)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = now = None
-        out: list[dict] = []
-
+    keys = materialize(parse(pages).select(_ORDER), "page-keys")
+    share = min(1.0, 60 * n / max(1, keys.count()))
+    sample = sorted(map(order_key, (r.asDict() for r in keys.sample(share, seed=1).collect())))
+    bounds = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
+    edges, starts, stops = neighbours(part_ends(keys, bounds))
+    dealt = parse(pages, bounds, edges).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "role", *_ORDER, "url")
+
+    def common(a: str, b: str) -> int:
+        return len(os.path.commonprefix([a, b]))
+
+    def solve(run: dict, before: dict | None, after: dict | None) -> Iterator[dict]:
+        near = [(-common(x["path"], path), x) for x, path in ((before, run["start"]), (after, run["stop"])) if x and x["host"] == run["host"]]
+        near = [x for _, x in sorted(near, key=lambda x: x[0])]
+        texts: dict[bytes, tuple[str, int]] = {}
+        for page_id, url, kinds in run["pages"]:
+            if kinds not in texts:
+                gone = template(run["lines"], kinds, [x["lines"] for x in near])
+                texts[kinds] = "\n".join(x for i, x in enumerate(run["lines"]) if i not in gone), len(gone)
+            text, n_gone = texts[kinds]
+            yield {"page_id": page_id, "url": url, "text": text, "n_chars": len(text), "partner_id": near[0]["page_id"] if near else None, "n_shared": n_gone}
+
+    def solved(rows: Iterator[dict]) -> Iterator[dict]:
+        part, before, run, last = None, None, None, None
+        for row in rows:
+            if row["part"] != part:
+                if run:
+                    yield from solve(run, before, None)
+                part, before, run = row["part"], None, None
+            if row["role"] == BEFORE:
+                before = row
+                continue
+            same = run and (run["host"], run["digest"]) == (row["host"], row["digest"])
+            if run and not same:
+                if row["role"] == AFTER:
+                    run["stop"] = stops[part]
+                yield from solve(run, before, row)
+                before, run = last, None
+            if row["role"] == AFTER:
+                continue
+            unmarked = [i for i, k in enumerate(row["kinds"]) if k in (ARTICLE, LOOSE)]
+            kinds = bytes(row["kinds"][i] for i in unmarked)
+            if not run:
+                begins = before is None or before["role"] == BEFORE
+                run = {"host": row["host"], "digest": row["digest"], "lines": [row["lines"][i] for i in unmarked], "start": starts[part] if begins else row["path"], "pages": []}
+            run["pages"].append((row["page_id"], row["url"], kinds))
+            run["stop"] = row["path"]
+            last = row
+        if run:
+            yield from solve(run, before, None)
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
                     yield from batch.slice(i, 256).to_pylist()
 
-        for after in rows():
-            if now:
-                out.append(solve(now, [before, after]))
-                if len(out) >= 256:
-                    yield pa.RecordBatch.from_pylist(out, schema=schema)
-                    out = []
-            before, now = now, after
-        if now:
-            out.append(solve(now, [before]))
+        out: list[dict] = []
+        for row in solved(rows()):
+            out.append(row)
+            if len(out) >= 256:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return dealt.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, partner_id bigint, n_shared bigint")
+    return dealt.mapInArrow(run_, "page_id bigint, url string, text string, n_chars bigint, partner_id bigint, n_shared bigint")

@@ -467,6 +467,21 @@ def test_differencing_decides_article_pages(spark):
     assert html_main.template(["x", "y"], bytes([0, 0]), [["x", "y", "z"], ["x", "y"]]) == set()  # copies of the article
 
 
+def test_differencing_of_copies_and_task_edges(spark):
+    from filingspark.llm import html_main
+
+    page = lambda body: f"<div>Site name</div><div>Home</div><div>{body}</div><div>Imprint</div>"
+    rows = [(1, "http://h/a/1", page("one")), *((10 + i, "http://h/a/2", page("copied")) for i in range(9)), (30, "http://h/a/3", page("three")), (40, "http://k/1", page("k one")), (41, "http://k/2", page("k two")), (50, "http://l/", page("alone"))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    try:
+        for n in (1, 2, 5, 14):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = {r.page_id: r.text for r in html_main.main_text(pages).collect()}
+            assert got == {1: "one", **{10 + i: "copied" for i in range(9)}, 30: "three", 40: "k one", 41: "k two", 50: "Site name\nHome\nalone\nImprint"}, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # -- the pipeline ---------------------------------------------------------------------------------
 
 
