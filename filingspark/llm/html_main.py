@@ -1,7 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into lines: runs of text between block-level tags, with character references decoded
-and white space folded; scripts, styles and comments give none. Pages are sorted by host and URL
+and white space folded; scripts, styles and comments give none. Pages are parsed once; the lines
+travel compressed. Pages are sorted by host and URL
 path, dealt by range, and each page is paired with the neighbour of its host whose path shares the
 longest beginning. The pair's lines are aligned by longest common subsequence, and those they share,
 the template, are deleted. Pages that quote or copy each other share text as well, so a line inside
@@ -34,10 +35,10 @@ from filingspark.llm.common import materialize, text_chunks
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button".split())
-INLINE = frozenset("button svg math".split())
-DROP = frozenset("nav header footer aside form dialog menu head fieldset figure".split()) | RAW
-BLOCK = frozenset("address article blockquote body center dd details div dl dt figcaption h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | DROP
+RAW = frozenset("script style noscript template textarea title iframe".split())
+DROP = frozenset("nav header footer aside form dialog menu head fieldset select button".split()) | RAW
+IN_ARTICLE = frozenset(["header"])  # of DROP, but an article's own
+BLOCK = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | DROP - {"button", "select"}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form alert".split())
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -45,33 +46,35 @@ FURNITURE = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login form search skip toolbar tags tagcloud".split()
 )
 
-# Possessive and bounded, so that broken markup costs no more than its length. The second form of a
-# tag takes what the first refuses: a quote that never ends, or a very long value.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S
-)
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_OPENING = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([A-Za-z][^\s/>]*+)")
+# In a tag: its end, or a quote that opens an attribute's value.
+_SPECIAL = re.compile(r">|=\s*+[\"']")
+_ATTRIBUTE = re.compile(r"([^\s=>/\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_HINT = re.compile(r"class|id|role|hidden|style", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
+_ANY_TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)")
 
 
 ARTICLE, LOOSE, NO, SOFT, MARKED = range(5)
 
 # Words that a wrapper of the article may hold too ("page with-sidebar"): main or article inside
-# such an element is the article all the same. Inside an article they mark nothing.
+# such an element is the article all the same.
 WRAPPERS = frozenset("header masthead sidebar rail nav navbar navigation menu banner footer search tags alert overlay social widget widgets toolbar".split())
-KEPT_INSIDE = frozenset("header masthead alert tags".split())
+# Words that say how an element is laid out: beside a furniture word they change nothing.
+LAYOUT = frozenset("area bar block body bottom box btn button buttons card cards col column container content group inner item items left link links list outer panel post posts right row section slot text title top unit wrap wrapper".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies reply".split())
 
 
 def _furniture(tag: str, attributes: str, inside: bool) -> int:
     """How an element marks itself as furniture: MARKED, SOFT (by a word that wrappers hold too) or
-    0. inside: it stands in an article."""
+    0. inside: it stands in an article, where a class or id counts only if all its words are
+    furniture or layout (an article has "related work" and a "notice of law" of its own)."""
     if tag in DROP:
-        return 0 if inside and tag in ("header", "figure") else MARKED
-    if not attributes or tag in ("html", "body", "main"):
+        return 0 if inside and tag in IN_ARTICLE else MARKED
+    if not attributes or tag in ("html", "body", "main") or not _HINT.search(attributes):
         return 0
     soft = 0
-    for m in _NAMED.finditer(attributes):
+    for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role" and value in ROLES or name == "hidden" and not value.startswith("until"):
             return MARKED
@@ -82,73 +85,138 @@ def _furniture(tag: str, attributes: str, inside: bool) -> int:
             if tag == "article":
                 if words & COMMENTS:
                     return MARKED
-                continue
-            words &= FURNITURE
-            if inside:
-                words -= KEPT_INSIDE
-            if words - WRAPPERS or words and inside:
-                return MARKED
-            soft = SOFT if words else soft
+            elif inside:
+                if words & FURNITURE and not words - FURNITURE - LAYOUT:
+                    return MARKED
+            elif words & FURNITURE:
+                if words & FURNITURE - WRAPPERS:
+                    return MARKED
+                soft = SOFT
     return soft
 
 
-
-
-def blocks(page: str | None) -> list[tuple[str, int]]:
+class _Page:
+    """A page's markup; what is looked for and not found is remembered, so that broken markup costs
+    no more than its length."""
+
+    def __init__(self, text: str):
+        self.text, self.stop, self.dead, self.last = text, text.rfind(">") + 1, set(), {}
+
+    def tag_end(self, at: int) -> int:
+        """Place of the `>` that ends the tag whose attributes begin at a place: the first outside
+        quoted values; the first of all if a quote never ends; -1 if there is none."""
+        start, seen = at, []
+        while m := _SPECIAL.search(self.text, at, self.stop):
+            quote = m.end() - 1
+            if self.text[quote] == ">":
+                return quote
+            if quote in self.dead:
+                break
+            seen.append(quote)
+            at = self.text.find(self.text[quote], quote + 1, self.stop) + 1
+            if not at:
+                break
+        self.dead.update(seen)
+        return self.text.find(">", start, self.stop)
+
+    def closes(self, tag: str, at: int) -> bool:
+        """An end tag of that name stands at a place or behind it."""
+        if tag not in self.last:
+            self.last[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", self.text, re.I)), default=-1)
+        return self.last[tag] >= at
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where a raw element that begins at a place ends: behind its end tag; without one, before
+        the next tag of a block."""
+        if self.closes(tag, at):
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>?", re.I).search(self.text, at)
+            return m.end()
+        for m in _ANY_TAG.finditer(self.text, at):
+            if m[1].lower() in BLOCK:
+                return m.start()
+        return len(self.text)
+
+
+def blocks(html: str | None) -> list[tuple[str, int]]:
     """(text, kind) of the blocks in page order; kind is ARTICLE, LOOSE, or SOFT or MARKED as
-    furniture."""
+    furniture. An element that marks itself as furniture and is never closed marks only the text
+    before the next block."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # tag, kind outside it
-    kind, at, page = LOOSE, 0, (page or "").replace("\0", " ")
-    stop = page.rfind(">") + 1  # no tag ends after that
+    count: dict[str, int] = {}  # tags on the stack
+    page = _Page((html or "").replace("\0", " "))
+    kind, at, raw = LOOSE, 0, page.text
+    unclosed: int | None = None  # the kind outside an open element that is never closed
 
     def flush() -> None:
+        nonlocal kind, unclosed
         if text:
             if kind != NO and (line := " ".join(_html.unescape("".join(text)).split())):
                 out.append((line, kind))
             text.clear()
-
-    while True:
-        m = _TOKEN.search(page, at, stop)
-        text.append(page[at : m.start() if m else len(page)].partition("<!--" if not m else "\0")[0])
-        if not m:
+        if unclosed is not None:
+            kind, unclosed = unclosed, None
+
+    def pop() -> str:
+        nonlocal kind
+        tag, kind = stack.pop()
+        count[tag] -= 1
+        return tag
+
+    while m := _OPENING.search(raw, at):
+        text.append(raw[at : m.start()])
+        if not m[2]:
+            if m[0] == "<![CDATA[":
+                end = raw.find("]]>", m.end())
+                text.append(_html.escape(raw[m.end() : end if end >= 0 else len(raw)]))
+                at = end + 3 if end >= 0 else len(raw)
+            else:
+                mark = "-->" if m[0] == "<!--" else ">"
+                end = raw.find(mark, m.end())
+                at = end + len(mark) if end >= 0 else len(raw)
+            continue
+        closing, tag = m[1], m[2].lower()
+        end = page.tag_end(m.end())
+        if end < 0:  # no tag ends any more: the rest is text
+            text.append(_html.escape(raw[m.start() :]) if "<" not in raw[m.start() + 1 :] else raw[m.start() :])
+            at = len(raw)
             break
-        closing, tag, attributes = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], (m[5] or "").lower(), m[6] or "")
-        at = m.end()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                text.append(_html.escape(m[0][9:].removesuffix("]]>")))
-        elif tag == "br":
+        attributes, at = raw[m.end() : end], end + 1
+        if tag == "br":
             text.append(" ")
         elif closing:  # an end tag closes what is open inside its element
-            if any(t == tag for t, _ in stack):
+            if count.get(tag):
                 flush()
-                while stack:
-                    open_tag, kind = stack.pop()
-                    if open_tag == tag:
-                        break
+                while pop() != tag:
+                    pass
             elif tag in BLOCK:
                 flush()
         elif tag in RAW:
-            if tag in BLOCK and tag not in INLINE:
-                flush()
+            flush()
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = page.raw_end(tag, at)
         else:
-            marked = _furniture(tag, attributes, kind == ARTICLE)
-            if tag in BLOCK or marked:
+            if tag in BLOCK:
                 flush()
+            marked = 0 if tag in VOID else _furniture(tag, attributes, kind == ARTICLE)
+            if marked:
+                flush()
+                if not page.closes(tag, at):
+                    if kind in (ARTICLE, LOOSE, SOFT):
+                        kind, unclosed = marked, kind
+                    continue
             if tag == "p" and stack and stack[-1][0] == "p":
-                kind = stack.pop()[1]
+                pop()
             if tag in VOID or attributes.endswith("/") and tag not in BLOCK or not (tag in BLOCK or marked):
                 continue
             stack.append((tag, kind))
+            count[tag] = count.get(tag, 0) + 1
             if tag == "head":
                 kind = NO
             elif kind in (ARTICLE, LOOSE, SOFT):
                 kind = marked if marked else ARTICLE if tag in ("article", "main") else kind
+    text.append(raw[at:])
     flush()
     return out
 
@@ -195,8 +263,9 @@ def url_key(url: str | None) -> tuple[str, str]:
     return host, parts.path or "/"
 
 
-_KEY = pa.schema([("part", pa.int32()), ("role", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("whole", pa.string()), ("url", pa.string()), ("lines", pa.list_(pa.string())), ("kinds", pa.binary())])
-_KEY_DDL = "part int, role int, host string, path string, digest string, page_id bigint, whole string, url string, lines array<string>, kinds binary"
+_PARSED = pa.schema([("host", pa.string()), ("path", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("whole", pa.string()), ("url", pa.string()), ("kinds", pa.binary()), ("size", pa.int64()), ("lines", pa.binary())])
+_PARSED_DDL = "host string, path string, digest string, page_id bigint, whole string, url string, kinds binary, size bigint, lines binary"
+_DEALT = pa.schema([("part", pa.int32()), ("role", pa.int32()), *_PARSED])
 _ORDER = ["host", "path", "digest", "page_id", "whole"]
 BEFORE, OWN, AFTER = range(3)
 
@@ -206,36 +275,59 @@ def order_key(row) -> tuple:
     return row["host"], row["path"], row["digest"], row["page_id"] is not None, row["page_id"] or 0, row["whole"]
 
 
-def parse(pages: DataFrame, bounds: list[tuple] | None = None, edges: dict[tuple, list[tuple[int, int]]] | None = None) -> DataFrame:
-    """part (by bounds), role, host, path, digest of the unmarked lines, page_id, digest of all
-    lines, url, the lines, and their kinds, a byte each. Without bounds lines and kinds are null.
-    edges: (part, role) of the further places that a page of that order key goes to."""
+def lines_of(row: dict) -> list[str]:
+    """The lines of a parsed row."""
+    if not row["kinds"]:
+        return []
+    return pa.decompress(row["lines"], decompressed_size=row["size"], codec="zstd", asbytes=True).decode().split("\n")
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """host, path, digest of the unmarked lines, page_id, digest of all lines, url, the lines' kinds,
+    a byte each, and the lines, compressed, with their size."""
     import hashlib
-    from bisect import bisect_right
 
     def digest(*values: bytes) -> str:
         return hashlib.blake2b(b"\0".join(values), digest_size=16).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = set()
         for part in text_chunks(batches, "html"):
             out = []
             for page_id, url, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 found = blocks(html)
                 host, path = url_key(url)
                 kinds = bytes(k for _, k in found)
-                unmarked = digest(*(x.encode() for x, k in found if k in (ARTICLE, LOOSE)))
-                row = {"part": 0, "role": OWN, "host": host, "path": path, "digest": unmarked, "page_id": page_id, "whole": digest(kinds, *(x.encode() for x, _ in found)), "url": url, "lines": None, "kinds": None}
-                if bounds is not None:
-                    key = order_key(row)
-                    row |= {"part": bisect_right(bounds, key), "lines": [x for x, _ in found], "kinds": kinds}
-                    if key in edges and key not in sent:
-                        sent.add(key)
-                        out += [row | {"part": p, "role": r} for p, r in edges[key]]
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=_KEY)
+                lines = [x.encode() for x, _ in found]
+                data = b"\n".join(lines)
+                unmarked = digest(*(x for x, k in zip(lines, kinds) if k in (ARTICLE, LOOSE)))
+                out.append({
+                    "host": host, "path": path, "digest": unmarked, "page_id": page_id, "whole": digest(kinds, *lines), "url": url, "kinds": kinds,
+                    "size": len(data), "lines": pa.compress(data, codec="zstd", asbytes=True) if data else b"",
+                })
+            yield pa.RecordBatch.from_pylist(out, schema=_PARSED)
+
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, _PARSED_DDL)
+
+
+def deal(parsed: DataFrame, bounds: list[tuple], edges: dict[tuple, list[tuple[int, int]]]) -> DataFrame:
+    """Parsed pages with part (by bounds) and role. edges: (part, role) of the further places that a
+    page of that order key goes to."""
+    from bisect import bisect_right
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()
+        for batch in batches:
+            keys = [order_key(r) for r in batch.select(_ORDER).to_pylist()]
+            places = [[(bisect_right(bounds, k), OWN)] for k in keys]
+            for found, k in zip(places, keys):
+                if k in edges and k not in sent:
+                    sent.add(k)
+                    found += edges[k]
+            rows = batch.take(pa.array([i for i, found in enumerate(places) for _ in found], type=pa.int64()))
+            flat = [x for found in places for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in flat], pa.int32()), pa.array([r for _, r in flat], pa.int32()), *rows.columns], schema=_DEALT)
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, _KEY_DDL)
+    return parsed.mapInArrow(run, f"part int, role int, {_PARSED_DDL}")
 
 
 def part_ends(keys: DataFrame, bounds: list[tuple]) -> list:
@@ -320,12 +412,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("partner_id", pa.int64()), ("n_shared", pa.int64())])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = materialize(parse(pages).select(_ORDER), "page-keys")
+    parsed = materialize(parse(pages), "pages")
+    keys = parsed.select(_ORDER)
     share = min(1.0, 60 * n / max(1, keys.count()))
     sample = sorted(map(order_key, (r.asDict() for r in keys.sample(share, seed=1).collect())))
     bounds = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
     edges, starts, stops = neighbours(part_ends(keys, bounds))
-    dealt = parse(pages, bounds, edges).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "role", *_ORDER, "url")
+    dealt = deal(parsed, bounds, edges).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "role", *_ORDER, "url")
 
     def common(a: str, b: str) -> int:
         return len(os.path.commonprefix([a, b]))
@@ -333,10 +426,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     def solve(run: dict, before: dict | None, after: dict | None) -> Iterator[dict]:
         near = [(-common(x["path"], path), x) for x, path in ((before, run["start"]), (after, run["stop"])) if x and x["host"] == run["host"]]
         near = [x for _, x in sorted(near, key=lambda x: x[0])]
+        others = [lines_of(x) for x in near]
         texts: dict[bytes, tuple[str, int]] = {}
         for page_id, url, kinds in run["pages"]:
             if kinds not in texts:
-                gone = template(run["lines"], kinds, [x["lines"] for x in near])
+                gone = template(run["lines"], kinds, others)
                 texts[kinds] = "\n".join(x for i, x in enumerate(run["lines"]) if i not in gone), len(gone)
             text, n_gone = texts[kinds]
             yield {"page_id": page_id, "url": url, "text": text, "n_chars": len(text), "partner_id": near[0]["page_id"] if near else None, "n_shared": n_gone}
@@ -363,7 +457,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             kinds = bytes(row["kinds"][i] for i in unmarked)
             if not run:
                 begins = before is None or before["role"] == BEFORE
-                run = {"host": row["host"], "digest": row["digest"], "lines": [row["lines"][i] for i in unmarked], "start": starts[part] if begins else row["path"], "pages": []}
+                run = {"host": row["host"], "digest": row["digest"], "lines": [x for x, k in zip(lines_of(row), row["kinds"]) if k in (ARTICLE, LOOSE)], "start": starts[part] if begins else row["path"], "pages": []}
             run["pages"].append((row["page_id"], row["url"], kinds))
             run["stop"] = row["path"]
             last = row

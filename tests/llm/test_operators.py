@@ -482,6 +482,71 @@ def test_differencing_of_copies_and_task_edges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_main_text_keeps_what_only_looks_like_furniture():
+    from filingspark.llm.html_main import ARTICLE, LOOSE, MARKED, blocks
+
+    kept = lambda page: [x for x, k in blocks(page) if k == ARTICLE]
+    assert kept('<article><p>one</p><p data-x="' + "a" * 5000 + ' > LEAK ">two</p></article>') == ["one", "two"]
+    assert kept("<article><p>it's <a title=it's href='a>b'>a link</a></p></article>") == ["it's a link"]
+    assert kept("<article><p>one<button>press<p>two</p><p>three</p></article>") == ["one", "two", "three"]
+    assert kept("<article><p>one</p><script>var a = 1;<p>two</p></article>") == ["one", "two"]
+    assert kept("<article><p>sum <math><mi>x</mi></math> of <object>y</object></p></article>") == ["sum x of y"]
+    assert kept("<article><div class='related work'>a</div><p class='notice-of-law'>b</p><div class='related-posts'>no</div><div class=ad>no</div><p data-y='class=ad'>c</p></article>") == ["a", "b", "c"]
+    assert [x for x, k in blocks("<body><nav>menu<p>text</body>") if k == LOOSE] == ["text"]
+    assert [x for x, k in blocks("<body><nav>menu<p>text</p></nav>") if k == MARKED] == ["menu", "text"]
+    for broken in ('<a "', "<a x='", "<p ", "<!--", "<script>", "<button>", "<![CDATA[", "<a x='\" y=\"'"):
+        blocks(broken * 50_000)  # in time linear in the length
+
+
+def test_differencing_against_brute_force(spark):
+    """Every page's text by a plain version over the whole list, whatever the number of tasks."""
+    import os
+
+    from filingspark.llm import html_main as H
+
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(12)]
+    rows = []
+    for i in range(90):
+        tag = ["p", "div", "nav"]
+        body = "".join(f"<{t}>{' '.join(rng.choice(words, rng.integers(1, 3)))}</{t}>" for t in rng.choice(tag, rng.integers(0, 7)))
+        rows.append((i, f"http://h{rng.integers(0, 4)}/{'ab'[rng.integers(0, 2)]}/{rng.integers(0, 9)}", f"<div>site</div><main>{body}</main><div>foot</div>" if i % 5 else f"<div>site</div>{body}<div>foot</div>"))
+    rows += [(100 + i, *rows[7][1:]) for i in range(6)]
+
+    order = []
+    for page_id, url, html in rows:
+        found = H.blocks(html)
+        host, path = H.url_key(url)
+        order.append((host, path, page_id, found, tuple(x for x, k in found if k in (H.ARTICLE, H.LOOSE))))
+    keys = {r.page_id: H.order_key(r.asDict()) for r in H.parse(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    order.sort(key=lambda x: keys[x[2]])
+    runs: list[list] = []
+    for x in order:
+        if runs and (runs[-1][0][0], runs[-1][0][4]) == (x[0], x[4]):
+            runs[-1].append(x)
+        else:
+            runs.append([x])
+    want = {}
+    for i, run in enumerate(runs):
+        near = []
+        for j, mine, other in ((i - 1, 0, -1), (i + 1, -1, 0)):
+            if 0 <= j < len(runs) and runs[j][0][0] == run[0][0]:
+                x = runs[j][other]
+                near.append((-len(os.path.commonprefix([x[1], run[mine][1]])), [t for t, _ in x[3]]))
+        near = [x for _, x in sorted(near, key=lambda x: x[0])]
+        for x in run:
+            kinds = bytes(k for _, k in x[3] if k in (H.ARTICLE, H.LOOSE))
+            gone = H.template(list(x[4]), kinds, near)
+            want[x[2]] = "\n".join(t for k, t in enumerate(x[4]) if k not in gone)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    try:
+        for n in (1, 7, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {r.page_id: r.text for r in H.main_text(pages).collect()} == want, n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # -- the pipeline ---------------------------------------------------------------------------------
 
 
