@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,13 @@ _OWN_DIR: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (a local test) is a temporary folder made.
-    """
+    Only where that setting is absent and all runs in one process (a local test) is a temporary
+    folder made; on a cluster its absence is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _OWN_DIR.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="filingspark-"))
 
 
@@ -70,34 +72,20 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 <
             start = stop
 
 
-def stretches(column: pa.Array, limit: int, mark: str) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """A text column in parts of about `limit` bytes: the rows that the part's texts belong to, and
-    the texts. A longer text is cut behind the last `mark` before the limit, or at it if there is
-    none, so that what is worked on at once has a bound; nothing is left out."""
-    sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype("float64"))
-    if sizes.sum() <= limit:
-        yield np.arange(len(column)), column
-        return
-    rows: list[int] = []
-    texts: list[str | None] = []
-    held = 0
-    for i, text in enumerate(column.to_pylist()):
-        at = 0
-        while True:
-            end = len(text or "")
-            if end - at > limit:
-                end = (text.rfind(mark, at, at + limit) + 1) or at + limit
-            piece = text[at:end] if text else text
-            if rows and held + len(piece or "") > limit:
-                yield np.array(rows), pa.array(texts, type=pa.large_string())
-                rows, texts, held = [], [], 0
-            rows.append(i)
-            texts.append(piece)
-            held += len(piece or "")
-            at = end
-            if at >= len(text or ""):
-                break
-    yield np.array(rows, dtype=np.int64), pa.array(texts, type=pa.large_string())
+def run_sums(value: Callable[[int, int], np.ndarray], starts: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Sums of value(a, b), the values of places a to b, over runs that begin at `starts` and follow
+    each other to n. Values are made for `window` places at a time; a run may span windows."""
+    out = None
+    for a in range(int(starts[0]), n, window):
+        b = min(n, a + window)
+        first, stop = int(np.searchsorted(starts, a, side="right")) - 1, int(np.searchsorted(starts, b, side="left"))
+        part = np.add.reduceat(value(a, b), np.concatenate([[0], starts[first + 1 : stop] - a]), axis=0)
+        if a == int(starts[0]) and b == n:
+            return part
+        if out is None:
+            out = np.zeros((len(starts), *part.shape[1:]), dtype=np.float64 if part.dtype.kind == "f" else part.dtype)
+        out[first:stop] += part
+    return out
 
 
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +102,13 @@ def to_batch(data: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(k).type) for k, x in ((f.name, data[f.name]) for f in schema)], schema=schema)
 
 
-def sample_ids(rows: DataFrame, key: str, strata: list[str], per_stratum: int) -> DataFrame:
-    """At most per_stratum keys of every stratum: those with the least hash, so that the same
-    rows come out however the table is cut. Feeds the fitting of classifiers only."""
-    from pyspark.sql import Window
+def hash_place(key: str) -> Column:
+    """A place from 0 to 1 that a row's key hashes to, the same however the table is cut."""
+    return F.xxhash64(F.lit(11), F.col(key).cast("string")) / F.lit(2.0**64) + 0.5
 
-    order = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key))
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_stratum).drop("_rank")
+
+def stretch(text: str, key: str, chars: int) -> Column:
+    """A text of at most `chars` characters whole; of a longer one a stretch from a place that its
+    key hashes to. Feeds the fitting of classifiers only."""
+    start = F.pmod(F.xxhash64(F.lit(5), F.col(key).cast("string")), F.greatest(F.length(text) - chars + 1, F.lit(1))) + 1
+    return F.when(F.length(text) > chars, F.substr(F.col(text), start.cast("int"), F.lit(chars))).otherwise(F.col(text))

@@ -7,9 +7,11 @@ The chain's transitions are learned on code-switched sequences put together from
 documents of different languages. Forward-backward labels every word of a text; the text's language
 is the one with the largest sum of marginals, weighted by word length, and the score its share.
 
-Fitting uses at most `per_language` documents of each of at most `most_languages` languages, those
-with the least hash, of at most `train_chars` characters; prediction reads every text whole. A text of more
-than 2 MB is labelled in stretches of that size, each a chain of its own, which bounds memory.
+Fitting uses at most `per_language` documents of each language, those with the least hash, and of a
+document at most `train_chars` characters, a stretch from a place that its id hashes to; with many
+languages fewer documents of each, so that they are at most `most_documents` in all. Prediction reads
+every text whole, as one chain: features are made for WINDOW bytes and labelled for PART words at a
+time, and what the chain carries over is carried exactly, so memory per byte has a bound.
 
 Defined results: null text, and text without a letter, gives `und` with score 0; so does every
 text if there is nothing to learn from. Ties go to the language first in order. Repeated rows come
@@ -28,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingspark.llm import crf
-from filingspark.llm.common import crc_bucket, flat_text, sample_ids, stretches, text_chunks, to_batch
+from filingspark.llm.common import crc_bucket, flat_text, hash_place, run_sums, stretch, text_chunks, to_batch
 
 UND = "und"
-STRETCH = 2 << 20
+WINDOW, PART = 2 << 20, 1 << 18
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -40,45 +42,56 @@ NONE = sum(_TABLE)  # the row that always weighs nothing
 _POWERS = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(256)], dtype=np.uint64)
 
 
-@dataclass
 class Words:
-    """The words of some texts: gram rows by byte position, and per word its first position,
-    length, hash and text."""
-
-    grams: list[np.ndarray]
-    at: np.ndarray
-    size: np.ndarray
-    hash: np.ndarray
-    doc: np.ndarray
-
-
-def words_of(column: pa.Array) -> Words:
-    lowered = pc.binary_join_element_wise(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
-    data, offsets = flat_text(lowered)
-    letter = np.concatenate([[False], _LETTER[data], [False, False, False]])
-    c = np.where(letter, np.concatenate([[32], data, [32, 32, 32]]), 32).astype(np.uint32)
-    n = len(data) + 1
-    letter_at = letter[:-1]
-    at = np.flatnonzero(letter_at[1:] & ~letter_at[:-1])  # the mark before each word
-    ends = np.flatnonzero(letter_at[:-1] & ~letter_at[1:])
-    size = ends - at
-    l0, l1, l2 = letter[:n], letter[1 : n + 1], letter[2 : n + 2]
-    c0, c1, c2, c3 = (c[i : n + i] for i in range(4))
-    two = np.where(l0 | l1, c0 | c1 << 8, NONE).astype(np.int32)
-    tri = c0 | c1 << 8 | c2 << 16
-    three = np.where(l1, _TABLE[0] + ((tri * np.uint32(2654435761)) >> 16), NONE).astype(np.int32)
-    four = np.where(l1 & l2, _TABLE[0] + _TABLE[1] + (((tri * np.uint32(2246822519)) ^ (c3 * np.uint32(3266489917))) * np.uint32(668265263) >> 15), NONE).astype(np.int32)
-    if len(at):
-        word_no = np.cumsum(np.bincount(at + 1, minlength=n + 1)[:n]) - 1
-        inner = np.flatnonzero(letter_at[:n])
-        pos = (inner - at[word_no[inner]] - 1) & 255
+    """The words of some texts, one text per row of a column: per word the place of the mark before
+    it, its length, text and hash. Place p is the byte p - 1 of the texts, each ended by a line end;
+    place 0 is a mark."""
+
+    def __init__(self, column: pa.Array):
+        lowered = pc.binary_join_element_wise(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
+        self.data, offsets = flat_text(lowered)
+        letter = np.concatenate([[False], _LETTER[self.data], [False]])
+        self.at = np.flatnonzero(letter[1:] & ~letter[:-1])
+        self.size = np.flatnonzero(letter[:-1] & ~letter[1:]) - self.at
+        self.doc = np.searchsorted(offsets, self.at, side="right") - 1
+        self.first = np.concatenate([[True], self.doc[1:] != self.doc[:-1]]) if len(self.at) else np.zeros(0, dtype=bool)
+        self.end = len(self.data) + 1
+        self.hash = self._hashes()
+
+    def _window(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes (marks as 32) and whether they are letters, of places a to b and three beyond."""
+        raw = self.data[max(a - 1, 0) : b + 2]
+        raw = np.concatenate([np.full(1 if a == 0 else 0, 32, dtype=np.uint8), raw])
+        raw = np.concatenate([raw, np.full(b + 3 - a - len(raw), 32, dtype=np.uint8)])
+        letter = _LETTER[raw]
+        return np.where(letter, raw, 32).astype(np.uint32), letter
+
+    def _hashes(self) -> np.ndarray:
+        if not len(self.at):
+            return np.zeros(0, dtype=np.uint64)
+
+        def value(a: int, b: int) -> np.ndarray:
+            c, letter = self._window(a, b)
+            i, j = np.searchsorted(self.at, [a, b])
+            word = np.cumsum(np.bincount(self.at[i:j] - a, minlength=b - a)) + (i - 1)
+            pos = (np.arange(a, b) - self.at[word] - 1) & 255
+            return np.where(letter[: b - a], (c[: b - a].astype(np.uint64) + np.uint64(7)) * _POWERS[pos], np.uint64(0))
+
         with np.errstate(over="ignore"):
-            h = np.add.reduceat((c[inner].astype(np.uint64) + np.uint64(7)) * _POWERS[pos], np.searchsorted(inner, at + 1))
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    else:
-        h = np.zeros(0, dtype=np.uint64)
-    doc = np.searchsorted(offsets, at, side="right") - 1
-    return Words([two, three, four], at, size, h, doc)
+            h = run_sums(value, self.at, self.end, WINDOW)
+            return (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+
+    def grams(self, a: int, b: int) -> list[np.ndarray]:
+        """The table rows of the 2-, 3- and 4-grams that begin at places a to b."""
+        c, letter = self._window(a, b)
+        n = b - a
+        l0, l1, l2 = letter[:n], letter[1 : n + 1], letter[2 : n + 2]
+        c0, c1, c2, c3 = (c[i : n + i] for i in range(4))
+        two = np.where(l0 | l1, c0 | c1 << 8, NONE).astype(np.int32)
+        tri = c0 | c1 << 8 | c2 << 16
+        three = np.where(l1, _TABLE[0] + ((tri * np.uint32(2654435761)) >> 16), NONE).astype(np.int32)
+        four = np.where(l1 & l2, _TABLE[0] + _TABLE[1] + (((tri * np.uint32(2246822519)) ^ (c3 * np.uint32(3266489917))) * np.uint32(668265263) >> 15), NONE).astype(np.int32)
+        return [two, three, four]
 
 
 @dataclass
@@ -95,8 +108,22 @@ class Model:
         i = np.minimum(np.searchsorted(self.lexicon, h), len(self.lexicon) - 1)
         return np.where(self.lexicon[i] == h, i + 1, 0)
 
-    def scores(self, w: Words) -> np.ndarray:
-        return emit(self.weights, w, self.lexicon_rows(w.hash))
+    def scores(self, w: Words, lex: np.ndarray, i: int, j: int) -> np.ndarray:
+        """Label scores of the words i to j."""
+        table, words = self.weights
+
+        def value(a: int, b: int) -> np.ndarray:
+            two, three, four = w.grams(a + base, b + base)
+            total = table[two]
+            total += table[three]
+            total += table[four]
+            return total
+
+        if i == j:
+            return np.zeros((0, len(self.languages)))
+        base = int(w.at[i])
+        stop = int(w.at[j]) if j < len(w.at) else w.end
+        return run_sums(value, w.at[i:j] - base, stop - base, WINDOW).astype(np.float64) + words[lex[i:j]]
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and the shares [n, L] of every text."""
@@ -104,13 +131,13 @@ class Model:
         if not k:
             return [UND] * n, np.zeros(n), np.zeros((n, 0))
         total = np.zeros((n, k))
-        for rows, part in stretches(column, STRETCH, " "):
-            w = words_of(part)
-            if not len(w.doc):
-                continue
-            first = np.concatenate([[True], w.doc[1:] != w.doc[:-1]])
-            p, _ = crf.marginals(self.scores(w), first, self.trans, self.start)
-            total += np.stack([np.bincount(rows[w.doc], p[:, j] * w.size, n) for j in range(k)], axis=1)
+        w = Words(column)
+        lex = self.lexicon_rows(w.hash)
+        parts = max(1, -(-len(w.at) // PART))
+        span = lambda i: (i * PART, min(len(w.at), (i + 1) * PART))
+        for i, p in crf.posteriors(lambda i: (self.scores(w, lex, *span(i)), w.first[slice(*span(i))]), parts, self.trans, self.start):
+            at = slice(*span(i))
+            total += np.stack([np.bincount(w.doc[at], p[:, j] * w.size[at], n) for j in range(k)], axis=1)
         mass = total.sum(axis=1)
         share = total / np.maximum(mass, 1e-300)[:, None]
         best = share.argmax(axis=1)
@@ -125,21 +152,11 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return plain
 
 
-def emit(weights: list[np.ndarray], w: Words, lex: np.ndarray) -> np.ndarray:
-    table, words = weights
-    if not len(w.at):
-        return np.zeros((0, table.shape[1]))
-    total = table[w.grams[0]]
-    total += table[w.grams[1]]
-    total += table[w.grams[2]]
-    return np.add.reduceat(total, w.at, axis=0).astype(np.float64) + words[lex]
-
-
 def train(texts: list[str], labels: list[str], *, rounds: int = 30, lexicon_size: int = 20_000, seed: int = 5) -> Model:
     languages = sorted(set(labels))
     if not languages:
         return Model([], [], np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros(0))
-    w, k = words_of(pa.array(texts, type=pa.large_string())), len(languages)
+    w, k = Words(pa.array(texts, type=pa.large_string())), len(languages)
     number = {x: i for i, x in enumerate(languages)}
     y_doc = np.array([number[x] for x in labels])
     found, counts = np.unique(w.hash, return_counts=True)
@@ -159,8 +176,8 @@ def train(texts: list[str], labels: list[str], *, rounds: int = 30, lexicon_size
     if len(perm):
         first[np.cumsum([0, *(stops - bounds)[order][:-1]])[::5]] = True
     y = y_doc[w.doc][perm]
-    span = np.repeat(np.arange(len(w.at)), np.diff(np.append(w.at, len(w.grams[0])))) if len(w.at) else np.zeros(0, dtype=int)
-    grams = [g[w.at[0] :] if len(w.at) else g[:0] for g in w.grams]
+    grams = w.grams(int(w.at[0]), w.end) if len(w.at) else [np.zeros(0, dtype=np.int32)] * 3
+    span = np.repeat(np.arange(len(w.at)), np.diff(np.append(w.at, w.end)))
     back = np.argsort(perm)
 
     def pull(grad: np.ndarray) -> list[np.ndarray]:
@@ -174,19 +191,40 @@ def train(texts: list[str], labels: list[str], *, rounds: int = 30, lexicon_size
         by_word[0] = 0
         return [by_row, by_word]
 
+    def emit(ws: list[np.ndarray]) -> np.ndarray:
+        if not len(w.at):
+            return np.zeros((0, k))
+        total = ws[0][grams[0]]
+        total += ws[0][grams[1]]
+        total += ws[0][grams[2]]
+        return (np.add.reduceat(total, w.at - w.at[0], axis=0).astype(np.float64) + ws[1][lex])[perm]
+
     weights = [np.zeros((NONE + 1, k), dtype=np.float32), np.zeros((len(lexicon) + 1, k))]
-    model.weights, model.trans, model.start = crf.fit(lambda ws: emit(ws, w, lex)[perm], pull, weights, y, first, k, rounds=rounds, rate=0.15, l2=0.5)
+    model.weights, model.trans, model.start = crf.fit(emit, pull, weights, y, first, k, rounds=rounds, rate=0.15, l2=0.5)
     return model
 
 
-def fit(documents: DataFrame, *, held_out_mod: int = 5, per_language: int = 120, most_languages: int = 64, train_chars: int = 40_000) -> Model:
+def fit(documents: DataFrame, *, held_out_mod: int = 5, per_language: int = 120, most_documents: int = 6000, train_chars: int = 10_000) -> Model:
     """A model of the rows whose crc32(doc_id as text) mod held_out_mod is not 0."""
-    rows = documents.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= train_chars) & (F.coalesce(crc_bucket(F.col("doc_id"), held_out_mod), F.lit(1)) != 0))
-    keys = sample_ids(rows.select("doc_id", "lang"), "doc_id", ["lang"], per_language)
-    names = [r[0] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    chosen = F.broadcast(keys.where(F.col("lang").isin(names)).select("doc_id").distinct())  # at most per_language * most_languages ids
-    found = sorted((r[0], r[1], r[2]) for r in rows.join(chosen, "doc_id", "left_semi").select("doc_id", "lang", "text").collect() if r[1] in set(names))
-    return train([r[2] for r in found], [r[1] for r in found])
+    rows = documents.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.coalesce(crc_bucket(F.col("doc_id"), held_out_mod), F.lit(1)) != 0))
+    totals = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    per = max(1, min(per_language, most_documents // max(1, len(totals))))
+    # Hashes spread evenly, so rows under this share of their range hold the `per` least of each
+    # language, unless copies of one id crowd them; only these few come to the driver.
+    share = F.lit(0.0)
+    for size in sorted({t.bit_length() for t in totals.values()}):
+        names = [x for x, t in totals.items() if t.bit_length() == size]
+        share = F.when(F.col("lang").isin(names), (2.0 * per + 20) / (1 << size - 1)).otherwise(share)
+    place = hash_place("doc_id")
+    found = rows.where(F.coalesce(place, F.lit(0.0)) <= share).select(place.alias("place"), "doc_id", "lang", stretch("text", "doc_id", train_chars).alias("text")).distinct().collect()
+    chosen: list[tuple] = []
+    taken: dict[str, int] = {}
+    for r in sorted(found, key=lambda r: (r[0] is None, r[0] or 0.0, r[2], r[3])):
+        taken[r[2]] = taken.get(r[2], 0) + 1
+        if taken[r[2]] <= per:
+            chosen.append((r[1] is None, r[1] if r[1] is not None else 0, r[2], r[3]))
+    chosen.sort()
+    return train([r[3] for r in chosen], [r[2] for r in chosen])
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

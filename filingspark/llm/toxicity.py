@@ -1,15 +1,18 @@
 """Toxicity from a weighted lexicon matched by an Aho-Corasick automaton.
 
-Text is lower-cased and folded first: look-alike letters of other alphabets, full-width letters and
-digits or signs that stand for letters become Latin letters, and invisible characters go. The
-lexicon holds whole words and word beginnings (stems); an entry's weight is a lower
-bound of its log-odds between toxic and other documents. The automaton finds every entry; of the entries that match at
-one word the heaviest counts, and a match inside an exception phrase does not. A document's
-evidence is the sum of its weights and that sum divided by its length; a logistic curve fitted on
-the learning rows turns both into the score.
-
-Counting uses at most `per_class` labelled rows of each class, those with the least hash, of at
-most `train_chars` characters; scoring reads every text whole.
+Text is lower-cased and folded first: accents go, look-alike letters of other alphabets, full-width
+letters and digits or signs that stand for letters become Latin letters, and invisible characters
+go. The lexicon holds whole words and word beginnings (stems); an entry's weight is a lower bound of
+its log-odds between toxic and other documents. The automaton finds every entry; of the entries that
+match at one word the heaviest counts, and a match inside an exception phrase does not. Exception
+phrases are the caller's, and those learned: an entry's word with the word before or behind it, if
+that pair stands surely more in clean documents than in toxic ones. A document's evidence is the sum
+of its weights and that sum divided by its number of words, both as logarithms; a logistic curve
+fitted on the learning rows turns them into the score.
+
+Counting uses at most `per_class` labelled rows of each class, those with the least hash, and of a
+text at most `train_chars` characters, a stretch from a place that its id hashes to; scoring reads
+every text whole.
 
 Defined results: null and empty texts, and all texts if nothing was learned, score the curve's
 value without evidence (0.0 if there is no curve); repeated rows come out as often as they went in;
@@ -19,6 +22,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,9 +41,9 @@ HOMOGLYPHS = (
     ("ӏℓ", "l"), ("м", "m"), ("пո", "n"), ("оοօσ", "o"), ("рρ", "p"), ("ԛ", "q"), ("г", "r"), ("ѕ", "s"), ("тτ", "t"),
     ("υս", "u"), ("ν", "v"), ("ѡω", "w"), ("хχ", "x"), ("уγ", "y"),
 )
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+INSIDE = {"!": "i", "|": "l"}  # between letters only: elsewhere they are signs
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "rodeo clown", "sore loser")
 
 _FOLD: dict[int, str | None] = {ord(c): to for group, to in HOMOGLYPHS for c in group}
 _FOLD |= {ord(c): None for c in INVISIBLE}
@@ -48,16 +52,22 @@ _ODD = re.compile(f"[{''.join(map(chr, _FOLD))}]")
 _SUB = str.maketrans(SUBSTITUTES)
 # A run of letters, digits and signs that holds a substitute, from its beginning; possessive, so that
 # long runs cost their length. The substitute counts if the run holds a letter.
-_MIXED = re.compile(r"(?<![\w@$])[^\W\d]*+[013457@$][\w@$]*+")
+_MIXED = re.compile(r"(?<![\w@$])[^\W\d]*+[01345789@$][\w@$]*+")
 _LETTER = re.compile(r"[^\W\d_]")
-_DIGIT = re.compile(r"[013457@$]")
+_DIGIT = re.compile(r"[01345789@$]")
+_INSIDE = re.compile(r"(?<=[^\W_])[!|](?=[^\W_])")
+_MARKS = re.compile("[\u0300-\u036f]+")
 _BREAK = re.compile(r"[^\w]+|_+")
 
 
 def fold(text: str | None) -> str:
     text = (text or "").lower()
-    if _ODD.search(text):
-        text = text.translate(_FOLD)
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+        if _ODD.search(text):
+            text = text.translate(_FOLD)
+    if "!" in text or "|" in text:
+        text = _INSIDE.sub(lambda m: INSIDE[m[0]], text)
     if _DIGIT.search(text):
         text = _MIXED.sub(lambda m: m[0].translate(_SUB) if _LETTER.search(m[0]) else m[0], text)
     return text
@@ -72,7 +82,7 @@ def words_of(text: str | None) -> str:
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: tuple[float, ...] | None = None
     _automaton: object = None
 
@@ -83,7 +93,7 @@ class Lexicon:
             a = ahocorasick.Automaton()
             entries: dict[str, tuple[int, float]] = {f" {s}": (0, w) for s, w in self.stems.items()}
             entries |= {f" {t} ": (0, w) for t, w in self.words.items()}
-            entries |= {f" {p} ": (1, 0.0) for p in self.exceptions}
+            entries |= {words_of(p): (1, 0.0) for p in self.exceptions}
             for text, (kind, weight) in entries.items():
                 a.add_word(text, (kind, len(text), weight))
             a.make_automaton()
@@ -106,13 +116,16 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        return {s: w for s, w in found.items() if not any(b <= s < e for b, e in spared)} if spared else found
+        if not spared:
+            return found
+        inside = {i for b, e in spared for i in range(b, e)}
+        return {s: w for s, w in found.items() if s not in inside}
 
     def evidence(self, text: str | None) -> tuple[float, float, float]:
         spaced = words_of(text)
         total = sum(self.hits(spaced).values())
         n = max(1, spaced.count(" ") - 1)
-        return 1.0, min(total, 50.0), 100.0 * total / n if n > 100 else total
+        return 1.0, float(np.log1p(total)), float(np.log1p(100.0 * total / n))
 
     def score(self, text: str | None) -> float:
         if self.curve is None:
@@ -127,17 +140,21 @@ def log_odds(toxic: int, clean: int, n_toxic: int, n_clean: int, z: float = 1.64
     return float(ratio - z * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
 
 
-def train(texts: list[str], labels: list[int], *, stem_sizes: tuple[int, ...] = (4, 5, 6), least: int = 5, least_odds: float = 1.8, most: int = 5000) -> Lexicon:
+def train(
+    texts: list[str], labels: list[int], *, exceptions: tuple[str, ...] = (), stem_sizes: tuple[int, ...] = (4, 5, 6), least: int = 5, least_odds: float = 1.8, most: int = 5000
+) -> Lexicon:
     """Entries in at least `least` toxic documents, after at least as many different words, whose
     log-odds are surely at least least_odds; at most `most` of each kind, the heaviest. A stem is left out if one word makes up half of it,
-    or if a longer stem holds nearly all of it."""
+    or if a longer stem holds nearly all of it. exceptions: phrases in which no entry counts, beside
+    those learned."""
     n = [labels.count(0), labels.count(1)]
-    lexicon = Lexicon()
+    lexicon = Lexicon(exceptions=tuple(exceptions))
     if not all(n):
         return lexicon
+    rows = [words_of(t).split() for t in texts]
     words, stems = (Counter(), Counter()), (Counter(), Counter())
-    for text, label in zip(texts, labels):
-        found = set(words_of(text).split())
+    for row, label in zip(rows, labels):
+        found = set(row)
         words[label].update(found)
         stems[label].update({w[:k] for w in found for k in stem_sizes if len(w) > k})
 
@@ -151,9 +168,8 @@ def train(texts: list[str], labels: list[int], *, stem_sizes: tuple[int, ...] =
     lexicon.words, found = chosen(words), chosen(stems)
     # In copies of one document a rare word always stands after the same word.
     after: dict[str, set[str]] = {}
-    for text, label in zip(texts, labels):
-        row = words_of(text).split() if label else []
-        for before, w in zip(["", *row], row):
+    for row, label in zip(rows, labels):
+        for before, w in zip(["", *row], row if label else []):
             if w in lexicon.words:
                 after.setdefault(f" {w} ", set()).add(before)
             for k in stem_sizes:
@@ -170,14 +186,39 @@ def train(texts: list[str], labels: list[int], *, stem_sizes: tuple[int, ...] =
             if k < len(s):
                 longer[s[:k]] = max(longer[s[:k]], stems[1][s])
     lexicon.stems = {s: w for s, w in found.items() if 1.25 * longer[s] < stems[1][s] and 2 * longest_word[s] < stems[1][s]}
+    lexicon.exceptions += learned_exceptions(rows, labels, lexicon, n, least=least, most=most)
     x = np.array([lexicon.evidence(t) for t in texts])
     lexicon.curve = tuple(crf.logistic(x, np.array(labels, dtype=float), l2=1e-4).tolist())
     return lexicon
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, held_out_mod: int = 5, held_out: int = 0, per_class: int = 4000, train_chars: int = 40_000) -> Lexicon:
+def learned_exceptions(rows: list[list[str]], labels: list[int], lexicon: Lexicon, n: list[int], *, least: int, most: int) -> tuple[str, ...]:
+    """Pairs of neighbouring words, one of them an entry's, in at least `least` clean documents and
+    between as many different words, whose log-odds of being clean are surely above zero."""
+    sizes = {len(s) for s in lexicon.stems}
+    entry = lambda w: w in lexicon.words or any(w[:k] in lexicon.stems for k in sizes if len(w) > k)
+    pairs: tuple[Counter, Counter] = (Counter(), Counter())
+    around: dict[str, set[tuple[str, str]]] = {}
+    for row, label in zip(rows, labels):
+        found = set()
+        padded = ["", *row, ""]
+        for i, w in enumerate(row):
+            if entry(w):
+                found.update({(j, f"{row[j]} {row[j + 1]}") for j in (i - 1, i) if 0 <= j < len(row) - 1})
+        pairs[label].update({p for _, p in found})
+        if not label:
+            for j, p in found:
+                around.setdefault(p, set()).add((padded[j], padded[j + 3]))
+    out = {}
+    for p, c in pairs[0].items():
+        if c >= least and len(around[p]) >= least and (w := log_odds(c, pairs[1][p], n[0], n[1])) > 0:
+            out[p] = w
+    return tuple(p for p, _ in sorted(out.items(), key=lambda x: (-x[1], x[0]))[:most])
+
+
+def fit(documents: DataFrame, labels: DataFrame, *, held_out_mod: int = 5, held_out: int = 0, per_class: int = 4000, train_chars: int = 12_000, exceptions: tuple[str, ...] = ()) -> Lexicon:
     rows, _ = labelled_sample(documents, labels, "toxic", held_out_mod=held_out_mod, held_out=held_out, per_class=per_class, train_chars=train_chars)
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    return train([r[1] for r in rows], [r[2] for r in rows], exceptions=exceptions)
 
 
 def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -287,20 +287,44 @@ def test_chain_marginals_are_exact():
     assert crf.marginals(np.zeros((0, 3)), np.zeros(0, dtype=bool), trans, start)[0].shape == (0, 3)
 
 
-def test_stretches_leave_nothing_out():
-    import pyarrow as pa
-
-    from filingspark.llm.common import stretches
+def test_chain_in_parts_is_the_whole_chain():
+    from filingspark.llm import crf
 
-    texts = ["ab cd ef gh", None, "", "x" * 25, "a b", "élan vital"]
-    for limit in (1, 4, 7, 100):
-        back = [""] * len(texts)
-        for rows, part in stretches(pa.array(texts), limit, " "):
-            for i, t in zip(rows.tolist(), part.to_pylist()):
-                back[i] += t or ""
-                assert len(t or "") <= limit or limit == 100
-        assert back == [t or "" for t in texts]
-    assert [len(r) for r, _ in stretches(pa.array([], type=pa.string()), 5, " ")] == [0]
+    rng = np.random.default_rng(4)
+    n = 331
+    scores, trans, start = 3 * rng.normal(size=(n, 4)), rng.normal(size=(4, 4)), rng.normal(size=4)
+    first = rng.random(n) < 0.02
+    first[0] = True
+    whole = crf.marginals(scores, first, trans, start)[0]
+    for size in (1, 7, 48, 50, 96, 331):
+        part = lambda i: (scores[i * size : (i + 1) * size], first[i * size : (i + 1) * size])  # noqa: B023, E731
+        got = dict(crf.posteriors(part, -(-n // size), trans, start))
+        assert np.allclose(np.concatenate([got[i] for i in sorted(got)]), whole, atol=1e-12), size
+
+
+def test_run_sums():
+    from filingspark.llm.common import run_sums
+
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 99, 60)
+    for starts in ([0], [3], [0, 1, 2, 30, 59], [5, 6, 40]):
+        want = [values[a:b].sum() for a, b in zip(starts, [*starts[1:], 60])]
+        for window in (1, 2, 7, 59, 60, 1000):
+            assert run_sums(lambda a, b: values[a:b], np.array(starts), 60, window).tolist() == want
+
+
+def plain_chain(scores, trans, start):
+    """Marginals of one chain by the textbook recursions."""
+    n, k = len(scores), len(start)
+    e, t = np.exp(np.array(scores)), np.exp(trans)
+    alpha, beta = np.zeros((n, k)), np.ones((n, k))
+    for i in range(n):
+        alpha[i] = e[i] * (np.exp(start) if i == 0 else alpha[i - 1] @ t)
+        alpha[i] /= alpha[i].sum()
+    for i in range(n - 2, -1, -1):
+        beta[i] = t @ (e[i + 1] * beta[i + 1])
+        beta[i] /= beta[i].sum()
+    return alpha * beta / (alpha * beta).sum(axis=1, keepdims=True)
 
 
 EN = "the of and that was with for this have from".split()
@@ -367,14 +391,121 @@ def test_toxicity(spark, docs, nothing):
     for text in ("1010 4 5", "idiotic the of", None, "", "the of and"):
         assert lexicon.score(text) < 0.5, text
     lexicon.words["clown"] = lexicon.words["idiot"]
-    lexicon._automaton = None
-    assert lexicon.score("the clown fish swam") < 0.5 <= lexicon.score("the clown swam")
+    lexicon.exceptions, lexicon._automaton = ("Clown-Fish", "circus clown"), None
+    assert max(lexicon.score("the clown fish swam"), lexicon.score("a circus clown fish")) < 0.5 <= lexicon.score("the clown swam")
     assert toxicity.score(docs, lexicon).count() == len(TEXTS)
     assert toxicity.score(docs, toxicity.fit(nothing, labels.limit(0))).where("score <> 0").count() == 0
     assert toxicity.score(nothing, lexicon).count() == 0
     assert toxicity.reject(docs, lexicon, 0.5).columns == docs.columns
 
 
+def test_toxicity_folding_and_evidence():
+    from filingspark.llm import toxicity as T
+
+    assert [T.fold(x) for x in ("Ídïot", "i!diot", "what!", "1D|0T", "gr8 b19", "\u0442r\u0430sh", "\uff54rash", "t\u0301rash", "a | b", "stu\u200bpid")] == ["idiot", "iidiot", "what!", "idlot", "grb big", "trash", "trash", "trash", "a | b", "stupid"]
+    lexicon = T.Lexicon(words={"idiot": 2.0, "scum": 3.0}, stems={"blarg": 1.5, "blargo": 2.5}, exceptions=("scum bag",), curve=(-2.0, 1.0, 0.5))
+    for text in ("idiot", "scum idiot the of", "scum bag scum", "blargoid blargling idiots", "x " * 300 + "idiot", "idiot " * 80, "", "scum bag", "scumbag scum-bag"):
+        words = T.words_of(text).split()
+        spared = {j for i in range(len(words) - 1) if words[i : i + 2] == ["scum", "bag"] for j in (i, i + 1)}
+        weight = lambda w: max([lexicon.words.get(w, 0.0), *(v for t, v in lexicon.stems.items() if w.startswith(t))])
+        total = sum(weight(w) for i, w in enumerate(words) if i not in spared)
+        x = -2.0 + math.log1p(total) + 0.5 * math.log1p(100 * total / max(1, len(words)))
+        assert abs(lexicon.score(text) - 1 / (1 + math.exp(-x))) < 1e-9, text
+    assert lexicon.score("idiot " * 20) < lexicon.score("idiot " * 40) < lexicon.score("idiot " * 80)
+    assert lexicon.score("idiot the") > lexicon.score("idiot the of and") > lexicon.score("idiot " + "the " * 90)
+
+
+def test_exceptions_are_learned():
+    from filingspark.llm import toxicity as T
+
+    rng = np.random.default_rng(3)
+    say = lambda: " ".join(rng.choice(EN, 6))
+    texts = [f"{say()} clown fish {say()}" for _ in range(40)] + [f"{say()} {w} {say()}" for w in ("clown", "idiot") * 150] + [f"{say()} {say()}" for _ in range(960)]
+    lexicon = T.train(texts, [0] * 40 + [1] * 300 + [0] * 960)
+    assert "clown fish" in lexicon.exceptions and set(lexicon.words) == {"clown", "idiot"}
+    assert lexicon.score("the clown fish of that") < 0.5 <= lexicon.score("the clown of that")
+    copied = ["the of clown fish and was"] * 40
+    assert T.train(copied + texts[40:], [0] * 40 + [1] * 300 + [0] * 960).exceptions == ()
+
+
+def test_language_against_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    from filingspark.llm import langid
+
+    model = langid.train(sentences(EN, 40, 1) + sentences(DE, 40, 2), ["en"] * 40 + ["de"] * 40, rounds=8)
+    a, b, _ = langid._TABLE
+    m32 = (1 << 32) - 1
+
+    def rows(word: bytes) -> list[int]:
+        x = [32, *word, 32, 32, 32]
+        n = len(word)
+        tri = lambda p: x[p] | x[p + 1] << 8 | x[p + 2] << 16
+        out = [x[p] | x[p + 1] << 8 for p in range(n + 1)]
+        out += [a + (((tri(p) * 2654435761) & m32) >> 16) for p in range(n)]
+        return out + [a + b + (((((tri(p) * 2246822519) ^ (x[p + 3] * 3266489917)) & m32) * 668265263 & m32) >> 15) for p in range(n - 1)]
+
+    def word_hash(word: bytes) -> int:
+        h = sum((c + 7) * int(langid._POWERS[i & 255]) for i, c in enumerate(word)) % (1 << 64)
+        return ((h ^ h >> 31) * 0x9E3779B97F4A7C15) % (1 << 64)
+
+    texts = ["the of größe, with und A1b", *sentences(EN, 2, 8), " ".join(DE), "x", "é" * 40, " ".join(EN * 9 + DE * 9), "12", None]
+    want = []
+    for text in texts:
+        words = re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode())
+        if not words:
+            want.append(("und", 0.0))
+            continue
+        lex = model.lexicon.tolist()
+        scores = [sum(model.weights[0][r].astype(float) for r in rows(w)) + model.weights[1][lex.index(word_hash(w)) + 1 if word_hash(w) in lex else 0] for w in words]
+        share = sum(p * len(w) for p, w in zip(plain_chain(scores, model.trans, model.start), words)) / sum(map(len, words))
+        want.append((model.languages[int(share.argmax())], float(share.max())))
+    for window, part in ((1, 1), (3, 2), (50, 7), (1 << 20, 1 << 18)):
+        monkeypatch.setattr(langid, "WINDOW", window)
+        monkeypatch.setattr(langid, "PART", part)
+        names, score, _ = model.predict(pa.array(texts))
+        assert names == [x for x, _ in want] and np.allclose(score, [x for _, x in want], atol=1e-5), (window, part)
+
+
+def test_quality_against_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    from filingspark.llm import quality
+
+    good, bad = sentences(EN, 60, 3), ["SPAM!! win $$ | 9 9 " * 3] * 60
+    model = quality.train(["\n".join(good[i : i + 3]) for i in range(57)] + ["\n".join(bad[i : i + 2]) for i in range(57)], [1] * 57 + [0] * 57)
+    kinds = "lower upper digit bang pipe symbol point".split()
+    kind = lambda c: kinds[k - 1] if 1 <= (k := int(quality._KIND[c])) <= 7 else ""
+
+    def score(text: str | None) -> float:
+        lines = (text or "").encode().split(b"\n")
+        own, shares, seen = [], [], set()
+        for line in lines:
+            c = Counter(map(kind, line))
+            words, per = line.split(), max(1, len(line.split()))
+            letters, total = max(c["lower"] + c["upper"], 1), max(len(line), 1)
+            again = sum(x == y for x, y in zip(words, words[1:]))
+            r = np.array([c["upper"] / letters, c["bang"] / per, c["pipe"] / per, c["symbol"] / total, c["digit"] / total, again / per, 1 - len(set(words)) / per])
+            shares.append(np.concatenate([r, np.sqrt(np.clip(r, 0, 1)), np.minimum(1, 8 * r)]))
+            own.append([1, math.log1p(len(line)) / 5, min((c["lower"] + c["upper"]) / per, 30) / 10, min(c["point"] / per, 2), line in seen, len(words) <= 2])
+            seen.add(line)
+        none = np.zeros(21)
+        z = [float(np.concatenate([own[i], shares[i], shares[i - 1] if i else none, shares[i + 1] if i + 1 < len(lines) else none]) @ model.weights) for i in range(len(lines))]
+        p = np.clip(plain_chain([[0.0, x] for x in z], model.trans, model.start)[:, 1], 1e-6, 1 - 1e-6)
+        size = np.array([len(x) for x in lines], dtype=float)
+        if not size.sum():
+            return model.base
+        x = np.array([1, (size * np.log(p / (1 - p))).sum() / size.sum(), (size * p).sum() / size.sum()])
+        return 1 / (1 + math.exp(-float(np.clip(x @ model.curve, -30, 30))))
+
+    texts = ["\n".join(good[:4] + bad[:2] + good[:1]), good[0], bad[0], "", None, "\n\n", "a\n\nB!! c\na\n", "one very long line " * 80, "\n".join(good[i % 7] + str(i) for i in range(60))]
+    want = [score(t) for t in texts]
+    for window, part in ((1, 1), (3, 2), (50, 7), (1 << 20, 1 << 16)):
+        monkeypatch.setattr(quality, "WINDOW", window)
+        monkeypatch.setattr(quality, "PART", part)
+        assert np.allclose(model.score(pa.array(texts)), want, atol=1e-9), (window, part)
+
+
 # -- 7 --------------------------------------------------------------------------------------------
 
 
