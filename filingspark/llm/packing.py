@@ -1,15 +1,20 @@
 """Harmonic packing of token sequences.
 
-Piece lengths fall into reciprocal-capacity classes: class j holds lengths in
-(capacity/(j+1), capacity/j], and a sequence of class j takes exactly j pieces. Each task fills
-its classes alone, so packing needs no shuffle and no talk between workers. Documents are cut into
-pieces of capacity, capacity/2, capacity/4 ... down to `least`, which fill their classes without a
-gap, and one shorter tail. What is left in a task's open sequences at its end (fewer than j pieces
-a class) is laid end to end, cut at the capacity; the last, short sequence is cut into powers of
-two, which need no padding. So only the tails' classes are padded.
-
-Memory: a task holds the open sequences' piece descriptions, fewer than capacity per class, and
-one chunk of texts.
+Documents' lengths fall into reciprocal-capacity classes: class j holds lengths in (capacity/(j+1),
+capacity/j], and a sequence of class j takes exactly j documents, whole. Each task fills its classes
+alone, so packing needs no shuffle and no talk between workers. A document longer than the capacity
+is cut at the capacity; its full pieces are sequences of their own, and its tail is spare.
+
+A sequence that has its j documents may have a gap. Sequences with gaps wait, about `hold` of them, and
+their gaps are closed with spare pieces: the longest that fits, whole, and where none fits, the head
+of a longer one. If the spare pieces do not suffice, the sequence with the widest gap is taken apart
+and its documents become spare. What is spare after that falls into the classes like any document.
+So a document that fits is cut only to close a gap, and full sequences need no padding. At a task's
+end the documents of its unfilled classes are spare too, and what remains of them fills sequences by
+the same rule, the last ones as long as the powers of two that sum to the rest, which need no padding.
+
+Memory: a task holds fewer than j documents of each class, about `hold` waiting sequences and
+`hold` spare pieces, each no longer than the capacity, and one chunk of texts.
 
 Defined results: null and empty texts hold the end token alone; repeated rows are packed like any
 other; an empty table gives no pieces; other columns are ignored. Sequence ids are the task's
@@ -18,11 +23,13 @@ number times 2**40 plus a count, so they are unique, not dense.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import zlib
 from array import array
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +49,20 @@ _PLAIN = bytes(32 if c == 10 else c for c in range(256))
 # Latin words: their lower case is its own normal form, and they are one piece to the pre-tokenizer.
 _WORD = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _CACHES: dict[str, TokenCache] = {}
+# What a tokenizer must do to a text for the ids of its parts to be its ids.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+}
+LONGEST_PART = 64  # bytes of a part that the table keeps
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,21 +74,25 @@ def _byte_letters() -> dict[int, str]:
 
 
 class TokenCache:
-    """Token ids of a text as little-endian unsigned 32-bit bytes, looked up part by part.
+    """Token ids of a text as little-endian unsigned 32-bit bytes, looked up part by part if the
+    tokenizer's rules are _RULES; with any other, whole texts go through the tokenizer.
 
-    The pre-tokenizer never joins what a space or line feed parts, nor a letter and a comma or full
+    By these rules the pre-tokenizer never joins what a space or line feed parts, nor a letter and a comma or full
     stop, and lower-cases, so a text's ids are those of its parts in a row. Parts that are Latin
     words go straight to the tokenizer's model, others through the whole tokenizer. The table holds
-    the first `limit` parts met, the frequent ones among them, and lives as long as the Python
-    worker."""
+    the first `limit` parts met that are short, the frequent ones among them, and lives as long as the
+    Python worker."""
 
     def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it may use
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_parts = all(spec.get(k) == rule for k, rule in _RULES.items()) and spec["model"].get("end_of_word_suffix") == "</w>"
         self.letters = {chr(b): c for b, c in _byte_letters().items()}
-        self.direct = all(self._word(w) == self._ids(e) for w, e in zip(_PROBES, self.tokenizer.encode_batch_fast(_PROBES, add_special_tokens=False)))
+        self.direct = self.by_parts and all(self._word(w) == self._ids(e) for w, e in zip(_PROBES, self.tokenizer.encode_batch_fast(_PROBES, add_special_tokens=False)))
 
     @classmethod
     def of(cls, path: str) -> TokenCache:
@@ -108,49 +133,111 @@ class TokenCache:
                 fresh[p] = of(c) + of(p[-1:])
         room = self.limit - len(self.known)
         if room > 0:
-            self.known.update(fresh if len(fresh) <= room else dict(zip(fresh, [*fresh.values()][:room])))
+            short = [p for p in fresh if len(p) <= LONGEST_PART]
+            self.known.update((p, fresh[p]) for p in short[:room])
         return fresh
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts. A special token's text is never brought about by lower-casing."""
+        if not self.by_parts:
+            return [self._ids(e) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         raw = [(t or "").encode() for t in texts]
         cut = [r.translate(_PLAIN if b"<|" in r else _LOWER).split(b" ") for r in raw]
         known = self.known
         fresh = self.learn([p for p in set().union(*cut) if p not in known])
-        if len(known) < self.limit:
+        if len(known) < self.limit and all(len(p) <= LONGEST_PART for p in fresh):
             return [b"".join(map(known.__getitem__, c)) for c in cut]
         return [b"".join([known[p] if p in known else fresh[p] for p in c]) for c in cut]
 
 
-def cut(length: int, capacity: int, least: int) -> list[int]:
-    """Piece lengths of a document: capacities, then halves down to least, then the tail."""
-    out = [capacity] * (length // capacity)
-    rest, size = length % capacity, capacity // 2
-    while rest >= least and size >= least:
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        size //= 2
-    if rest:
-        out.append(rest)
-    return out
-
-
 class Packer:
-    """Fills sequences from pieces (document, start, length, crc source); rows come out as
-    (doc row, start, length, ids, sequence, offset)."""
+    """Fills sequences from documents; rows come out as (document, start, ids, length of the
+    document, sequence, offset)."""
+
+    def __init__(self, capacity: int, first_id: int, hold: int = 256):
+        self.capacity, self.next_id, self.hold = capacity, first_id, hold
+        self.open: dict[int, list[tuple]] = {}
+        self.waiting: list[tuple[int, list[tuple]]] = []  # gap, pieces
+        self.spare: list[tuple[int, int, tuple]] = []  # by length: length, a running number, piece
+        self.supply = self.number = 0
+
+    def add(self, doc, ids: bytes) -> list[tuple]:
+        total, start, out = len(ids) // 4, 0, []
+        while total - start > self.capacity:
+            out += self._close([(doc, start, ids[4 * start : 4 * (start + self.capacity)], total)])
+            start += self.capacity
+        piece = (doc, start, ids[4 * start :], total)
+        if start:
+            self._keep(piece)
+        else:
+            out += self._place(piece)
+        if len(self.waiting) >= self.hold or len(self.spare) >= self.hold:
+            out += self._settle()
+            rest, self.spare, self.supply = self.spare, [], 0
+            for _, _, piece in rest:
+                out += self._place(piece)
+        return out
 
-    def __init__(self, capacity: int, first_id: int):
-        self.capacity, self.next_id, self.open = capacity, first_id, {}
+    def finish(self) -> list[tuple]:
+        """What the task still holds."""
+        for pieces in self.open.values():
+            for p in pieces:
+                self._keep(p)
+        self.open = {}
+        out = self._settle()
+        while self.supply >= self.capacity:
+            out += self._close(self._fill(self.capacity))
+        for bit in range(self.capacity.bit_length(), -1, -1):
+            if self.supply >> bit:
+                out += self._close(self._fill(1 << bit))
+        return out
 
-    def add(self, piece: tuple) -> list[tuple]:
+    def _place(self, piece: tuple) -> list[tuple]:
         kind = self.capacity // len_of(piece)
-        bin_ = self.open.setdefault(kind, [])
-        bin_.append(piece)
-        if len(bin_) < kind:
+        pieces = self.open.setdefault(kind, [])
+        pieces.append(piece)
+        if len(pieces) < kind:
             return []
         del self.open[kind]
-        return self._close(bin_)
+        gap = self.capacity - sum(map(len_of, pieces))
+        if not gap:
+            return self._close(pieces)
+        self.waiting.append((gap, pieces))
+        return []
+
+    def _keep(self, piece: tuple) -> None:
+        self.number += 1
+        self.supply += len_of(piece)
+        insort(self.spare, (len_of(piece), self.number, piece), key=lambda x: x[:2])
+
+    def _settle(self) -> list[tuple]:
+        """Close the gaps of the waiting sequences."""
+        waiting, self.waiting = sorted(self.waiting, key=lambda x: x[0]), []
+        gaps = sum(g for g, _ in waiting)
+        while gaps > self.supply:
+            gap, pieces = waiting.pop()
+            gaps -= gap
+            for p in pieces:
+                self._keep(p)
+        return [row for gap, pieces in reversed(waiting) for row in self._close(pieces + self._fill(gap))]
+
+    def _fill(self, gap: int) -> list[tuple]:
+        """Spare pieces that fill a gap: the longest that fit, and the head of one that does not."""
+        out = []
+        self.supply -= gap
+        while gap:
+            i = bisect_right(self.spare, gap, key=lambda x: x[0])
+            if i:
+                length, _, piece = self.spare.pop(i - 1)
+            else:
+                _, _, (doc, start, ids, total) = self.spare.pop(0)
+                length, piece = gap, (doc, start, ids[: 4 * gap], total)
+                tail = (doc, start + gap, ids[4 * gap :], total)
+                self.supply -= len_of(tail)
+                self._keep(tail)
+            out.append(piece)
+            gap -= length
+        return out
 
     def _close(self, pieces: list[tuple]) -> list[tuple]:
         out, at = [], 0
@@ -160,37 +247,12 @@ class Packer:
         self.next_id += 1
         return out
 
-    def finish(self) -> Iterator[tuple]:
-        """The open classes, end to end."""
-        rest = [p for kind in sorted(self.open) for p in self.open[kind]]
-        total = sum(map(len_of, rest))
-        sizes = [self.capacity] * (total // self.capacity)
-        tail = total % self.capacity
-        sizes += [1 << b for b in range(self.capacity.bit_length(), -1, -1) if tail >> b & 1]
-        rest.reverse()
-        for size in sizes:
-            pieces, free = [], size
-            while free:
-                p = rest.pop()
-                if len_of(p) > free:
-                    head, p = split(p, free)
-                    rest.append(p)
-                    p = head
-                pieces.append(p)
-                free -= len_of(p)
-            yield from self._close(pieces)
-
 
 def len_of(piece: tuple) -> int:
     return len(piece[2]) // 4
 
 
-def split(piece: tuple, n: int) -> tuple[tuple, tuple]:
-    doc, start, ids, total = piece
-    return (doc, start, ids[: 4 * n], total), (doc, start + n, ids[4 * n :], total)
-
-
-def pack(documents: DataFrame, tokenizer: str, *, capacity: int = 2048, least: int = 64, with_ids: bool = True) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, *, capacity: int = 2048, hold: int = 256, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     with with_ids the token ids."""
     docs = documents.select("doc_id", "text")
@@ -210,14 +272,10 @@ def pack(documents: DataFrame, tokenizer: str, *, capacity: int = 2048, least: i
         return to_batch(data, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, packer, out = TokenCache.of(tokenizer), Packer(capacity, TaskContext.get().partitionId() << 40), []
+        cache, packer, out = TokenCache.of(tokenizer), Packer(capacity, TaskContext.get().partitionId() << 40, hold), []
         for part in text_chunks(batches, "text", 2 << 20):
             for doc, ids in zip(part.column("doc_id").to_pylist(), cache.encode(part.column("text").to_pylist())):
-                ids += end
-                total, start = len(ids) // 4, 0
-                for n in cut(total, capacity, least):
-                    out += packer.add((doc, start, ids[4 * start : 4 * (start + n)], total))
-                    start += n
+                out += packer.add(doc, ids + end)
             if len(out) > (1024 if with_ids else 8192):
                 yield rows(out)
                 out = []

@@ -100,7 +100,7 @@ def test_packing(docs, nothing):
     from filingspark.llm import packing
 
     path = P.path("word_bpe_49k.json")
-    rows = packing.pack(docs, path, capacity=256, least=16).collect()
+    rows = packing.pack(docs, path, capacity=256, hold=2).collect()
     tokenizer = Tokenizer.from_file(path)
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -123,12 +123,56 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
-def test_cut_and_classes():
-    from filingspark.llm.packing import cut
+@pytest.mark.parametrize("hold", [1, 3, 64])
+def test_harmonic_classes(hold):
+    """Pieces held against the documents; whole documents stay whole but for those that close gaps."""
+    from filingspark.llm.packing import Packer
+
+    for seed, most in ((0, 40), (1, 400), (2, 64), (3, 1)):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(1, most + 1, 700).tolist()
+        data = [rng.integers(0, 99, n, dtype="<u4").tobytes() for n in sizes]
+        packer = Packer(64, 5 << 40, hold)
+        rows = []
+        for i, ids in enumerate(data):
+            rows += packer.add(i, ids)
+            assert len(packer.waiting) <= hold + 8 and len(packer.spare) <= hold + 8
+        rows += packer.finish()
+        docs, seqs = {}, {}
+        for doc, start, ids, total, seq, offset in rows:
+            assert ids and total == sizes[doc] and seq >= 5 << 40
+            docs.setdefault(doc, []).append((start, ids))
+            seqs.setdefault(seq, []).append((offset, len(ids) // 4, doc))
+        assert [b"".join(x for _, x in sorted(docs[i])) for i in range(len(data))] == data
+        assert all(s == sum(len(x) // 4 for _, x in sorted(p)[:k]) for p in docs.values() for k, (s, _) in enumerate(sorted(p)))
+        lengths = []
+        for pieces in seqs.values():
+            assert [o for o, _, _ in sorted(pieces)] == [sum(n for _, n, _ in sorted(pieces)[:k]) for k in range(len(pieces))]
+            lengths.append(sum(n for _, n, _ in pieces))
+        short = [n for n in lengths if n < 64]
+        assert max(lengths) <= 64 and all(n & (n - 1) == 0 for n in short) and len(short) == len(set(short))
+        if hold == 64 and seed < 2:
+            fit = [i for i, n in enumerate(sizes) if n <= 64]
+            assert sum(len(docs[i]) == 1 for i in fit) >= 0.8 * len(fit)
+            kinds = [{64 // sizes[d]: 0 for _, _, d in p} for p in seqs.values()]
+            assert sum(len(k) <= 2 for k in kinds) >= 0.5 * len(kinds)
+
+
+def test_packing_with_another_tokenizer(docs):
+    """A cased tokenizer takes whole texts."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from filingspark.llm.packing import TokenCache
 
-    for n in range(1, 5000, 7):
-        pieces = cut(n, 2048, 64)
-        assert sum(pieces) == n and all(p & (p - 1) == 0 or p < 64 for p in pieces[:-1]) and max(pieces) <= 2048
+    path = P.path("byte_bpe_50k.json")
+    texts = [t for _, t in TEXTS]
+    want = [np.array(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert not TokenCache(path).by_parts and TokenCache(path).encode(texts) == want
+    own = TokenCache(P.path("word_bpe_49k.json"))
+    own.limit = 3
+    assert own.by_parts and own.encode(texts) == [np.array(own.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert len(own.known) <= 3 and own.encode(["x" * 900 + " the"]) == [b"".join(own.encode(["x" * 900, "the"]))]
 
 
 # -- 4 --------------------------------------------------------------------------------------------
