@@ -102,6 +102,25 @@ def to_batch(data: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(k).type) for k, x in ((f.name, data[f.name]) for f in schema)], schema=schema)
 
 
+HOT_ROWS, MOST_HOT_KEYS = 20_000, 200_000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined with the facts of their key; rows without facts go. facts: a row per key, with
+    n, the number of rows of that key. Keys of more than HOT_ROWS rows are at most one in HOT_ROWS
+    rows; if they are at most MOST_HOT_KEYS, they meet their rows by broadcast, so that no task gets
+    all rows of one."""
+    hot, most = HOT_ROWS, MOST_HOT_KEYS
+    often = facts.where(F.col("n") > hot)
+    keys = len(often.select(key).take(most + 1))
+    rest = facts.drop("n")
+    if not 0 < keys <= most:
+        return rows.join(rest, key)
+    wide = F.broadcast(often.drop("n"))
+    cold = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(facts.where(F.col("n") <= hot).drop("n"), key)
+    return rows.join(wide, key).unionByName(cold)
+
+
 def hash_place(key: str) -> Column:
     """A place from 0 to 1 that a row's key hashes to, the same however the table is cut."""
     return F.xxhash64(F.lit(11), F.col(key).cast("string")) / F.lit(2.0**64) + 0.5

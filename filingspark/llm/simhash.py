@@ -4,20 +4,25 @@ A fingerprint bit is 1 if it is set in more than half the XXH64 hashes (seed 42)
 3-word shingles, repeats counted. Two fingerprints link at `radius` or fewer differing bits;
 a component's id is the least doc_id in it.
 
-Equal fingerprints meet in an aggregation first, so a group of copies of any size is one node.
-Nodes are dealt to tiles by pigeonhole: of `blocks` bit fields, two fingerprints within the radius
-agree on at least blocks - radius, so each node goes under every choice of blocks - radius fields.
-A bucket of more than `tile` nodes is split: its nodes are dealt into parts, and every pair of
-parts becomes a task-sized unit of its own. Within a unit, fingerprints are sorted by population
-count and cut into small tiles; a pair of tiles whose counts differ beyond the radius is skipped,
-the others are compared with numpy exclusive-or and bit counts. Of the links found a unit passes on
-a spanning forest, which keeps components whole without passing on all pairs. Components come from
-alternating large-star and small-star steps on tables in the shared folder.
+Equal fingerprints meet in an aggregation first, so a group of copies of any size is one node, the
+fingerprint itself. Nodes are dealt to tiles by pigeonhole: of `blocks` bit fields, two fingerprints
+within the radius agree on at least blocks - radius, so each node goes under every choice of
+blocks - radius fields. (A sweep of tiles over all fingerprints would cost by the square of their
+number; the fields only keep apart what cannot link.) A bucket of more than `tile` nodes is split:
+its nodes are dealt into parts, and every pair of parts becomes a task-sized unit of its own. A
+bucket of more than `wide` nodes would make too many of these: its nodes go under choices of six of
+nine fields instead, which any two within three bits agree on as well. Within a unit, fingerprints
+are sorted by population count and cut into small tiles; a pair of tiles whose counts differ beyond
+the radius is skipped, the others are compared with numpy exclusive-or and bit counts. Of the links
+found a unit passes on a spanning forest, which keeps components whole without passing on all pairs.
+Components come from alternating large-star and small-star steps on tables in the shared folder.
+Keys that many rows share (fingerprints of many copies, nodes of many links) are few, and meet their
+row's facts by broadcast, behind a check of their number.
 
 Defined results: null, empty and wordless texts have the fingerprint zero, linked like any other;
 a text of fewer than three words has one shingle, all its words; repeated doc_ids come out as
-often as they went in; a null doc_id is a document like any other, in no component's id unless
-nothing else is in it; other columns are ignored.
+often as they went in; a null doc_id is a document like any other, in no component's id: a
+component without any id has null for its id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingspark.llm.common import materialize, new_path, text_chunks, to_batch
+from filingspark.llm.common import join_facts, materialize, text_chunks, to_batch
 
 _SPACES = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 SMALL_TILE = 256
@@ -145,16 +150,19 @@ def unit_links(fp: np.ndarray, node: np.ndarray, part: np.ndarray, radius: int)
     return [(int(node[a]), int(node[b])) for a, b in forest(len(fp), i, j)]
 
 
-def links(nodes: DataFrame, *, radius: int = 3, blocks: int = 5, tile: int = 512) -> DataFrame:
+def links(nodes: DataFrame, *, radius: int = 3, blocks: int = 5, tile: int = 512, wide: int = 1 << 15) -> DataFrame:
     """Links (a, b) whose components are those of all links. nodes: node (bigint, not null,
     distinct) and fp."""
     spark = nodes.sparkSession
     keyed = nodes.select("node", "fp", F.explode(bucket_keys(F.col("fp"), blocks, radius)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / tile).cast("int")
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    met = keyed.join(sizes.where(F.col("n") <= wide), "key")
+    if radius <= 3 and sizes.where(F.col("n") > wide).limit(1).count():
+        crowded = keyed.join(sizes.where(F.col("n") > wide).select("key"), "key", "left_semi").select("node", "fp").distinct()
+        again = crowded.select("node", "fp", F.explode(bucket_keys(F.col("fp"), 9, 3)).alias("key"))
+        met = met.unionByName(again.join(again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
     units = (
-        keyed.join(sizes, "key")
-        .withColumn("parts", parts)
+        met.withColumn("parts", F.ceil(F.col("n") / tile).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("node", "fp", "part", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "key")
@@ -211,11 +219,11 @@ def components(edges: DataFrame, *, name: str = "component", most_rounds: int =
             break
         # large star: every larger neighbour of u links to u's least neighbour (or u)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = pairs(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = pairs(join_facts(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small star: smaller neighbours of u, and u, link to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_facts(large, low, "u")
         small = pairs(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))))
         after = materialize(small, name)
         new = digest(after)
@@ -227,13 +235,18 @@ def components(edges: DataFrame, *, name: str = "component", most_rounds: int =
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(documents: DataFrame, *, radius: int = 3, blocks: int = 5, tile: int = 512) -> DataFrame:
-    """Per document: doc_id, fp (bigint), component_id. doc_id must be an integer."""
-    spark = documents.sparkSession
-    path = new_path(spark, "fingerprints")
-    prints = materialize(fingerprints(documents), "fingerprints", path)
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node")), "nodes")
-    edges = links(nodes.where("node is not null"), radius=radius, blocks=blocks, tile=tile)
-    of = components(edges)
-    names = nodes.join(of, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+def near_duplicates(documents: DataFrame, *, radius: int = 3, blocks: int = 5, tile: int = 512, wide: int = 1 << 15) -> DataFrame:
+    """Per document: doc_id, fp (bigint), component_id."""
+    return classes(materialize(fingerprints(documents), "fingerprints"), radius=radius, blocks=blocks, tile=tile, wide=wide)
+
+
+def classes(prints: DataFrame, *, radius: int = 3, blocks: int = 5, tile: int = 512, wide: int = 1 << 15) -> DataFrame:
+    """Rows of doc_id and fp with component_id, the least doc_id that links reach."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    of = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius=radius, blocks=blocks, tile=tile, wide=wide))
+    linked = of.withColumnRenamed("node", "fp").unionByName(of.select(F.col("component").alias("fp"), "component").distinct())
+    of_linked = materialize(nodes.join(linked, "fp").select("fp", "component", "least"), "linked")
+    ids = of_linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = join_facts(of_linked.select("fp", "component"), ids, "component").select("fp", "component_id")
+    names = nodes.join(named, "fp", "left").select("fp", "n", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return join_facts(prints, materialize(names, "names"), "fp").select("doc_id", "fp", "component_id")

@@ -269,19 +269,31 @@ def brute_components(prints, radius=3):
 def test_simhash(docs, nothing):
     from filingspark.llm import simhash
 
-    got = {(r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs.where("doc_id IS NOT NULL")).collect()}
-    rows = [(i, brute_print(t)) for i, t in TEXTS if i is not None]
+    got = {(r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    rows = [(i, brute_print(t)) for i, t in TEXTS]
     roots = brute_components([p for _, p in rows])
-    least = {}
-    for (i, _), r in zip(rows, roots):
-        least[r] = min(i, least.get(r, i))
+    least = {r: min((i for (i, _), q in zip(rows, roots) if q == r and i is not None), default=None) for r in roots}
     assert got == {(i, p, least[r]) for (i, p), r in zip(rows, roots)}
     assert simhash.near_duplicates(nothing).count() == 0
     assert simhash.near_duplicates(docs).count() == len(TEXTS)
 
 
-@pytest.mark.parametrize("tile", [4, 512])
-def test_simhash_links_in_hot_buckets(spark, tile):
+@pytest.mark.parametrize("hot", [1, 20_000])
+def test_simhash_classes_with_null_ids(spark, hot, monkeypatch):
+    """Links that only fingerprints of null ids make, repeated ids, frequent fingerprints."""
+    from filingspark.llm import common, simhash
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = [(1, 0), (None, 7), (2, 63), (9, 0), (9, 0), (5, 1 << 40), (None, (1 << 50) + (1 << 51) + (1 << 52) + (1 << 53)), (7, -1), (6, -1), (8, -2), (7, -1)]
+    roots = brute_components([p % (1 << 64) for _, p in rows])
+    least = {r: min((i for (i, _), q in zip(rows, roots) if q == r and i is not None), default=None) for r in roots}
+    got = sorted(map(str, ((r.doc_id, r.fp, r.component_id) for r in simhash.classes(spark.createDataFrame(rows, "doc_id bigint, fp bigint").repartition(3)).collect())))
+    assert got == sorted(map(str, ((i, p, least[r]) for (i, p), r in zip(rows, roots))))
+    assert least[roots[0]] == least[roots[2]] == 1 and None in least.values()
+
+
+@pytest.mark.parametrize(("tile", "wide"), [(4, 1 << 15), (512, 1 << 15), (4, 6)])
+def test_simhash_links_in_hot_buckets(spark, tile, wide):
     from filingspark.llm import simhash
 
     rng = np.random.default_rng(3)
@@ -290,7 +302,7 @@ def test_simhash_links_in_hot_buckets(spark, tile):
     prints = [*near, *(int(x) for x in rng.integers(0, 1 << 62, 100)), 0, -1, -2, (1 << 63) - 1]
     prints = list(dict.fromkeys(prints))
     nodes = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "node bigint, fp bigint")
-    got = dict(tuple(r) for r in simhash.components(simhash.links(nodes, tile=tile)).collect())
+    got = dict(tuple(r) for r in simhash.components(simhash.links(nodes, tile=tile, wide=wide)).collect())
     roots = brute_components([p % (1 << 64) for p in prints])
     assert [got.get(i, i) for i in range(len(prints))] == roots
 
