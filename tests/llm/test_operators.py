@@ -565,22 +565,28 @@ def test_quality_against_brute_force(monkeypatch):
 # -- 7 --------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_topk(spark, block):
+@pytest.mark.parametrize(("block", "first_rows"), [(3, 40), (3, 1), (2048, 40), (2048, 16_384)])
+def test_topk(spark, block, first_rows):
     from filingspark.llm import topk
 
     rng = np.random.default_rng(5)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(200)]
-    vectors += [(i, vectors[3][1]) for i in range(200, 240)] + [(300, None), (350, [1.0, None]), (301, [math.inf] * 8), (302, [math.nan] * 8), (303, [0.5, 0.5]), (304, []), (50, vectors[50][1])]
+    vectors += [(i, vectors[3][1]) for i in range(200, 240)] + [(300, None), (350, [1.0, None]), (301, [math.inf] * 8), (302, [math.nan] * 8), (303, [0.5, 0.5]), (304, []), (50, vectors[50][1]), (100, vectors[7][1])]
     df = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id bigint, embedding array<double>, score int").repartition(3)
-    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, query_block=block, chunk=16).select("query_id", "rank", "vec_id", "score").collect())
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, query_block=block, chunk=16, first_rows=first_rows).select("query_id", "rank", "vec_id", "score").collect())
     clean = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q, qv in dict(v for v in clean if v[0] % 50 == 0).items():
+    padded = lambda v: v + [0] * (8 - len(v))
+    for q, qv in {i: v for i, v in sorted(((i, padded(v)) for i, v in clean if i % 50 == 0), reverse=True)}.items():
         scored = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in clean if i != q)[:5]
         want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     assert got == sorted(want)
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    data = [(i, [float(x) for x in rng.integers(-(1 << 22), 1 << 22, 3)]) for i in range(60)]  # products beyond 2**53
+    top = {(r.query_id, r.rank): r.score for r in topk.search(spark.createDataFrame(data, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0, first_rows=1).collect()}
+    for q in (0, 50):
+        scores = sorted((sum(int(256 * a) * int(256 * b) for a, b in zip(data[q][1], v)) for i, v in data if i != q), reverse=True)[:5]
+        assert [top[q, r] for r in range(1, 6)] == scores
     few = topk.search(df.where("vec_id IN (0, 1, 2)"), F.col("vec_id") % 50 == 0).collect()
     assert [(r.query_id, r.rank) for r in sorted(few, key=lambda r: r.rank)] == [(0, 1), (0, 2)]
 
