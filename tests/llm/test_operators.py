@@ -90,6 +90,40 @@ def test_warc(spark):
     assert warc.write(pages.limit(0)).read().count() == 0
 
 
+@pytest.mark.parametrize(("per_block", "parts"), [(1, 7), (2, 3), (50, 1)])
+def test_warc_lookup_bisects_the_directory(spark, per_block, parts, monkeypatch):
+    import glob
+    import gzip
+    import os
+
+    from filingspark.llm import common, warc
+
+    rng = np.random.default_rng(9)
+    rows = [(i, f"http://h{rng.integers(0, 5)}.org/{'ab'[rng.integers(0, 2)] * int(rng.integers(1, 5))}", f"page {i % 9} " * 200 if i % 3 else f"p{i}") for i in range(60)] + [(100 + i, "http://hot.org/", "x" * 2000) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    init = warc.DirectoryFile.__init__
+    monkeypatch.setattr(warc.DirectoryFile, "__init__", lambda self, root, name, size: init(self, root, name, size, window=5))
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        made = warc.write(pages, per_block=per_block, roll=3000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    made.ranges()
+    for url in sorted({u for _, u, _ in rows}) + ["http://a.org/", "http://h2.org/aaaaaa", "http://zz.zz/", ""]:
+        want = sorted(p for p, u, _ in rows if warc.url_key(u) == warc.url_key(url))
+        assert sorted(r.page_id for r in made.lookup([url])) == want, url
+    base = warc.file_system(made.root)[1]
+    ids = []
+    for path in glob.glob(f"{base}/part-*"):
+        text = gzip.open(path).read()
+        assert text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+        ids += re.findall(rb"WARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)\r\n", text)
+    assert len(ids) == len(set(ids)) == len(rows) + len(glob.glob(f"{base}/part-*"))
+    assert {r.record_type for r in made.read().where("page_id >= 100 AND page_id < 119").collect()} == {"revisit"} and made.read().where("refers_to = 119").count() == 19
+    assert os.listdir(base)
+
+
 # -- 3 --------------------------------------------------------------------------------------------
 
 
