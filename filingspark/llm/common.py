@@ -46,6 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_bucket(col: Column, mod: int) -> Column:
     """crc32 of an id written as text, modulo mod."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(mod))

@@ -11,7 +11,8 @@ Defined results: null or empty text has no words and no hits; a repeated row is
 other and comes out as often as it went in; an empty benchmark hits nothing; a benchmark item that
 is null or has no words has no windows; other columns are ignored.
 
-The broadcast has a bound: a benchmark of more than `block_chars` characters is cut into blocks,
+The broadcast has a bound: a benchmark of more than `block_chars` characters (about three bytes each
+in the index) is cut into blocks,
 each broadcast alone and scanned in its own pass, and a document's spans are then merged.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingspark.llm.common import text_chunks, to_batch
+from filingspark.llm.common import free_name, text_chunks, to_batch
 
 _LOWER = bytes((c + 32 if 65 <= c <= 90 else c) if (48 <= c < 58 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -39,28 +40,57 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class WindowIndex:
-    """Windows of one block of the benchmark, by length."""
+    """Windows of one block of the benchmark, by length: their hashes in order, and where in the
+    block's words each begins."""
 
     width: int
-    vocab: dict[bytes, int] = field(default_factory=dict)
-    windows: dict[int, dict[bytes, tuple]] = field(default_factory=dict)
-    hashes: dict[int, np.ndarray] = field(default_factory=dict)
+    vocab: dict[bytes, int]
+    words: np.ndarray
+    items: list
+    item_starts: np.ndarray
+    hashes: dict[int, np.ndarray]
+    places: dict[int, np.ndarray]
+    _met: dict[bytes, tuple] = field(default_factory=dict)
 
     @classmethod
     def build(cls, items: Iterable[tuple], width: int) -> WindowIndex:
-        index, found = cls(width), {}
+        vocab: dict[bytes, int] = {}
+        parts, ids = [], []
         for item_id, text in items:
-            ids = np.array([index.vocab.setdefault(w, len(index.vocab) + 1) for w in words_of(text)], dtype=np.uint32)
-            if not len(ids):
-                continue
-            k = min(width, len(ids))
-            for i in range(len(ids) - k + 1):
-                found.setdefault(k, {}).setdefault(ids[i : i + k].tobytes(), set()).add(item_id)
-        for k, by_ids in found.items():
-            index.windows[k] = {x: tuple(items) for x, items in by_ids.items()}
-            rows = np.frombuffer(b"".join(by_ids), dtype=np.uint32).reshape(-1, k)
-            index.hashes[k] = np.unique(_roll(rows.T))
-        return index
+            found = words_of(text)
+            if found:
+                parts.append(np.fromiter((vocab.setdefault(w, len(vocab) + 1) for w in found), dtype=np.uint32, count=len(found)))
+                ids.append(item_id)
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        words = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+        hashes, places = {}, {}
+        for k in np.unique(np.minimum(sizes, width)).tolist():
+            mine = np.flatnonzero(np.minimum(sizes, width) == k)
+            counts = sizes[mine] - k + 1
+            at = np.repeat(starts[mine] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            h = _roll([words[at + j] for j in range(k)])
+            order = np.argsort(h, kind="stable")
+            hashes[k], places[k] = h[order], at[order].astype(np.uint32)
+        return cls(width, vocab, words, ids, starts, hashes, places)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_met": {}}
+
+    def items_of(self, window: np.ndarray, h: int, k: int) -> tuple:
+        """The items that hold a window of words with that hash; the last ones asked are remembered."""
+        key = window.tobytes()
+        if key not in self._met:
+            if len(self._met) >= 50_000:
+                self._met.clear()
+            low, high = np.searchsorted(self.hashes[k], h, side="left"), np.searchsorted(self.hashes[k], h, side="right")
+            at = self.places[k][low:high].astype(np.int64)
+            same = np.ones(len(at), dtype=bool)
+            for j in range(k):
+                same &= self.words[at + j] == window[j]
+            rows = np.unique(np.searchsorted(self.item_starts, at[same], side="right") - 1)
+            self._met[key] = tuple({self.items[i] for i in rows.tolist()})
+        return self._met[key]
 
     def scan(self, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[set]]:
         """Per text: number of words, (first word, word count) of each verified window, item ids."""
@@ -75,19 +105,19 @@ class WindowIndex:
         known = np.concatenate([[0], np.cumsum(ids != 0)])
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         items: list[set] = [set() for _ in texts]
-        for k, windows in self.windows.items():
+        for k, table in self.hashes.items():
             if len(ids) < k:
                 continue
             at = np.flatnonzero(known[k:] - known[:-k] == k)
             if not len(at):
                 continue
             h = _roll([ids[at + j] for j in range(k)])
-            table = self.hashes[k]
-            at = at[table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h]
-            for i, doc in zip(at.tolist(), (np.searchsorted(starts, at, side="right") - 1).tolist()):
-                if hit := windows.get(ids[i : i + k].tobytes()):
+            hit = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
+            at, h = at[hit], h[hit]
+            for i, code, doc in zip(at.tolist(), h, (np.searchsorted(starts, at, side="right") - 1).tolist()):
+                if found := self.items_of(ids[i : i + k], code, k):
                     spans[doc].append((i - int(starts[doc]), k))
-                    items[doc].update(hit)
+                    items[doc].update(found)
         return lengths, spans, items
 
 
@@ -120,7 +150,7 @@ def _raw_schema(id_type: pa.DataType, item_type: pa.DataType) -> pa.Schema:
     return pa.schema([("doc_id", id_type), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(item_type))])
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 32 << 20) -> DataFrame:
+def scan(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, n_words, spans (merged [first, end) word ranges), items (sorted as
     strings). documents needs doc_id and text, benchmark item_id and text."""
     return _scan(documents, benchmark, width, block_chars).drop("text_hash")
@@ -167,7 +197,7 @@ def _scan(documents: DataFrame, benchmark: DataFrame, width: int, block_chars: i
     return whole.select("doc_id", "text_hash", "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).drop("col").mapInArrow(merged, ddl)
 
 
-def report(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 32 << 20) -> DataFrame:
+def report(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 8 << 20) -> DataFrame:
     """The scan with its digest columns; a document is contaminated if hit words make up a
     twentieth of it or more."""
     found = scan(documents, benchmark, width=width, block_chars=block_chars)
@@ -206,25 +236,25 @@ def _with_text(part: pa.RecordBatch, texts: list[str | None], keep: list[bool])
     return part.set_column(k, part.schema.field(k), pa.array(texts, type=part.schema.field(k).type)).filter(pa.array(keep, type=pa.bool_()))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 32 << 20) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, width: int = 13, block_chars: int = 8 << 20) -> DataFrame:
     """documents, all columns, without the contaminated ones; from the others every hit span is cut.
 
     A benchmark of one block is scanned and cut in one pass without a shuffle. Of a larger one the
     spans of all blocks meet first and are joined to the documents by id and text hash."""
     rows = benchmark.select("item_id", "text")
     if _blocks(rows, block_chars) > 1:
-        found = _scan(documents, rows, width, block_chars).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"), F.col("n_words").alias("_words"))
-        found = found.groupBy("_id", "_hash").agg(F.first("_spans").alias("_spans"), F.first("_words").alias("_words"))
-        joined = documents.join(found, documents["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(documents["text"]) == F.col("_hash")), "left")
+        _id, _hash, _spans, _words = (free_name(x, documents) for x in ("_id", "_hash", "_spans", "_words"))
+        found = _scan(documents, rows, width, block_chars).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias(_id), F.col("text_hash").alias(_hash)).agg(F.first("spans").alias(_spans), F.first("n_words").alias(_words))
+        joined = documents.join(found, documents["doc_id"].eqNullSafe(F.col(_id)) & (F.xxhash64(documents["text"]) == F.col(_hash)), "left")
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in text_chunks(batches, "text"):
-                cut = [t if not r else _cut(t, r, n) for t, r, n in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), part.column("_words").to_pylist())]
-                keep = [not r or c is not None for c, r in zip(cut, part.column("_spans").to_pylist())]
+                cut = [t if not r else _cut(t, r, n) for t, r, n in zip(part.column("text").to_pylist(), part.column(_spans).to_pylist(), part.column(_words).to_pylist())]
+                keep = [not r or c is not None for c, r in zip(cut, part.column(_spans).to_pylist())]
                 yield _with_text(part, cut, keep).select(documents_columns)
 
         documents_columns = documents.columns
-        return joined.select(*documents.columns, "_spans", "_words").mapInArrow(apply, documents.schema)
+        return joined.select(*documents.columns, _spans, _words).mapInArrow(apply, documents.schema)
     index = documents.sparkSession.sparkContext.broadcast(WindowIndex.build(((r[0], r[1]) for r in rows.collect()), width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,6 +62,9 @@ def test_decontamination(spark, docs, nothing, block_chars):
     assert got == sorted((i, *brute_windows(t, ITEMS)) for i, t in TEXTS if i is not None)
     assert decontam.report(nothing, bench).count() == 0
     assert decontam.report(docs, bench.limit(0)).where("n_hit > 0 OR contaminated").count() == 0
+    crowded = docs.withColumns({c: F.lit(3) for c in ("_spans", "_words", "_id", "_hash")})
+    clashing = decontam.decontaminate(crowded, bench, block_chars=block_chars)
+    assert clashing.columns == crowded.columns and clashing.where("_spans = 3 AND _words = 3").count() == 9
     kept = decontam.decontaminate(docs, bench, block_chars=block_chars)
     assert kept.columns == docs.columns
     left = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
