@@ -3,15 +3,17 @@
 An existing subword vocabulary spans a lattice over each word: every way to cut the word (with its
 word mark) into vocabulary pieces, or single characters into bytes, is a path, weighted by the
 product of its pieces' unigram probabilities. A forward recursion in log space sums all paths to
-the word's marginal probability; a text's is the product over its words and one end of text. Pieces
-are counted on the vocabulary's own segmentation of each distinct learning word, with `smooth`
-added. Each learning word is an edge of its own from end to end, weighing (c - discount) / N; what
-the discounts leave weighs the subword paths. So the paths' sum is a probability over all words.
-Within a document words repeat more than that: the document's words are drawn from a Dirichlet
-distribution around those probabilities, which is integrated out in closed form, for each of a few
-`concentrations` that weigh alike. A high one is close to the plain product; a low one lets a
-document's own words recur. What the score gives is still a probability over texts.
-The base score is an add-one unigram model over whole words.
+the word's marginal probability; a text's is the product over its words and one end of text: that
+is lattice_score. Pieces are counted on the vocabulary's own segmentation of each learning word, as
+often as the word occurs, with `smooth` added.
+
+score adds two things, each of which can be left out. Each learning word is an edge of its own from
+end to end, weighing (c - discount) / N; what the discounts leave weighs the subword paths, so the
+paths' sum is a probability over all words. And within a document words repeat more than that: the
+document's words are drawn from a Dirichlet distribution around those probabilities, which is
+integrated out in closed form, for each of a few `concentrations` that weigh alike. A high one is
+close to the plain product; a low one lets a document's own words recur. What the score gives is
+still a probability over texts. The base score is an add-one unigram model over whole words.
 
 Texts are read once. Each task gathers documents into blocks of about `block_chars` characters and
 writes, per block, the distinct words with their counts in learning texts, and the documents as
@@ -61,8 +63,7 @@ class Lattice:
     @classmethod
     def of(cls, vocabulary: list[str], counts: dict[str, int], ends: int, smooth: float) -> Lattice:
         """vocabulary: pieces, bytes written <0xNN>; a piece with a mark inside never spans a word.
-        The end of text counts as one type of word."""
-        ends = min(ends, 1)
+        ends: texts, each of which ends once."""
         usable = [p for p in vocabulary if MARK not in p[1:]]
         total = sum(counts.get(p, 0) for p in usable) + ends + smooth * (len(usable) + 1)
         log = {p: math.log((counts.get(p, 0) + smooth) / total) for p in usable}
@@ -84,16 +85,12 @@ class Lattice:
             alpha.append(top if len(terms) == 1 or top == -math.inf else top + math.log(sum([math.exp(t - top) for t in terms])))
         return alpha[-1]
 
-    def token(self, inner: float, c: int) -> float:
-        """Log of the probability of a token seen c times, inner its log over subword paths."""
-        if not self.tokens:
+    def tokens_of(self, inner: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Logs of the probabilities of words seen c times, inner their logs over subword paths."""
+        if not self.tokens or not self.discount:
             return inner
-        inner += math.log(self.discount * self.types / self.tokens)
-        if c <= self.discount:
-            return inner
-        whole = math.log((c - self.discount) / self.tokens)
-        top = max(whole, inner)
-        return top + math.log(math.exp(whole - top) + math.exp(inner - top))
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(inner + math.log(self.discount * self.types / self.tokens), np.log(np.maximum(c - self.discount, 0) / self.tokens))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -160,8 +157,9 @@ def _expand(data: bytes, n: int, kind) -> np.ndarray:
 
 
 def score(documents: DataFrame, vocabulary: str, *, held_out_mod: int = 7, held_out: int = 2, smooth: float = 0.1, discount: float = 0.75, concentrations: tuple[float, ...] = (30.0, 100.0, 300.0, 1e3, 3e3, 1e4, 1e5), block_chars: int = 12 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per document.
-    vocabulary: path of a sentencepiece model."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score, one row per
+    document. vocabulary: path of a sentencepiece model. discount 0 leaves whole words out, no
+    concentrations leave the recurrence within documents out; without both score is lattice_score."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = documents.sparkSession
@@ -204,7 +202,7 @@ def score(documents: DataFrame, vocabulary: str, *, held_out_mod: int = 7, held_
     path = new_path(spark, "blocks")
     docs.mapInArrow(gather, ddl).withColumn("kind", F.when(F.col("word").isNull(), "docs").otherwise("words")).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     if not spark.read.schema("kind string").parquet(path).limit(1).count():
-        return spark.createDataFrame([], f"doc_id {id_ddl}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        return spark.createDataFrame([], f"doc_id {id_ddl}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double")
     blocks = spark.read.schema(f"{ddl}, kind string").parquet(path)
     words = blocks.where("kind = 'words'").select("block", "word", "number", "times")
     packed = blocks.where("kind = 'docs'").select("block", "ids", "tokens", "sizes", "numbers", "counts")
@@ -224,11 +222,11 @@ def score(documents: DataFrame, vocabulary: str, *, held_out_mod: int = 7, held_
             found = processor.encode(batch.column("word").to_pylist(), num_threads=1)
             sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             flat = np.fromiter((i for f in found for i in f), dtype=np.int64, count=int(sizes.sum()))
-            total += np.bincount(flat, minlength=len(total))
+            np.add.at(total, flat, np.repeat(batch.column("c").to_numpy(), sizes))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([processor.id_to_piece(int(i)) for i in at], type=pa.string()), pa.array(total[at])], names=["piece", "n"])
 
-    pieces = {r[0]: r[1] for r in counted.where("c > 0").select("word").mapInArrow(segment, "piece string, n bigint").groupBy("piece").agg(F.sum("n")).collect()}
+    pieces = {r[0]: r[1] for r in counted.where("c > 0").select("word", "c").mapInArrow(segment, "piece string, n bigint").groupBy("piece").agg(F.sum("n")).collect()}
     spans = Lattice.of(load_vocabulary(vocabulary), pieces, ends, smooth)
     spans.tokens, spans.types, spans.discount = n, v, discount
     lattice = spark.sparkContext.broadcast(spans)
@@ -236,7 +234,7 @@ def score(documents: DataFrame, vocabulary: str, *, held_out_mod: int = 7, held_
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice.value
         for batch in batches:
-            lp = [model.token(model.word(w), c) / _LOG10 for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist())]
+            lp = [model.word(w) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lp, type=pa.float64())], names=["word", "c", "lp"])
 
     weighed = counted.mapInArrow(weigh, "word string, c bigint, lp double")
@@ -266,15 +264,16 @@ def score(documents: DataFrame, vocabulary: str, *, held_out_mod: int = 7, held_
             yield flush()
 
     returned = words.select("block", "word", "number").join(weighed, "word").select("block", "number", "c", "lp").mapInArrow(pack, "block bigint, number binary, c binary, lp binary")
-    result = pa.schema([("doc_id", id_arrow), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    end_lp, end_base = spans.token(spans.end, ends) / _LOG10, math.log10((ends + 1) / denominator)
+    spans_end = spans.end / _LOG10
+    result = pa.schema([("doc_id", id_arrow), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())])
+    end_lp, end_base = float(spans.tokens_of(np.array([spans.end]), np.array([float(ends)]))[0]) / _LOG10, math.log10((ends + 1) / denominator)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         join = lambda name, kind: np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(x, dtype=kind) for x in right.column(name).to_pylist())])
         number, c, lp = join("number", np.uint32), join("c", np.uint64).astype(np.float64), join("lp", np.float64)
         size = int(number.max()) + 1 if len(number) else 0
-        base_of, lp_of, known_of = np.full(size, np.nan), np.full(size, np.nan), np.zeros(size)
-        base_of[number], lp_of[number], known_of[number] = np.log10((c + 1) / denominator), lp, c > 0
+        base_of, inner_of, lp_of, known_of = np.full(size, np.nan), np.full(size, np.nan), np.full(size, np.nan), np.zeros(size)
+        base_of[number], inner_of[number], lp_of[number], known_of[number] = np.log10((c + 1) / denominator), lp, lattice.value.tokens_of(lp, c), c > 0
         out: dict[str, list] = {f.name: [] for f in result}
         for row in left.to_pylist():
             sizes = np.array(row["sizes"], dtype=np.int64)
@@ -288,8 +287,10 @@ def score(documents: DataFrame, vocabulary: str, *, held_out_mod: int = 7, held_
             out["n_tokens"] += [t + 1 for t in row["tokens"]]
             out["n_known"] += (np.rint(add(known_of)).astype(np.int64) + (ends > 0)).tolist()
             out["base_score"] += (add(base_of) + end_base).tolist()
-            out["score"] += (document_scores(len(sizes), doc, times, lp_of[at] * _LOG10, concentrations) / _LOG10 + end_lp).tolist()
+            out["lattice_score"] += (add(inner_of) / _LOG10 + spans_end).tolist()
+            plain = add(lp_of) if not concentrations else document_scores(len(sizes), doc, times, lp_of[at], concentrations)
+            out["score"] += (plain / _LOG10 + end_lp).tolist()
         return pa.Table.from_batches([to_batch(out, result)])
 
-    scored = packed.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(finish, f"doc_id {id_ddl}, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select("doc_id", out_of(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    scored = packed.groupBy("block").cogroup(returned.groupBy("block")).applyInArrow(finish, f"doc_id {id_ddl}, n_tokens bigint, n_known bigint, base_score double, score double, lattice_score double")
+    return scored.select("doc_id", out_of(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score", "lattice_score")

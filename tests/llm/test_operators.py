@@ -270,9 +270,37 @@ def test_lattice_scores(docs, nothing, block_chars):
     n, v = sum(counts.values()), len(counts)
     want = sorted((i or 0, out(i), len(words(t)) + 1, sum(counts[w] > 0 for w in [*words(t), "\n"]), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*words(t), "\n"]), 6)) for i, t in TEXTS)
     assert got == want
-    scores = [r.score for r in lattice_lm.score(docs, vocabulary, block_chars=block_chars).collect()]
-    assert all(s < 0 and math.isfinite(s) for s in scores)
     assert lattice_lm.score(nothing, vocabulary).count() == 0
+    # The scores themselves, from a plain version: word by word, in order.
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+    pieces, ends = Counter(), counts.pop("\n")
+    for w, c in counts.items():
+        for i in processor.encode(w):
+            pieces[processor.id_to_piece(i)] += c
+    plain = lattice_lm.Lattice.of(lattice_lm.load_vocabulary(vocabulary), pieces, ends, 0.1)
+    inner = {w: plain.word(w) for _, t in TEXTS for w in words(t)}
+    d, some = 0.75, (5.0, 300.0)
+    p = {w: d * v / n * math.exp(x) + max(counts[w] - d, 0) / n for w, x in inner.items()}
+    end = math.log10(d * v / n * math.exp(plain.end) + (ends - d) / n)
+
+    def urn(text, a):
+        seen, total = Counter(), 0.0
+        for i, w in enumerate(words(text)):
+            total += math.log((a * p[w] + seen[w]) / (a + i))
+            seen[w] += 1
+        return total
+
+    def mean(text):
+        x = [urn(text, a) for a in some]
+        return (max(x) + math.log(sum(math.exp(y - max(x)) for y in x) / len(x))) / math.log(10)
+
+    lattice = lambda t: (sum(inner[w] for w in words(t)) + plain.end) / math.log(10)
+    rows = lambda **kw: sorted(((r.doc_id or 0, r.score, r.lattice_score) for r in lattice_lm.score(docs, vocabulary, block_chars=block_chars, **kw).collect()), key=lambda r: (r[0], r[1]))
+    for kw, own in (({"concentrations": some}, lambda t: mean(t) + end), ({"concentrations": ()}, lambda t: sum(math.log10(p[w]) for w in words(t)) + end), ({"concentrations": (), "discount": 0}, lattice)):
+        want = sorted(((i or 0, own(t), lattice(t)) for i, t in TEXTS), key=lambda r: (r[0], r[1]))
+        assert np.allclose(np.array(rows(**kw)), np.array(want), rtol=1e-7), kw
 
 
 # -- 5 --------------------------------------------------------------------------------------------
