@@ -33,12 +33,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/filingspark/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it again: a cut in the lineage
     that survives the loss of executors."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

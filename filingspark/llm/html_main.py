@@ -276,7 +276,7 @@ def order_key(row) -> tuple:
 
 
 def lines_of(row: dict) -> list[str]:
-    """The lines of a parsed row."""
+    """The lines of a dealt row."""
     if not row["kinds"]:
         return []
     return pa.decompress(row["lines"], decompressed_size=row["size"], codec="zstd", asbytes=True).decode().split("\n")
@@ -284,7 +284,7 @@ def lines_of(row: dict) -> list[str]:
 
 def parse(pages: DataFrame) -> DataFrame:
     """host, path, digest of the unmarked lines, page_id, digest of all lines, url, the lines' kinds,
-    a byte each, and the lines, compressed, with their size."""
+    a byte each, and the lines with their size."""
     import hashlib
 
     def digest(*values: bytes) -> str:
@@ -302,7 +302,7 @@ def parse(pages: DataFrame) -> DataFrame:
                 unmarked = digest(*(x for x, k in zip(lines, kinds) if k in (ARTICLE, LOOSE)))
                 out.append({
                     "host": host, "path": path, "digest": unmarked, "page_id": page_id, "whole": digest(kinds, *lines), "url": url, "kinds": kinds,
-                    "size": len(data), "lines": pa.compress(data, codec="zstd", asbytes=True) if data else b"",
+                    "size": len(data), "lines": data,
                 })
             yield pa.RecordBatch.from_pylist(out, schema=_PARSED)
 
@@ -310,13 +310,17 @@ def parse(pages: DataFrame) -> DataFrame:
 
 
 def deal(parsed: DataFrame, bounds: list[tuple], edges: dict[tuple, list[tuple[int, int]]]) -> DataFrame:
-    """Parsed pages with part (by bounds) and role. edges: (part, role) of the further places that a
-    page of that order key goes to."""
+    """Parsed pages with part (by bounds) and role, their lines compressed for the way. edges: (part,
+    role) of the further places that a page of that order key goes to."""
     from bisect import bisect_right
 
+    at = _PARSED.get_field_index("lines")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = set()
-        for batch in batches:
+        sent, codec = set(), pa.Codec("zstd", 9)
+        for batch in (part for whole in batches for part in text_chunks([whole], "lines")):
+            packed = pa.array([codec.compress(x, asbytes=True) if x else b"" for x in batch.column("lines").to_pylist()], type=pa.binary())
+            batch = batch.set_column(at, _PARSED.field(at), packed)
             keys = [order_key(r) for r in batch.select(_ORDER).to_pylist()]
             places = [[(bisect_right(bounds, k), OWN)] for k in keys]
             for found, k in zip(places, keys):
@@ -412,7 +416,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("partner_id", pa.int64()), ("n_shared", pa.int64())])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parsed = materialize(parse(pages), "pages")
+    parsed = materialize(parse(pages), "pages", compression="zstd")
     keys = parsed.select(_ORDER)
     share = min(1.0, 60 * n / max(1, keys.count()))
     sample = sorted(map(order_key, (r.asDict() for r in keys.sample(share, seed=1).collect())))
