@@ -2,7 +2,7 @@ import pytest
 
 from filingspark.operators import extract as E
 from filingspark.operators.markup import MarkupError, Reader
-from filingspark.operators.parser import DocumentError, parse, parse_documents
+from filingspark.operators.parser import DocumentError, parse, parse_documents, read_tolerant
 
 HEAD = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:ix="http://www.xbrl.org/2013/inlineXBRL" xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:xbrldi="http://xbrl.org/2006/xbrldi" xmlns:c="urn:c">'
 
@@ -82,6 +82,49 @@ def test_documents_to_facts(spark):
     assert "Join" not in plan
 
 
+def test_expat_agrees_with_the_tolerant_reader(monkeypatch):
+    """Documents changed at random: what expat reads is what the tolerant reader reads."""
+    import random
+
+    from filingspark.operators import parser
+
+    def result(read, data: bytes):
+        try:
+            p = read(data)
+            return p and (p.contexts, p.units, p.facts)
+        except (MarkupError, DocumentError) as e:
+            return str(e)
+
+    body = (
+        '<ix:nonNumeric name="c:A" contextRef="k" continuedAt="z" format=\'x\'>a <b>b</b> &amp; &#13;c<![CDATA[<d>]]><ix:exclude>no</ix:exclude></ix:nonNumeric><ix:continuation id="z"> more</ix:continuation>'
+        '<ix:nonFraction name="c:N" contextRef="k" unitRef="u" scale="3"\n decimals="0">1,0<span>5</span></ix:nonFraction>'
+        '<xbrli:context id="k"><xbrli:entity><xbrli:segment><xbrldi:typedMember dimension="c:D"><c:x> v </c:x></xbrldi:typedMember><xbrldi:explicitMember dimension="c:E">c:M</xbrldi:explicitMember></xbrli:segment></xbrli:entity>'
+        '<xbrli:period><xbrli:startDate>2020-01-01</xbrli:startDate><xbrli:endDate>2020-<i/>12-31</xbrli:endDate></xbrli:period></xbrli:context>'
+        '<xbrli:unit id="u"><xbrli:measure>a:b</xbrli:measure><xbrli:measure>c</xbrli:measure></xbrli:unit><d xmlns:q="urn:q"><q:i contextRef="k" decimals="1"> z </q:i></d><!-- x --><?pi y?><br/>'
+    )
+    whole = ('<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE html>' + HEAD + body * 2 + "</html>").encode()
+    assert parser.read_well_formed(whole) is not None
+    rng = random.Random(5)
+    read = failed = 0
+    pieces = [b"", b" ", b"\n", b"\t", b"x", b"<b>", b"</b>", b"<p/>", b"&lt;", b"&nbsp;", b"&#9;", b"'", b'"', b"<xbrli:instant>", b"</xbrli:instant>", b"<ix:exclude>", b"</ix:exclude>", b"\r\n", b"]]>", b"<x xmlns='u'/>", b" xmlns:c='urn:z'", b"<!-- -->", b"q:", b"\xc3\xa9", b"\xff", b"<nonFraction name='c:x'>1</nonFraction>"]
+    for _ in range(3000):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(data))
+            at = data.find(b">", at) + 1 if rng.random() < 0.6 else at
+            data[at : at + rng.choice([0, 0, 0, 1, 2])] = rng.choice(pieces)
+        data = bytes(data)
+        fast = result(parser.read_well_formed, data)
+        if fast is None:
+            failed += 1
+            continue
+        read += 1
+        assert fast == result(parser.read_tolerant, data), data
+    assert read > 600 and failed > 300
+    for text in ('<?xml version="1.0" encoding="latin1"?><a/>', '<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>', "<!DOCTYPE a SYSTEM 'x'><a>&nbsp;</a>", "<a/><b/>", "<a b=1/>"):
+        assert parser.read_well_formed(text.encode()) is None
+
+
 def test_short_way_agrees_with_the_long_way(monkeypatch):
     """Documents broken at random: the pattern for common tags changes nothing."""
     import random
@@ -95,7 +138,7 @@ def test_short_way_agrees_with_the_long_way(monkeypatch):
 
     def result(data: bytes):
         try:
-            p = parse(data)
+            p = read_tolerant(data)
             return p.contexts, p.units, p.facts
         except (MarkupError, DocumentError) as e:
             return str(e)
