@@ -64,8 +64,8 @@ def best_facts(mapped: DataFrame) -> DataFrame:
 
 
 def pivot(best: DataFrame, canonicals: list[str]) -> DataFrame:
-    """One row per company and period, a text column per canonical. The values of a row meet in a
-    map, which aggregates by hash; a pivot of `first` over text would sort."""
+    """One row per company and period, a text column per canonical. The values of a row meet in one
+    map, on the partitioning that the pick left; a pivot would carry a buffer per column."""
     entries = F.map_from_entries(F.collect_list(F.struct("canonical", "value")))
     grouped = best.where(F.col("canonical").isin(canonicals)).groupBy(*KEYS).agg(entries.alias("m"))
     return grouped.select(*KEYS, *(F.try_element_at("m", F.lit(c)).alias(c) for c in canonicals))
@@ -94,9 +94,11 @@ def wide_static(best: DataFrame) -> DataFrame:
 
 def wide_dynamic(best: DataFrame, names: list[str] | None = None) -> DataFrame:
     """A text column for every canonical that occurs, in name order. The names are those of the
-    map, so their number has its bound."""
+    map, so their number has its bound. Which occur decides the columns, so the picked values are
+    persisted (spilling to disk) and read twice; a lost executor's part is computed again."""
     found = best.where("canonical != 'company_number'")
     if names is None:
+        found = found.persist()
         names = sorted(r[0] for r in found.select("canonical").distinct().collect())
     return pivot(found, names)
 

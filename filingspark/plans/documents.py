@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from filingspark.operators import extract as E
 from filingspark.operators import taxonomy as X
 from filingspark.operators.parser import parse_documents
+from filingspark.plans.facts import spread
 
 _HEAD = (
     '<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE html><html xmlns="http://www.w3.org/1999/xhtml" xmlns:ix="http://www.xbrl.org/2013/inlineXBRL" '
@@ -39,7 +40,7 @@ _UNIT = ('<xbrli:unit id="u1"><xbrli:measure>iso4217:GBP</xbrli:measure></xbrli:
 
 def members(spark: SparkSession, sf_dir: str, *body, ukfrs: bool = False) -> DataFrame:
     """One filing per order; body is text and columns."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     return orders.select(_lit(_FILE).alias("source_file"), _text(*body).cast("binary").alias("content"), F.lit(None).cast("string").alias("error"), F.lit(ukfrs).alias("only_ukfrs"))
 
 
@@ -144,14 +145,15 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as they come: a closing tag inside a script ends every element, so each fails."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     rows = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("source_file"), F.col("html").cast("binary").alias("content"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("only_ukfrs"))
     return E.status_of(E.bind(parse_documents(rows))).select("source_file", "ok", "facts")
 
 
 def taxonomy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts with their concepts' attributes, from schemas written from the parts table."""
-    facts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit("urn:parts").alias("namespace"), F.concat(F.lit("P"), "l_partkey").alias("concept"), "l_orderkey", "l_linenumber")
+    concept = F.concat(F.when(F.col("l_linenumber") % 3 == 0, "Q").otherwise("P"), "l_partkey")  # a Q is in no schema
+    facts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit("urn:parts").alias("namespace"), concept.alias("concept"), "l_orderkey", "l_linenumber")
     return X.join_facts(facts, _concepts(spark, sf_dir)).select("l_orderkey", "l_linenumber", "concept", "period_type", "balance", "type_name")
 
 
@@ -161,13 +163,13 @@ def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:xbrli="http://www.xbrl.org/2003/instance" targetNamespace="urn:parts">', element,
         '<xs:element name="notAConcept" type="xs:string"/></xs:schema>',
     )
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 3 <> 0")
+    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet"))
     return X.merge(X.concepts(parts.select(F.concat(F.lit("p"), "p_partkey", F.lit(".xsd")).alias("location"), schema.cast("binary").alias("content"))))
 
 
 def taxonomy_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two suites that disagree on some concepts."""
-    base = spark.range(0, 1).crossJoin(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"))
+    base = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     suite = lambda s, balance: base.select(
         F.lit(s).alias("location"), F.lit("urn:p").alias("namespace"), F.concat(F.lit("P"), "p_partkey").alias("local_name"), F.lit("false").alias("abstract"), F.lit("").alias("type_namespace"), F.lit("t").alias("type_name"),
         F.lit("").alias("substitution_group_namespace"), F.lit("item").alias("substitution_group_name"), F.lit("instant").alias("period_type"), balance.alias("balance"), F.lit("true").alias("nillable"),
@@ -204,7 +206,7 @@ ORACLE_SQL = {
  CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 500 + 1)::VARCHAR ELSE rtrim(rtrim(CAST(CAST(o_custkey % 500 + 1 AS DECIMAL(10,2)) * CAST(0.01 AS DECIMAL(3,2)) AS VARCHAR), '0'), '.') END AS value FROM orders""",
     "run_summary": "SELECT count(*) AS members, count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS files_ok, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS files_err, 0::BIGINT AS corrections, (2 * count(*) FILTER (WHERE o_orderkey % 4 <> 0))::BIGINT AS facts FROM orders",
     "pages_rejected": "SELECT 'p' || page_id || '.html' AS source_file, FALSE AS ok, 0::BIGINT AS facts FROM pages",
-    "taxonomy_join": """SELECT l_orderkey, l_linenumber, 'P' || l_partkey AS concept, CASE WHEN p_partkey IS NULL THEN NULL WHEN p_size % 2 = 0 THEN 'instant' ELSE 'duration' END AS period_type, CASE WHEN p_partkey IS NOT NULL THEN 'credit' END AS balance,
- CASE WHEN p_partkey IS NOT NULL THEN 'monetaryItemType' END AS type_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON l_partkey = p_partkey""",
+    "taxonomy_join": """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'Q' ELSE 'P' END || l_partkey AS concept, CASE WHEN p_partkey IS NULL THEN NULL WHEN p_size % 2 = 0 THEN 'instant' ELSE 'duration' END AS period_type,
+ CASE WHEN p_partkey IS NOT NULL THEN 'credit' END AS balance, CASE WHEN p_partkey IS NOT NULL THEN 'monetaryItemType' END AS type_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND l_linenumber % 3 <> 0""",
     "taxonomy_conflicts": "SELECT 'urn:p' AS namespace, 'P' || p_partkey AS local_name, 'balance' AS fields FROM part WHERE p_size % 10 = 0",
 }

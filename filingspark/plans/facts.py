@@ -4,6 +4,7 @@ and its check start from the same relation."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DAY = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
 _NUMBER = "lpad(CAST(o_custkey AS STRING), 8, '0')"
@@ -38,9 +39,29 @@ FACTS = " UNION ALL ".join(
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores: a small test table is one file and would be one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long facts, with fact_ord, a place that grows through a filing."""
-    return spark.sql(FACTS.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    """The long facts, with fact_ord, a place that grows through a filing: one scan of the orders,
+    each of which holds an array of its facts."""
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority"))
+    end = f"CASE WHEN o_orderkey % 13 = 0 THEN ' ' WHEN o_orderkey % 17 = 0 THEN substring({_DAY}, 1, 7) ELSE {_DAY} END"
+    filing = orders.select(
+        F.expr(f"CASE WHEN o_orderkey % 12 = 0 THEN '' ELSE {_DAY} END").alias("period_start"),
+        F.expr(end).alias("period_end"),
+        F.array(*(F.when(F.expr(where), F.struct(F.lit(concept).alias("concept"), F.expr(value).alias("value"), F.lit(unit).alias("unit"), F.lit(i).alias("i"))) for i, (concept, value, unit, where) in enumerate(_CONCEPTS))).alias("own"),
+        F.expr(_DIMENSIONS).alias("dimensions"),
+        F.expr(_FILE).alias("source_file"),
+        "o_orderkey",
+    )
+    each = filing.select("period_start", "period_end", "dimensions", "source_file", "o_orderkey", F.explode("own").alias("f")).where("f IS NOT NULL")
+    return each.select(
+        "period_start", "period_end", "f.concept", "f.value", "f.unit", "dimensions", F.lit("urn:test").alias("namespace"), "source_file", F.lit("0").alias("decimals"),
+        (F.col("o_orderkey").cast("bigint") * 16 + F.col("f.i")).alias("fact_ord"),
+    )
 
 
 def values_sql(name: str, columns: list[str], data: list[tuple]) -> str:
