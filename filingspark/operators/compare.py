@@ -42,47 +42,56 @@ def fact_except(methods: dict[str, DataFrame]) -> DataFrame:
     return _both_ways(methods, FACT.names)
 
 
-def assert_agree(methods: dict[str, DataFrame]) -> DataFrame:
-    """One row, `status`; evaluating it fails if counts, files or facts differ."""
+def agreement(methods: dict[str, DataFrame]) -> DataFrame:
+    """One row, `status`: ok, or how the routes differ - in counts, else in files, else in facts."""
     counts = method_counts(methods).agg(
         F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("files").alias("f0"), F.max("files").alias("f1"),
         F.array_join(F.array_sort(F.collect_list(F.concat("method", F.lit("="), "n"))), ", ").alias("list"),
     )
     files = source_file_except(methods).agg(F.count(F.lit(1)).alias("files_off"), F.min(F.concat_ws(":", "cmp", "source_file")).alias("file"))
     facts = fact_except(methods).agg(F.count(F.lit(1)).alias("facts_off"), F.min(F.concat_ws(" ", "cmp", "source_file", "concept")).alias("fact"))
-    fail = lambda *parts: F.raise_error(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     status = (
-        F.when((F.col("n0") != F.col("n1")) | (F.col("n0") < 1), fail("row-count mismatch: ", F.col("list")).cast("string"))
-        .when((F.col("f0") != F.col("f1")) | (F.col("f0") < 1), fail("distinct source_file count mismatch").cast("string"))
-        .when(F.col("files_off") > 0, fail("source_file set mismatch: ", F.col("file")).cast("string"))
-        .when(F.col("facts_off") > 0, fail("fact EXCEPT mismatch (", F.col("facts_off").cast("string"), " rows). first: ", F.col("fact")).cast("string"))
-        .otherwise(F.concat(F.lit("ok: "), F.lit(", ".join(methods)), F.lit(" agree")))
+        F.when((F.col("n0") != F.col("n1")) | (F.col("n0") < 1), text("row-count mismatch: ", F.col("list")))
+        .when((F.col("f0") != F.col("f1")) | (F.col("f0") < 1), F.lit("distinct source_file count mismatch"))
+        .when(F.col("files_off") > 0, text("source_file set mismatch: ", F.col("file")))
+        .when(F.col("facts_off") > 0, text("fact EXCEPT mismatch (", F.col("facts_off").cast("string"), " rows). first: ", F.col("fact")))
+        .otherwise(text("ok: ", ", ".join(methods), " agree"))
     )
     return counts.crossJoin(files).crossJoin(facts).select(status.alias("status"))  # three single rows
 
 
+def assert_agree(methods: dict[str, DataFrame]) -> DataFrame:
+    """One row, `status`; evaluating it fails if counts, files or facts differ."""
+    status = F.col("status")
+    return agreement(methods).select(F.when(status.startswith("ok: "), status).otherwise(F.raise_error(status).cast("string")).alias("status"))
+
+
 # -- facts against another reader's ----------------------------------------------------------------
 
-PAIR_KEYS = ["concept", "period_start", "period_end"]
+PAIR_KEYS = ["source_file", "concept", "period_start", "period_end"]
 
 
 def _text(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
 
-def oracle_facts(raw: DataFrame) -> DataFrame:
-    """concept, period_start, period_end, value_soft of another reader's table (Name, Value, Start,
-    End/Instant); an instant is both ends."""
+def oracle_facts(raw: DataFrame, source_file: str | None = None) -> DataFrame:
+    """PAIR_KEYS and value_soft of another reader's table (Name, Value, Start, End/Instant); an
+    instant is both ends. The file is the one given, or the table's column source_file."""
     end = F.trim(F.coalesce(F.col("`End/Instant`").cast("string"), F.lit("")))
     concept = F.substring_index(_text("Name"), ":", -1)
-    out = raw.select(concept.alias("concept"), F.coalesce(non_empty(F.col("Start").cast("string")), end).alias("period_start"), end.alias("period_end"), soft.soft_value(F.col("Value"), True).alias("value_soft"))
+    file = base_name(F.col("source_file")) if source_file is None else F.lit(source_file)
+    start = F.coalesce(non_empty(F.col("Start").cast("string")), end)
+    out = raw.select(file.alias("source_file"), concept.alias("concept"), start.alias("period_start"), end.alias("period_end"), soft.soft_value(F.col("Value"), True).alias("value_soft"))
     return out.where("concept != ''")
 
 
 def own_facts(facts: DataFrame, source_file: str | None = None) -> DataFrame:
     """The same columns of long facts, of one file if given."""
-    rows = facts if source_file is None else facts.where(base_name(F.col("source_file")) == source_file)
-    return rows.select(*(_text(k).alias(k) for k in PAIR_KEYS), soft.soft_value(F.col("value"), True).alias("value_soft"))
+    file = base_name(F.col("source_file"))
+    rows = facts if source_file is None else facts.where(file == source_file)
+    return rows.select(file.alias("source_file"), *(_text(k).alias(k) for k in PAIR_KEYS[1:]), soft.soft_value(F.col("value"), True).alias("value_soft"))
 
 
 def only_concepts(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -91,7 +100,8 @@ def only_concepts(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """Facts numbered within equal concept and period, by value: pairs of equal keys meet in order."""
+    """Facts numbered within equal file, concept and period, by value: pairs of equal keys meet in
+    order. The file is in the key, so no window holds more than one filing's facts."""
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*PAIR_KEYS).orderBy("value_soft")))
 
 
@@ -106,16 +116,21 @@ def only_facts(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def facts_summary(oracle: DataFrame, own: DataFrame) -> DataFrame:
-    """Counts of both sides, of pairs and of what is left over, one row."""
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    concepts = lambda df, name: df.agg(F.count_distinct("concept").alias(name))
-    matched = pairs(oracle, own).agg(F.count(F.lit(1)).alias("paired_facts"), F.count_if("value_match").alias("soft_value_matches"), F.count_if(~F.col("value_match")).alias("soft_value_mismatches"))
-    singles = [
-        count(oracle, "oracle_facts"), count(own, "extract_facts"), concepts(oracle, "oracle_concepts"), concepts(own, "extract_concepts"),
-        count(only_concepts(oracle, own), "concepts_only_oracle"), count(only_concepts(own, oracle), "concepts_only_extract"), matched,
-        count(only_facts(oracle, own), "facts_only_oracle"), count(only_facts(own, oracle), "facts_only_extract"),
-    ]
-    return reduce(DataFrame.crossJoin, singles)  # single rows
+    """Counts of both sides, of pairs and of what is left over, one row. Each side is read and
+    numbered once; they meet in one outer join, whose rows are counted by concept, then in all."""
+    a = keyed(oracle).withColumn("in_o", F.lit(True)).withColumnRenamed("value_soft", "o")
+    b = keyed(own).withColumn("in_x", F.lit(True)).withColumnRenamed("value_soft", "x")
+    in_o, in_x = F.col("in_o").isNotNull(), F.col("in_x").isNotNull()
+    match = soft.soft_equal(F.col("o"), F.col("x"), reported=True)
+    kinds = {"n_o": in_o, "n_x": in_x, "both": in_o & in_x, "same": in_o & in_x & match, "differ": in_o & in_x & ~match, "only_o": in_o & ~in_x, "only_x": in_x & ~in_o}
+    by_concept = a.join(b, [*PAIR_KEYS, "rn"], "full").groupBy("concept").agg(*(F.count_if(c).alias(k) for k, c in kinds.items()))
+    total = lambda k: F.coalesce(F.sum(k), F.lit(0))
+    named = F.col("concept") != ""
+    return by_concept.agg(
+        total("n_o").alias("oracle_facts"), total("n_x").alias("extract_facts"), F.count_if(F.col("n_o") > 0).alias("oracle_concepts"), F.count_if(F.col("n_x") > 0).alias("extract_concepts"),
+        F.count_if(named & (F.col("n_x") == 0)).alias("concepts_only_oracle"), F.count_if(named & (F.col("n_o") == 0)).alias("concepts_only_extract"),
+        total("both").alias("paired_facts"), total("same").alias("soft_value_matches"), total("differ").alias("soft_value_mismatches"), total("only_o").alias("facts_only_oracle"), total("only_x").alias("facts_only_extract"),
+    )
 
 
 # -- wide rows against another source's ------------------------------------------------------------
