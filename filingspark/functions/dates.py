@@ -123,6 +123,14 @@ def date_parts(fmt: Column, text: Column) -> Column:
     return let(folded, rewrite)
 
 
+def parts_of(fmt: str, text: Column) -> Column:
+    """date_parts for a transform known beforehand: one pattern alone."""
+    name, order = next(key for key, formats in FORMATS.items() if fmt in formats)
+    folded = _digits(text, 0x0966) if fmt in DEVANAGARI else _digits(text, 0xFF10) if fmt in FULL_WIDTH else text
+    whole = rf"\A{_patterns()[name]}\z"
+    return F.when(folded.rlike(whole), F.regexp_replace(folded, whole, _ORDERS[order]))
+
+
 def expand_year(y: Column) -> Column:
     """One digit is 200Y, two 20YY, four as written; null otherwise."""
     n = y.try_cast("int")

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from filingspark.functions import facts as V
 from filingspark.functions import soft
-from filingspark.functions.dates import transform_date
+from filingspark.functions.dates import DEVANAGARI, FORMATS, FULL_WIDTH, iso_date, parts_of, transform_date
 from filingspark.functions.numbers import normalise_numeric
 from filingspark.functions.text import collapse_spaces, dimensions_json, fold_spaces, format_local, qname_local
+from filingspark.plans.facts import spread
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
 _MONEY = "CAST(o_totalprice AS DECIMAL(20,2))"
@@ -88,6 +89,39 @@ def date_transform_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "form", transform_date(F.element_at(fmt, F.col("form")), F.col("text"))["value"].alias("value"))
 
 
+# How the date of a day is shown for each pattern of the registry's transforms.
+_SHOWN = {
+    "long day first": "d MMMM yyyy", "short day first": "d MMM yyyy", "long month first": "MMMM d, yyyy", "short month first": "MMM d, yyyy", "slashes": "dd/MM/yyyy", "dots": "dd.MM.yyyy",
+    "digits3": "d - M - yyyy", "digits3 year first": "yyyy-M-d", "name day first": "d. MMMM yyyy", "name month first": "MMM d yyyy", "french": "d 'F' yyyy", "digits2": "d.M", "digits2 suffix": "M-d'th'", "slash2": "d/M",
+    "name day month": "d. MMM", "name month day": "MMMM d'th'", "long day month": "d MMMM", "short day month": "d  MMM", "long month day": "MMMM d", "short month day": "MMM d'st'", "month year": "M/yyyy", "year month": "yyyy-M",
+    "name month year": "MMMM-yyyy", "name year month": "yyyy MMM", "long month year": "MMMM  yyyy", "short month year": "MMM yyyy", "long year month": "yyyy MMMM", "short year month": "yyyy MMM",
+}
+_MONTHS_FR = ["janv", "févr", "mars", "avr", "mai", "juin", "juil", "août", "sept", "oct", "nov", "déc"]
+
+
+def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every date transform of the registry on every order's day; digits of other scripts on even
+    orders where the transform folds them."""
+    day, even = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 2 == 0
+    digits = lambda c, first: F.translate(c, "0123456789", "".join(chr(first + i) for i in range(10)))
+    shown = []
+    for (pattern, order), names in FORMATS.items():
+        form = _SHOWN[pattern]
+        if order == "mdy" and pattern in ("slashes", "dots", "digits3"):
+            form = form.replace("d", "#").replace("M", "d").replace("#", "M")
+        if order == "md" and pattern == "slash2":
+            form = "M/d"
+        text = F.date_format(day, form)
+        if pattern == "french":
+            text = F.replace(text, F.lit("F"), F.element_at(F.array(*map(F.lit, _MONTHS_FR)), F.month(day)))
+        for name in names:
+            folded = digits(text, 0x0966) if name in DEVANAGARI else digits(text, 0xFF10) if name in FULL_WIDTH else text
+            shown.append(F.struct(F.lit(name).alias("form"), parts_of(name, F.when(even, folded).otherwise(text)).alias("parts")))
+    rows = _orders(spark, sf_dir).select("o_orderkey", F.explode(F.array(*shown)).alias("x"))
+    value = iso_date(F.col("x.parts"))
+    return rows.select("o_orderkey", "x.form", value.alias("value"), value.isNull().alias("failed"))
+
+
 def date_transform_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
     of = lambda fmt, pattern: transform_date(F.lit(fmt), F.date_format(day, pattern))["value"]
@@ -137,7 +171,7 @@ def typed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "normalise_numeric": normalise_numeric_query, "numeric_scale_sign": numeric_scale_sign, "ixt_separators": ixt_separators, "human_prefix_strip": human_prefix_strip,
-    "whitespace_functions": whitespace_functions, "qname_functions": qname_functions, "boolean_transform": boolean_transform, "date_transform_full": date_transform_full,
+    "whitespace_functions": whitespace_functions, "qname_functions": qname_functions, "boolean_transform": boolean_transform, "date_transform_full": date_transform_full, "date_formats": date_formats,
     "date_transform_partial": date_transform_partial, "date_transform_rejects": date_transform_rejects, "year_expansion": year_expansion,
     "headcount_corrections": headcount_corrections, "dimensions_json": dimensions_json_query, "soft_equal_pairs": soft_equal_pairs, "typed_casts": typed_casts,
 }
@@ -152,6 +186,8 @@ ORACLE_SQL = {
     "qname_functions": f"SELECT {_K}, CASE WHEN {_K} % 4 = 3 THEN o_orderstatus || ':' ELSE o_orderstatus END AS local, lower(o_orderpriority) AS format FROM orders",
     "boolean_transform": f"SELECT {_K}, CASE WHEN o_orderstatus = 'F' THEN 'true' WHEN o_orderstatus = 'O' THEN 'false' WHEN {_K} % 2 = 0 THEN '' ELSE o_orderpriority END AS value FROM orders",
     "date_transform_full": f"SELECT {_K}, form, CASE WHEN form = 'shortuk' THEN '20' || strftime(o_orderdate, '%y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value FROM orders, (SELECT unnest({list(_DATES)}) AS form)",
+    "date_formats": f"""SELECT {_K}, form, CASE WHEN form IN ({", ".join(f"'{n}'" for (_, o), x in FORMATS.items() if len(o) == 3 for n in x)}) THEN strftime(o_orderdate, '%Y-%m-%d')
+ WHEN form IN ({", ".join(f"'{n}'" for (_, o), x in FORMATS.items() if "d" not in o for n in x)}) THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '--%m-%d') END AS value, FALSE AS failed FROM orders, (SELECT unnest({sorted(n for x in FORMATS.values() for n in x)}) AS form)""",
     "date_transform_partial": f"SELECT {_K}, strftime(o_orderdate, '--%m-%d') AS day_month, strftime(o_orderdate, '--%m-%d') AS month_day, strftime(o_orderdate, '%Y-%m') AS month_year, strftime(o_orderdate, '%Y-%m') AS year_month FROM orders",
     "date_transform_rejects": f"""SELECT {_K}, CASE WHEN {_K} % 10 < 9 THEN strftime(d, '%Y-%m-%d') END AS value, {_K} % 10 = 9 OR d IS NULL AS failed FROM
  (SELECT {_K}, TRY_CAST('2023-' || lpad((o_custkey % 14)::VARCHAR, 2, '0') || '-' || lpad(({_K} % 33)::VARCHAR, 2, '0') AS DATE) AS d FROM orders)""",

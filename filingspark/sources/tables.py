@@ -7,6 +7,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingspark.schemas import CONCEPT, FACT
@@ -27,10 +28,25 @@ def read_map(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return read_csv(spark, path, T.StructType.fromDDL(ddl))
 
 
+# The columns that are read of another reader's table of facts.
+OTHER_READER = ("Name", "Value", "Start", "End/Instant")
+
+
+def read_other_reader(spark: SparkSession, path: str) -> DataFrame:
+    """Another reader's table of facts, one or many files: the columns OTHER_READER by name, wherever
+    they stand, and source_file, the table's file without its ending. Short rows are padded."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    missing = [c for c in OTHER_READER if c not in rows.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    file = F.regexp_replace(F.element_at(F.split(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "/"), -1), r"\.csv\z", "")
+    return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in OTHER_READER), file.alias("source_file"))
+
+
 def write_facts(facts: DataFrame, path: str, *, single: bool = False) -> None:
     """Facts as CSV, in the fixed order of columns; single makes one part file."""
     rows = facts.select(FACT.names)
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_facts_file(facts: DataFrame, out) -> int:
