@@ -5,11 +5,12 @@ Sets are 64-bit hashes of a text's five-word shingles (words as in simhash; a sh
 shingle, all its words). Candidates share one of BANDS keys of ROWS MinHash values each: of pairs at
 similarity 0.8 all but 1 in 30,000 do, and more of those above. They are checked exactly. Equal sets
 are one node. In each bucket the node with the least number is checked against the others; after
-that only buckets whose nodes are still in different components are looked at again: of one of at
-most SMALL nodes, every pair in different components is checked; of a larger one, LEADERS nodes, chosen
-by hash, against all others. So the work grows with the rows of the buckets and not with the square of
-a crowded one. What that may miss: in a bucket of more than SMALL texts, none of which follows from
-another link, a pair neither of which is a leader in any of the buckets the two share.
+that only buckets whose nodes are still in different components are looked at again, and every pair
+in different components is checked: of a bucket of at most SMALL nodes as a row of its own; a larger
+one is dealt into parts, and pairs of parts are compared at once, by counting the hashes that sets
+share. Parts of the bucket's widest component are not compared with each other. So no pair that shares
+a key goes unchecked; a crowded bucket costs the number of nodes outside its widest component times
+the number of all.
 
 Defined results: as in simhash; a null doc_id is a document like any other.
 """
@@ -20,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingspark.llm.common import materialize, text_chunks, to_batch
-from filingspark.llm.simhash import components, fingerprint_of, links, shingle_hashes
+from filingspark.llm.simhash import components, fingerprint_of, forest, links, shingle_hashes
 
 ROWS, BANDS = 4, 20
-SMALL, LEADERS = 64, 6
+SMALL = 64
+PART, PART_HASHES = 1024, 1 << 19  # nodes and hashes of a part, on average
+RARE = 32
 _RANDOM = np.random.default_rng(8)
 _FACTORS = _RANDOM.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RANDOM.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
@@ -112,6 +115,75 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many hashes each set of left shares with each of right (indices into sets)."""
+    n = len(sets)
+    flat, holder = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, holder = flat[order], holder[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    times = np.diff(np.concatenate([starts, [len(flat)]]))
+    token, often = np.repeat(np.arange(len(starts)), times), np.repeat(times, times)
+    both = np.zeros((len(left), len(right)), dtype=np.int64)
+    few = (often > 1) & (often <= RARE)
+    t, h = token[few], holder[few]  # of rare hashes, the pairs of holders
+    place = np.full((2, n), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    for d in range(1, RARE):
+        same = np.flatnonzero(t[d:] == t[:-d])
+        if not len(same):
+            break
+        for x, y in ((h[same], h[same + d]), (h[same + d], h[same])):
+            i, j = place[0, x], place[1, y]
+            met = (i >= 0) & (j >= 0)
+            both += np.bincount(i[met] * len(right) + j[met], minlength=both.size).reshape(both.shape)
+    t, h = token[often > RARE], holder[often > RARE]  # of others, a product of matrices
+    if len(t):
+        t = np.cumsum(np.concatenate([[0], t[1:] != t[:-1]]))
+        for a in range(0, int(t[-1]) + 1, 1024):
+            i, j = np.searchsorted(t, [a, a + 1024])
+            has = np.zeros((n, 1024), dtype=np.float32)
+            has[h[i:j], t[i:j] - a] = 1
+            both += (has[left] @ has[right].T).astype(np.int64)
+    return both
+
+
+def unit_links(ids: np.ndarray, component: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning links between the two parts of a unit, or within its one part, of similar sets in
+    different components."""
+    kinds = np.unique(part)
+    left, right = np.flatnonzero(part == kinds[0]), np.flatnonzero(part == kinds[-1])
+    both, n = overlaps(sets, left, right), np.array([len(s) for s in sets])
+    near = (both >= similarity * (n[left][:, None] + n[right] - both)) & (component[left][:, None] != component[right])
+    i, j = np.nonzero(near)
+    return [(int(ids[x]), int(ids[y])) for x, y in forest(len(ids), left[i], right[j])]
+
+
+def crowded_links(told: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the similar sets of a bucket that are in different components. told: key,
+    set_id, size (its hashes), component."""
+    shares = told.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    bins = shares.groupBy("key").agg(F.max(F.struct("n", "component", "size")).alias("home"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    parts = lambda n, size: F.ceil(F.greatest(n / PART, size / PART_HASHES)).cast("int")
+    bins = bins.select("key", F.col("home.component").alias("home"), parts(F.col("home.n"), F.col("home.size")).alias("first"), parts(F.col("n") - F.col("home.n"), F.col("size") - F.col("home.size")).alias("rest"))
+    at_home, number = F.col("component") == F.col("home"), F.xxhash64("set_id", F.lit(7))
+    dealt = (
+        told.join(bins, "key")
+        .withColumn("part", F.when(at_home, F.pmod(number, "first")).otherwise(F.col("first") + F.pmod(number, "rest")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.when(at_home, F.col("first")).otherwise(F.lit(0)), F.col("first") + F.col("rest") - 1)))
+        .select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "component", "set_id")
+    )
+
+    def run(unit: pa.Table) -> pa.Table:
+        ids, component, part = (unit.column(c).to_numpy() for c in ("set_id", "component", "part"))
+        held = [np.frombuffer(h, dtype=np.uint64) for h in unit.column("hashes").to_pylist()]
+        p, q = unit.column("p")[0].as_py(), unit.column("q")[0].as_py()
+        found = unit_links(ids, component, part, held, similarity) if p == q or len(np.unique(part)) == 2 else []
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.join(sets, "set_id").groupBy("key", "p", "q").applyInArrow(run, "a bigint, b bigint")
+
+
 def similar_sets(documents: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) of set ids whose components are those of all similar pairs. found: prints."""
     nodes = found.groupBy("set_id").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
@@ -125,13 +197,16 @@ def similar_sets(documents: DataFrame, found: DataFrame, similarity: float) -> D
     told = met.join(of, "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"), "leader")
     mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high AND n > 2").select("key", "n")
     open_ = materialize(told.where("set_id <> leader").join(mixed, "key"), "open")
-    a = open_.select("key", F.col("set_id").alias("a"), F.col("component").alias("ca"), "n")
-    b = open_.select("key", F.col("set_id").alias("b"), F.col("component").alias("cb"))
-    apart = (F.col("a") != F.col("b")) & (F.col("ca") != F.col("cb"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "a"), "a")
-    leaders = a.where(F.col("n") > SMALL).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).drop("rank")
-    rest = a.where(F.col("n") <= SMALL).unionByName(leaders).join(b, "key").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return near.unionByName(verified(rest, sets, similarity))
+    pairs = open_.where(F.col("n") <= SMALL)
+    a = pairs.select("key", F.col("set_id").alias("a"), F.col("component").alias("ca"))
+    b = pairs.select("key", F.col("set_id").alias("b"), F.col("component").alias("cb"))
+    rest = a.join(b, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+    near = near.unionByName(verified(rest, sets, similarity))
+    crowded = open_.where(F.col("n") > SMALL)
+    if crowded.limit(1).count():
+        crowded = crowded.join(sets.select("set_id", (F.length("hashes") / 8).alias("size")), "set_id").select("key", "set_id", "size", "component")
+        near = near.unionByName(crowded_links(crowded, sets, similarity))
+    return near
 
 
 def near_copies(documents: DataFrame, *, similarity: float = 0.8, radius: int = 3) -> DataFrame:

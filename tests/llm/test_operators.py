@@ -858,6 +858,38 @@ def test_near_copies_reach_similarity(spark):
     assert C.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("part, hashes, rare", [(1024, 1 << 19, 32), (20, 1 << 19, 2), (1024, 1500, 2)])
+def test_no_pair_of_a_crowded_bucket_is_dropped(spark, monkeypatch, part, hashes, rare):
+    """All texts under one key: each pair of near copies links, whichever is checked first."""
+    from filingspark.llm import minhash
+
+    for name, value in (("PART", part), ("PART_HASHES", hashes), ("RARE", rare)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = np.random.default_rng(4)
+    common = [f"c{i}" for i in range(20)]
+    texts = []
+    for i in range(90):
+        base = common + [f"w{x}" for x in rng.integers(0, 5000, 10 + i % 50)]
+        texts += [" ".join(base), " ".join(base + [f"x{i}y{k}" for k in range(i % 14)])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = want[i], want[j]
+                want = [min(a, b) if r in (a, b) else r for r in want]
+    assert 90 < len(set(want)) < 150
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    found = minhash.prints(docs).withColumn("bands", F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).cache()
+    doc_of = {r.set_id: r.doc_id for r in found.collect()}
+    got = list(range(len(texts)))
+    for r in minhash.similar_sets(docs, found, 0.8).collect():
+        a, b = got[doc_of[r.a]], got[doc_of[r.b]]
+        got = [min(a, b) if r in (a, b) else r for r in got]
+    least = {s: min(i for i, t in enumerate(texts) if t == texts[d]) for s, d in doc_of.items()}
+    assert [got[doc_of[s]] == got[doc_of[u]] for s in least for u in least] == [want[least[s]] == want[least[u]] for s in least for u in least]
+
+
 def test_near_duplicates_keep_one_row(spark):
     import corpus_pipeline as C
 
