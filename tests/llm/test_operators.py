@@ -3,7 +3,10 @@ against brute force."""
 
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -34,6 +37,21 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
+def test_tasks_give_free_memory_back():
+    """What a task before left in the allocator does not stay with the worker."""
+    code = """
+import pyarrow as pa
+from filingspark.llm.common import text_chunks
+rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+held = [bytes(1000) for _ in range(200_000)]
+held = held[::1000]
+before = rss()
+list(text_chunks([pa.record_batch({"text": ["a", None]})], "text"))
+print(before - rss())
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True, check=True).stdout) > 100
+
+
 # -- 1 --------------------------------------------------------------------------------------------
 
 ITEMS = [(30, "brown fox jumps over the lazy dog and then some more words follow"), (4, "One"), (5, None), (6, ""), (7, "lazy dog and then some more words follow here for all not this tail"), (30, "w1x1"), (12, "ünïcödé")]
