@@ -46,8 +46,9 @@ _PROBES = ["the", "packing", "straße", "élève", "niño", "überzwölf", "xqzj
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
 _PLAIN = bytes(32 if c == 10 else c for c in range(256))
-# Latin words: their lower case is its own normal form, and they are one piece to the pre-tokenizer.
-_WORD = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+# Latin words: their lower case is its own normal form, and they are one piece to the pre-tokenizer, as
+# are the ASCII signs behind them.
+_WORD = re.compile(r"([a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
 _CACHES: dict[str, TokenCache] = {}
 # What a tokenizer must do to a text for the ids of its parts to be its ids.
 _RULES = {
@@ -73,21 +74,32 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Known(dict):
+    """Ids by part; those of a part that is not there are made by the cache."""
+
+    def __init__(self, cache: TokenCache):
+        super().__init__()
+        self.cache = cache
+
+    def __missing__(self, part: bytes) -> bytes:
+        return self.cache.learn(part)
+
+
 class TokenCache:
     """Token ids of a text as little-endian unsigned 32-bit bytes, looked up part by part if the
     tokenizer's rules are _RULES; with any other, whole texts go through the tokenizer.
 
-    By these rules the pre-tokenizer never joins what a space or line feed parts, nor a letter and a comma or full
-    stop, and lower-cases, so a text's ids are those of its parts in a row. Parts that are Latin
-    words go straight to the tokenizer's model, others through the whole tokenizer. The table holds
-    the first `limit` parts met that are short, the frequent ones among them, and lives as long as the
-    Python worker."""
+    By these rules the pre-tokenizer never joins what a space or line feed parts, nor a letter and
+    the signs behind it, unless a letter follows these, and lower-cases, so a text's ids are those of
+    its parts in a row. Latin words go straight to the tokenizer's model, other parts through the
+    whole tokenizer. The table holds the first `limit` parts met that are short, the frequent ones
+    among them, and lives as long as the Python worker."""
 
     def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it may use
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, _Known(self)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_parts = all(spec.get(k) == rule for k, rule in _RULES.items()) and spec["model"].get("end_of_word_suffix") == "</w>"
@@ -107,47 +119,30 @@ class TokenCache:
     def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.lower().encode().decode("latin-1")))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], dtype="<u4").tobytes()
-
-    def learn(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of unknown parts; those for which there is room are kept."""
-        fresh: dict[bytes, bytes] = {}
-        core = {p: p[:-1] if len(p) > 1 and p[-1] in b",." and 97 <= p[-2] <= 122 else p for p in parts}
-        model = self.tokenizer.model.tokenize if self.direct else None
-        others = []
-        for c in {*core.values(), b",", b"."}:
-            if c in self.known or c in fresh:
-                continue
-            word = c.decode()
-            if model and _WORD.fullmatch(word):
-                if not word.isascii():
-                    word = "".join(map(self.letters.__getitem__, word.lower().encode().decode("latin-1")))
-                fresh[c] = array("I", [t.id for t in model(word)]).tobytes() if _LITTLE else self._word(word)
-            else:
-                others.append(c)
-        for c, e in zip(others, self.tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)):
-            fresh[c] = self._ids(e)
-        of = lambda c: fresh[c] if c in fresh else self.known[c]
-        for p, c in core.items():
-            if p is not c:
-                fresh[p] = of(c) + of(p[-1:])
-        room = self.limit - len(self.known)
-        if room > 0:
-            short = [p for p in fresh if len(p) <= LONGEST_PART]
-            self.known.update((p, fresh[p]) for p in short[:room])
-        return fresh
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        return array("I", ids).tobytes() if _LITTLE else np.array(ids, dtype="<u4").tobytes()
+
+    def learn(self, part: bytes) -> bytes:
+        """Ids of an unknown part; they are kept if there is room."""
+        text = part.decode()
+        found = _WORD.fullmatch(text)
+        if found and found[2]:
+            ids = self.known[part[: -len(found[2])]] + self.known[part[-len(found[2]) :]]
+        elif found and self.direct:
+            ids = self._word(text)
+        else:
+            ids = self._ids(self.tokenizer.encode(text, add_special_tokens=False))
+        if len(part) <= LONGEST_PART and len(self.known) < self.limit:
+            self.known[part] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts. A special token's text is never brought about by lower-casing."""
         if not self.by_parts:
             return [self._ids(e) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        raw = [(t or "").encode() for t in texts]
-        cut = [r.translate(_PLAIN if b"<|" in r else _LOWER).split(b" ") for r in raw]
-        known = self.known
-        fresh = self.learn([p for p in set().union(*cut) if p not in known])
-        if len(known) < self.limit and all(len(p) <= LONGEST_PART for p in fresh):
-            return [b"".join(map(known.__getitem__, c)) for c in cut]
-        return [b"".join([known[p] if p in known else fresh[p] for p in c]) for c in cut]
+        of = self.known.__getitem__
+        raw = ((t or "").encode() for t in texts)
+        return [b"".join(map(of, r.translate(_PLAIN if b"<|" in r else _LOWER).split(b" "))) for r in raw]
 
 
 class Packer:

@@ -230,6 +230,39 @@ def test_packing_with_another_tokenizer(docs):
     assert len(own.known) <= 3 and own.encode(["x" * 900 + " the"]) == [b"".join(own.encode(["x" * 900, "the"]))]
 
 
+def test_signs_behind_words_do_not_need_the_whole_tokenizer():
+    """A word with signs behind it is the word and the signs; both are learned once."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from filingspark.llm.packing import TokenCache
+
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.model, self.seen = tokenizer, tokenizer.model, []
+
+        def encode(self, text, **kind):
+            self.seen.append(text)
+            return self.tokenizer.encode(text, **kind)
+
+        def encode_batch_fast(self, texts, **kind):
+            self.seen += texts
+            return self.tokenizer.encode_batch_fast(texts, **kind)
+
+    path = P.path("word_bpe_49k.json")
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()] + ["%%%", ".***", "'.", ",'", "...)", "_", "<|", "|>"]
+    texts = [f"{w}{s} {w.upper()}{s} {s}{w} {w}{s}{w}\n{w}{s}s {w}{s}7" for s in signs for w in ("packing", "überzÉß", "e\u0301t")]
+    texts += ["it's we'll' they've. I'D, can't%%% x<|endoftext|>. X<|ENDOFTEXT|>,", "packing.\u0338 packing<\u0338 a=\u0338"]
+    cache, plain = TokenCache(path), Tokenizer.from_file(path)
+    assert cache.direct
+    cache.tokenizer = Watched(cache.tokenizer)
+    assert cache.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert not {f"packing{s}" for s in signs} & set(cache.tokenizer.seen)
+    assert cache.tokenizer.seen.count("%%%") == 1
+    cache.tokenizer.seen.clear()
+    assert cache.encode(texts[-2:]) == cache.encode(texts)[-2:] and not cache.tokenizer.seen
+
+
 # -- 4 --------------------------------------------------------------------------------------------
 
 
