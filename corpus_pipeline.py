@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingspark.llm import decontam, langid, minhash, packing, toxicity
-from filingspark.llm.common import free_name, materialize, table
+from filingspark.llm.common import bound_batches, free_name, in_few, materialize, table
 
 TOXIC_FROM = 0.5
 LEAST_LANGUAGE_SHARE = 0.4
@@ -21,6 +21,7 @@ NEAR_COPY_FROM = 0.8
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is TOXIC_FROM or more go; learned on the table's labels. Null and
     empty texts stay; repeated rows go or stay together; an empty table stays empty."""
+    bound_batches(spark)
     lexicon = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.reject(docs, lexicon, TOXIC_FROM)
 
@@ -28,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or without one that holds LEAST_LANGUAGE_SHARE of them, go; so do
     null texts and texts without a letter. Repeated rows go or stay together."""
+    bound_batches(spark)
     return langid.reject(docs, langid.fit(docs), LEAST_LANGUAGE_SHARE)
 
 
@@ -36,14 +38,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     and of those with the least row key. Fingerprints within SimHash's radius make near copies, and
     so do sets of five-word shingles of similarity NEAR_COPY_FROM or more. Null, empty and blank texts
     are copies of each other."""
+    bound_batches(spark)
     found, row = minhash.near_copies(docs, similarity=NEAR_COPY_FROM), free_name("_row", docs)
     kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")).select(F.col("least.row").alias(row))
-    return docs.withColumn(row, minhash.row_key()).join(kept, row, "left_semi").dropDuplicates([row]).select(docs.columns)
+    left = docs.withColumn(row, minhash.row_key()).join(kept, row, "left_semi").dropDuplicates([row]).select(docs.columns)
+    return in_few(left, docs.count(), minhash.SETS_A_TASK)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from the others, the words of benchmark passages are cut. Null and
     empty texts stay; repeated rows go, are cut or stay together."""
+    bound_batches(spark)
     clean = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(clean.schema["n_chars"].dataType), "n_chars"))
 
@@ -53,6 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the end token alone; repeated rows are packed as often as they occur."""
     import public_tokenizers
 
+    bound_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -43,6 +43,29 @@ def materialize(df: DataFrame, name: str, path: str | None = None, compression:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROWS_A_TASK = 50_000
+
+
+def in_few(df: DataFrame, rows: int, a_task: int = ROWS_A_TASK) -> DataFrame:
+    """df, of about so many rows, in a partition per `a_task` rows, one per core at least and never
+    more than it has. Written, a small table has few files however many shuffle partitions there are:
+    for each file on a local disk Hadoop starts processes, which for a moment share all of the JVM's
+    memory."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // a_task)))
+
+
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on no more than about BATCH_BYTES, or one row, go to a Python worker at once; Spark's
+    own bounds are 64 MB and 10,000 rows. JVM and worker both hold a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingspark.llm.common import materialize, text_chunks, to_batch
+from filingspark.llm.common import in_few, materialize, text_chunks, to_batch
 from filingspark.llm.simhash import components, fingerprint_of, forest, links, shingle_hashes
 
 ROWS, BANDS = 4, 20
+SETS_A_TASK = 5000
 SMALL = 64
 PART, PART_HASHES = 1024, 1 << 19  # nodes and hashes of a part, on average
 RARE = 32
@@ -186,17 +187,18 @@ def crowded_links(told: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 
 def similar_sets(documents: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) of set ids whose components are those of all similar pairs. found: prints."""
+    n = found.count()
     nodes = found.groupBy("set_id").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
     keyed = nodes.select("set_id", "row", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("leader")).where("n > 1")
-    met = materialize(keyed.join(sizes, "key").select("key", "set_id", "row", "leader"), "buckets")
-    sets = materialize(sets_of(documents, met.select("row").distinct()), "sets")
+    met = materialize(in_few(keyed.join(sizes, "key").select("key", "set_id", "row", "leader"), BANDS * n), "buckets")
+    sets = materialize(in_few(sets_of(documents, met.select("row").distinct()), n, SETS_A_TASK), "sets")
     stars = met.where("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
-    near = materialize(verified(stars, sets, similarity), "stars")
-    of = components(near, name="star-component").select(F.col("node").alias("set_id"), "component")
+    near = materialize(in_few(verified(stars, sets, similarity), n, SETS_A_TASK), "stars")
+    of = components(near, name="star-component", rows=n).select(F.col("node").alias("set_id"), "component")
     told = met.join(of, "set_id", "left").select("key", "set_id", F.coalesce("component", "set_id").alias("component"), "leader")
     mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high AND n > 2").select("key", "n")
-    open_ = materialize(told.where("set_id <> leader").join(mixed, "key"), "open")
+    open_ = materialize(in_few(told.where("set_id <> leader").join(mixed, "key"), BANDS * n), "open")
     pairs = open_.where(F.col("n") <= SMALL)
     a = pairs.select("key", F.col("set_id").alias("a"), F.col("component").alias("ca"))
     b = pairs.select("key", F.col("set_id").alias("b"), F.col("component").alias("cb"))
@@ -214,13 +216,14 @@ def near_copies(documents: DataFrame, *, similarity: float = 0.8, radius: int =
     radius and sets of that similarity link."""
     found = materialize(prints(documents), "prints")
     kinds = found.select("fp", "set_id").distinct().withColumn("node", F.xxhash64("fp", "set_id"))
-    kinds = materialize(kinds, "kinds")
+    n = found.count()
+    kinds = materialize(in_few(kinds, n), "kinds")
     by_print = kinds.groupBy("fp").agg(F.min("node").alias("node"))
     by_set = kinds.groupBy("set_id").agg(F.min("node").alias("b"))
     sets = similar_sets(documents, found, similarity)
     first, second = by_set.select(F.col("set_id").alias("a"), F.col("b").alias("left")), by_set.select(F.col("set_id").alias("b"), F.col("b").alias("right"))
     edges = [
-        links(by_print, radius=radius),
+        links(by_print, radius=radius, rows=n),
         kinds.join(by_print.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b"),
         kinds.join(by_set, "set_id").where("node <> b").select(F.col("node").alias("a"), "b"),
         sets.join(first, "a").join(second, "b").select(F.col("left").alias("a"), F.col("right").alias("b")),
@@ -228,6 +231,6 @@ def near_copies(documents: DataFrame, *, similarity: float = 0.8, radius: int =
     every = edges[0]
     for e in edges[1:]:
         every = every.unionByName(e)
-    of = components(every)
+    of = components(every, rows=2 * n)
     names = kinds.join(of, "node", "left").select("fp", "set_id", F.coalesce("component", "node").alias("component"))
     return found.select("row", "doc_id", "fp", "set_id").join(names, ["fp", "set_id"]).select("row", "doc_id", "component")

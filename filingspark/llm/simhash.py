@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filingspark.llm.common import join_facts, materialize, text_chunks, to_batch
+from filingspark.llm.common import in_few, join_facts, materialize, text_chunks, to_batch
 
 _SPACES = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 SMALL_TILE = 256
@@ -150,12 +150,13 @@ def unit_links(fp: np.ndarray, node: np.ndarray, part: np.ndarray, radius: int)
     return [(int(node[a]), int(node[b])) for a, b in forest(len(fp), i, j)]
 
 
-def links(nodes: DataFrame, *, radius: int = 3, blocks: int = 5, tile: int = 512, wide: int = 1 << 15) -> DataFrame:
+def links(nodes: DataFrame, *, radius: int = 3, blocks: int = 5, tile: int = 512, wide: int = 1 << 15, rows: int | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all links. nodes: node (bigint, not null,
-    distinct) and fp."""
+    distinct) and fp; rows: about how many, if known."""
     spark = nodes.sparkSession
     keyed = nodes.select("node", "fp", F.explode(bucket_keys(F.col("fp"), blocks, radius)).alias("key"))
-    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(sizes if rows is None else in_few(sizes, 5 * rows), "bucket-sizes")
     met = keyed.join(sizes.where(F.col("n") <= wide), "key")
     if radius <= 3 and sizes.where(F.col("n") > wide).limit(1).count():
         crowded = keyed.join(sizes.where(F.col("n") > wide).select("key"), "key", "left_semi").select("node", "fp").distinct()
@@ -205,14 +206,16 @@ def links(nodes: DataFrame, *, radius: int = 3, blocks: int = 5, tile: int = 512
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, *, name: str = "component", most_rounds: int = 60) -> DataFrame:
-    """node -> component (least node reachable), for nodes that have a link.
+def components(edges: DataFrame, *, name: str = "component", most_rounds: int = 60, rows: int | None = None) -> DataFrame:
+    """node -> component (least node reachable), for nodes that have a link. rows: about how many
+    edges there are, if known.
 
     Alternates large-star and small-star until the links no longer change; each round is written
     to the shared folder."""
     pairs = lambda df: df.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     digest = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    now = materialize(pairs(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), name)
+    first = pairs(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    now = materialize(first if rows is None else in_few(first, rows), name)
     state = digest(now)
     for _ in range(most_rounds):
         if not state[0]:
@@ -225,7 +228,7 @@ def components(edges: DataFrame, *, name: str = "component", most_rounds: int =
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         joined = join_facts(large, low, "u")
         small = pairs(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))))
-        after = materialize(small, name)
+        after = materialize(in_few(small, 2 * state[0]), name)
         new = digest(after)
         now, done, state = after, new == state, new
         if done:

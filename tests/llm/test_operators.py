@@ -950,6 +950,52 @@ def test_near_duplicates_keep_one_row(spark):
     assert left == sorted([(1, rows[0][1]), (5, rows[2][1]), (6, "one more"), (0, "nobody knows this")])
 
 
+def test_near_duplicates_write_small_tables_in_few_files(spark):
+    """However many shuffle partitions there are; the same rows stay."""
+    import corpus_pipeline as C
+    from filingspark.llm.common import shared_dir
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 40)) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i + 500, t + " end") for i, t in enumerate(texts)] + [(i + 1000, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    top = shared_dir(spark).removeprefix("file://") + "/filingspark"
+    before, was = set(os.listdir(top)) if os.path.isdir(top) else set(), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(was, ("40", "false")):
+            spark.conf.set(k, v)
+        left = C.drop_near_duplicates(spark, docs, "")
+        assert sorted(r.doc_id for r in left.collect()) == list(range(150))
+        files = {t: sum(f.endswith(".parquet") for f in os.listdir(f"{top}/{t}")) for t in set(os.listdir(top)) - before}
+        assert len(files) > 8 and max(files.values()) <= spark.sparkContext.defaultParallelism >= left.rdd.getNumPartitions()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_pipeline_bounds_what_a_worker_gets_at_once(spark):
+    import pyarrow as pa
+    import corpus_pipeline as C
+    from filingspark.llm.common import bound_batches
+
+    key, rows = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    was = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    try:
+        C.pack(spark, rows, "")
+        seen = [r.n for r in rows.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(seen) == 4000 and max(seen) * 5000 < 5 << 20
+        spark.conf.set(key, "1m")
+        bound_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_pipeline_gives_token_ids(spark, docs):
     import corpus_pipeline as C
     import public_tokenizers as P
