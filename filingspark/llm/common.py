@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -87,20 +88,28 @@ def crc_bucket_py(value, mod: int) -> int:
     return zlib.crc32(str(value).encode()) % mod
 
 
-def release() -> None:
-    """Give free memory back to the system. A Python worker lives on from task to task, and what the
-    allocators keep would add up while the JVM beside it needs the memory."""
+KEPT: dict[str, object] = {}  # tables that a worker keeps from task to task, by name
+
+
+def release(keep: str | None = None) -> None:
+    """Drop all of KEPT but `keep` and give free memory back to the system. A Python worker lives on
+    from task to task, and what the allocators and other operators' tables keep would add up while
+    the JVM beside it needs the memory."""
+    if others := KEPT.keys() - {keep}:
+        for k in others:
+            del KEPT[k]
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
     if trim:
         trim(0)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20, rows: int = 4096, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of text, or one row, so that
     what a task holds at once has a bound whatever the length of the texts. Free memory is given
-    back before the first and after the last."""
-    release()
+    back before the first and after the last; keep: the name in KEPT of the task's own table."""
+    release(keep)
     for batch in batches:
         n, start = batch.num_rows, 0
         if not n:
@@ -113,7 +122,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 <
             stop = min(max(stop, start + 1), start + rows, n)
             yield batch.slice(start, stop - start)
             start = stop
-    release()
+    release(keep)
 
 
 def run_sums(value: Callable[[int, int], np.ndarray], starts: np.ndarray, n: int, window: int) -> np.ndarray:

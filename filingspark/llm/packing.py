@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from filingspark.llm.common import text_chunks, to_batch
+from filingspark.llm.common import KEPT, text_chunks, to_batch
 
 END = 1
 _LITTLE = sys.byteorder == "little"
@@ -49,7 +49,6 @@ _PLAIN = bytes(32 if c == 10 else c for c in range(256))
 # Latin words: their lower case is its own normal form, and they are one piece to the pre-tokenizer, as
 # are the ASCII signs behind them.
 _WORD = re.compile(r"([a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
-_CACHES: dict[str, TokenCache] = {}
 # What a tokenizer must do to a text for the ids of its parts to be its ids.
 _RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -93,7 +92,7 @@ class TokenCache:
     the signs behind it, unless a letter follows these, and lower-cases, so a text's ids are those of
     its parts in a row. Latin words go straight to the tokenizer's model, other parts through the
     whole tokenizer. The table holds the first `limit` parts met that are short, the frequent ones
-    among them, and lives as long as the Python worker."""
+    among them, and stays with the Python worker until a task of another operator."""
 
     def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is all it may use
@@ -108,9 +107,9 @@ class TokenCache:
 
     @classmethod
     def of(cls, path: str) -> TokenCache:
-        if path not in _CACHES:
-            _CACHES[path] = cls(path)
-        return _CACHES[path]
+        if path not in KEPT:
+            KEPT[path] = cls(path)
+        return KEPT[path]
 
     @staticmethod
     def _ids(encoding) -> bytes:
@@ -268,10 +267,10 @@ def pack(documents: DataFrame, tokenizer: str, *, capacity: int = 2048, hold: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, packer, out = TokenCache.of(tokenizer), Packer(capacity, TaskContext.get().partitionId() << 40, hold), []
-        for part in text_chunks(batches, "text", 2 << 20):
+        for part in text_chunks(batches, "text", 2 << 20, keep=tokenizer):
             for doc, ids in zip(part.column("doc_id").to_pylist(), cache.encode(part.column("text").to_pylist())):
                 out += packer.add(doc, ids + end)
-            if len(out) > (1024 if with_ids else 8192):
+            if len(out) > (256 if with_ids else 8192):
                 yield rows(out)
                 out = []
         out += packer.finish()

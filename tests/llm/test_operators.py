@@ -52,6 +52,21 @@ print(before - rss())
     assert int(subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True, check=True).stdout) > 100
 
 
+def test_tables_of_other_operators_do_not_stay_with_a_worker():
+    import weakref
+
+    import pyarrow as pa
+    import public_tokenizers as P
+    from filingspark.llm.common import text_chunks
+    from filingspark.llm.packing import TokenCache
+
+    path, batch = P.path("word_bpe_49k.json"), pa.record_batch({"text": ["a", None]})
+    held = weakref.ref(TokenCache.of(path))
+    held().encode(["some words"])
+    assert sum(b.num_rows for b in text_chunks([batch], "text", keep=path)) == 2 and TokenCache.of(path) is held()
+    assert sum(b.num_rows for b in text_chunks([batch], "text")) == 2 and held() is None
+
+
 # -- 1 --------------------------------------------------------------------------------------------
 
 ITEMS = [(30, "brown fox jumps over the lazy dog and then some more words follow"), (4, "One"), (5, None), (6, ""), (7, "lazy dog and then some more words follow here for all not this tail"), (30, "w1x1"), (12, "ünïcödé")]
