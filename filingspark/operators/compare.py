@@ -24,14 +24,15 @@ def method_counts(methods: dict[str, DataFrame]) -> DataFrame:
 
 
 def _both_ways(methods: dict[str, DataFrame], columns: list[str]) -> DataFrame:
-    """Rows of the first route that another lacks, and the other way round, as sets."""
+    """Rows of the first route that another lacks, and the other way round, as sets. All routes are
+    read once and meet in one aggregate of a bit a route, so no side is sent to the driver."""
     (first, base), *others = methods.items()
-    out = []
-    for name, df in others:
-        for a, x, b, y in ((first, base, name, df), (name, df, first, base)):
-            gone = x.select(columns).subtract(y.select(columns))
-            out.append(gone.withColumn("cmp", F.lit(f"{a} EXCEPT {b}")))
-    return reduce(DataFrame.unionByName, out).select("cmp", *columns)
+    routes = [base, *(df for _, df in others)]
+    rows = reduce(DataFrame.unionByName, (df.select(*columns, F.lit(1 << i).cast("long").alias("_in")) for i, df in enumerate(routes)))
+    met = rows.groupBy(*columns).agg(F.bit_or("_in").alias("_in")).where(F.col("_in") != (1 << len(routes)) - 1)
+    has = lambda i: F.col("_in").bitwiseAND(F.lit(1 << i).cast("long")) != 0
+    cmps = [F.when(has(x) & ~has(y), F.lit(f"{a} EXCEPT {b}")) for i, (name, _) in enumerate(others, 1) for a, x, b, y in ((first, 0, name, i), (name, i, first, 0))]
+    return met.select(F.explode(F.array_compact(F.array(*cmps))).alias("cmp"), *columns)
 
 
 def source_file_except(methods: dict[str, DataFrame]) -> DataFrame:
