@@ -320,7 +320,8 @@ def attach_files(oracle: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def release_check(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Facts that two runs do not share, as multisets: side, n, and the facts' columns."""
-    a, b = before.select(FACT.names), after.select(FACT.names)
-    lost = a.exceptAll(b).withColumn("side", F.lit("before"))
-    return lost.unionByName(b.exceptAll(a).withColumn("side", F.lit("after"))).groupBy("side", *FACT.names).agg(F.count(F.lit(1)).alias("n"))
+    """Facts that two runs do not share, as multisets: side, n, and the facts' columns. A fact's
+    surplus is one sum over both runs; rows are dealt first, as a sum before that meets few equal ones."""
+    rows = before.select(*FACT.names, F.lit(1).cast("long").alias("n")).unionByName(after.select(*FACT.names, F.lit(-1).cast("long").alias("n")))
+    surplus = rows.repartition(*FACT.names).groupBy(*FACT.names).agg(F.sum("n").alias("n")).where("n <> 0")
+    return surplus.select(F.when(F.col("n") > 0, "before").otherwise("after").alias("side"), *FACT.names, F.abs("n").alias("n"))

@@ -39,9 +39,15 @@ FACTS = " UNION ALL ".join(
 )
 
 
+SPREAD_BYTES = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores: a small test table is one file and would be one task."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """df dealt over all cores - a small test table is one file and would be one task - and, as it
+    grows, over a task for each SPREAD_BYTES of its files. By a hash of the rows: dealing in turn
+    would sort them first."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES)), *df.columns)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

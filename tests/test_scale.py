@@ -1,6 +1,9 @@
 """Plans and steps whose cost must not grow past the input, or land on the driver or on one task."""
 
 from filingspark.operators import compare as C
+from filingspark.plans import facts as plan_facts
+from filingspark.plans.facts import spread
+from filingspark.schemas import FACT
 
 
 def plan_of(df):
@@ -13,3 +16,20 @@ def test_routes_meet_without_a_join(spark):
     got = C.source_file_except(methods)
     assert "Join" not in plan_of(got) and plan_of(got).count("Exchange hashpartitioning") == 1
     assert sorted(tuple(r) for r in got.collect()) == [("dir EXCEPT zip", "b"), ("zip EXCEPT dir", "c")]
+
+
+def test_release_check_is_one_shuffle(spark):
+    fact = lambda v: ("2023-01-01", "2023-12-31", "A", v, "", None, "", "f.html", "")
+    runs = [spark.createDataFrame([fact(v) for v in vs], FACT) for vs in (["1", "1", "1", None, "2"], ["1", "2", "3", "3"])]
+    got = C.release_check(*runs)
+    assert plan_of(got).count("Exchange hashpartitioning") == 1
+    assert sorted(((r.side, r.value, r.n) for r in got.collect()), key=str) == [("after", "3", 2), ("before", "1", 2), ("before", None, 1)]
+
+
+def test_spread_follows_the_size(spark, tmp_path, monkeypatch):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(plan_facts, "SPREAD_BYTES", 100)
+    assert spread(table).rdd.getNumPartitions() > 40 and spread(table).count() == 1000
+    assert "hashpartitioning" in plan_of(spread(table))
