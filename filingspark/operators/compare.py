@@ -97,7 +97,13 @@ def own_facts(facts: DataFrame, source_file: str | None = None) -> DataFrame:
 
 def only_concepts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Concepts of a that b lacks."""
-    return a.select("concept").where("concept != ''").subtract(b.select("concept").where("concept != ''"))
+    return concept_sides({"a": a, "b": b}).where("side = 'a'").select("concept")
+
+
+def concept_sides(sides: dict[str, DataFrame]) -> DataFrame:
+    """concept, side: concepts of either of two sides that the other lacks."""
+    named = {name: df.where("concept != ''") for name, df in sides.items()}
+    return _both_ways(named, ["concept"]).select("concept", F.substring_index("cmp", " EXCEPT ", 1).alias("side"))
 
 
 def keyed(df: DataFrame) -> DataFrame:

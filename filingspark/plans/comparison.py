@@ -100,8 +100,7 @@ def facts_only_right(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def concepts_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     oracle, own = _sides(spark, sf_dir)
-    side = lambda a, b, name: C.only_concepts(a, b).withColumn("side", F.lit(name))
-    return side(oracle, own, "oracle").unionByName(side(own, oracle, "extract"))
+    return C.concept_sides({"oracle": oracle, "extract": own})
 
 
 def facts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,10 @@ def test_spread_follows_the_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(plan_facts, "SPREAD_BYTES", 100)
     assert spread(table).rdd.getNumPartitions() > 40 and spread(table).count() == 1000
     assert "hashpartitioning" in plan_of(spread(table))
+
+
+def test_concepts_of_both_sides_at_once(spark):
+    a, b = (spark.createDataFrame([(c,) for c in cs], "concept string") for cs in (["A", "A", "", "B"], ["B", "C"]))
+    got = C.concept_sides({"oracle": a, "extract": b})
+    assert "Join" not in plan_of(got)
+    assert sorted(tuple(r) for r in got.collect()) == [("A", "oracle"), ("C", "extract")]
