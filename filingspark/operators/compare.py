@@ -106,31 +106,43 @@ def concept_sides(sides: dict[str, DataFrame]) -> DataFrame:
     return _both_ways(named, ["concept"]).select("concept", F.substring_index("cmp", " EXCEPT ", 1).alias("side"))
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """Facts numbered within equal file, concept and period, by value: pairs of equal keys meet in
-    order. The file is in the key, so no window holds more than one filing's facts."""
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*PAIR_KEYS).orderBy("value_soft")))
+def met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """PAIR_KEYS, a and b: the values of both sides of a file, concept and period, each in order, so
+    that pairs of equal keys meet by place. Both sides are dealt once, together; the file is in the
+    key, so no array holds more than one filing's facts. Facts without a file meet none."""
+    rows = a.select(*PAIR_KEYS, F.lit(True).alias("_a"), "value_soft").unionByName(b.select(*PAIR_KEYS, F.lit(False).alias("_a"), "value_soft"))
+    apart = F.when(F.col("source_file").isNull(), F.col("_a")).alias("_apart")
+    side = lambda own, name: F.array_sort(F.collect_list(F.when(own, F.col("value_soft")))).alias(name)
+    return rows.select("*", apart).repartition(*PAIR_KEYS).groupBy(*PAIR_KEYS, "_apart").agg(side(F.col("_a"), "a"), side(~F.col("_a"), "b"))
+
+
+def _in_pairs(both: DataFrame, a: str, b: str) -> DataFrame:
+    """A row for each place that a side has: PAIR_KEYS, the values, and in_a and in_b."""
+    n = F.greatest(F.size("a"), F.size("b"))
+    rows = both.select(*PAIR_KEYS, "a", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return rows.select(*PAIR_KEYS, F.get("a", F.col("i")).alias(a), F.get("b", F.col("i")).alias(b), (F.col("i") < F.size("a")).alias("in_a"), (F.col("i") < F.size("b")).alias("in_b"))
 
 
 def pairs(oracle: DataFrame, own: DataFrame) -> DataFrame:
-    a, b = keyed(oracle).withColumnRenamed("value_soft", "oracle_value"), keyed(own).withColumnRenamed("value_soft", "extract_value")
-    return a.join(b, [*PAIR_KEYS, "rn"]).select(*PAIR_KEYS, "oracle_value", "extract_value", soft.soft_equal(F.col("oracle_value"), F.col("extract_value"), reported=True).alias("value_match"))
+    rows = _in_pairs(met(oracle, own).where((F.size("a") > 0) & (F.size("b") > 0)), "oracle_value", "extract_value").where("in_a AND in_b")
+    return rows.select(*PAIR_KEYS, "oracle_value", "extract_value", soft.soft_equal(F.col("oracle_value"), F.col("extract_value"), reported=True).alias("value_match"))
 
 
 def only_facts(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Facts of a without a partner in b."""
-    return keyed(a).join(keyed(b), [*PAIR_KEYS, "rn"], "left_anti").select(*PAIR_KEYS, F.col("value_soft").alias("value"))
+    """Facts of a without a partner in b. Of b only the number of facts counts."""
+    rows = a.select(*PAIR_KEYS, "value_soft").unionByName(b.select(*PAIR_KEYS, F.lit(None).cast("string").alias("value_soft")).where("source_file IS NOT NULL"))
+    both = rows.repartition(*PAIR_KEYS).groupBy(*PAIR_KEYS).agg(F.array_sort(F.collect_list("value_soft")).alias("a"), F.count_if(F.col("value_soft").isNull()).cast("int").alias("n"))
+    left = both.where(F.size("a") > F.col("n"))
+    return left.select(*PAIR_KEYS, F.explode(F.slice("a", F.col("n") + 1, F.size("a") - F.col("n"))).alias("value"))
 
 
 def facts_summary(oracle: DataFrame, own: DataFrame) -> DataFrame:
-    """Counts of both sides, of pairs and of what is left over, one row. Each side is read and
-    numbered once; they meet in one outer join, whose rows are counted by concept, then in all."""
-    a = keyed(oracle).withColumn("in_o", F.lit(True)).withColumnRenamed("value_soft", "o")
-    b = keyed(own).withColumn("in_x", F.lit(True)).withColumnRenamed("value_soft", "x")
-    in_o, in_x = F.col("in_o").isNotNull(), F.col("in_x").isNotNull()
+    """Counts of both sides, of pairs and of what is left over, one row. Each side is read and dealt
+    once; the pairs are counted by concept, then in all."""
+    in_o, in_x = F.col("in_a"), F.col("in_b")
     match = soft.soft_equal(F.col("o"), F.col("x"), reported=True)
     kinds = {"n_o": in_o, "n_x": in_x, "both": in_o & in_x, "same": in_o & in_x & match, "differ": in_o & in_x & ~match, "only_o": in_o & ~in_x, "only_x": in_x & ~in_o}
-    by_concept = a.join(b, [*PAIR_KEYS, "rn"], "full").groupBy("concept").agg(*(F.count_if(c).alias(k) for k, c in kinds.items()))
+    by_concept = _in_pairs(met(oracle, own), "o", "x").groupBy("concept").agg(*(F.count_if(c).alias(k) for k, c in kinds.items()))
     total = lambda k: F.coalesce(F.sum(k), F.lit(0))
     named = F.col("concept") != ""
     return by_concept.agg(

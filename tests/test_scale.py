@@ -35,6 +35,24 @@ def test_spread_follows_the_size(spark, tmp_path, monkeypatch):
     assert "hashpartitioning" in plan_of(spread(table))
 
 
+def soft_side(spark, rows):
+    return spark.createDataFrame(rows, "source_file string, concept string, period_start string, period_end string, value_soft string")
+
+
+def test_facts_pair_by_one_shuffle(spark):
+    key = ("f", "A", "", "")
+    a = soft_side(spark, [(*key, v) for v in "cab"] + [("f", "B", "", "", "1"), (None, "A", "", "", "n")])
+    b = soft_side(spark, [(*key, v) for v in "ba"] + [("f", "C", "", "", "2"), (None, "A", "", "", "n")])
+    paired, left, summary = C.pairs(a, b), C.only_facts(a, b), C.facts_summary(a, b)
+    for df in (paired, left):
+        assert plan_of(df).count("Exchange hashpartitioning") == 1 and "Join" not in plan_of(df)
+    assert plan_of(summary).count("Exchange hashpartitioning") == 2  # the other one is of counts by concept
+    assert sorted(tuple(r)[4:] for r in paired.collect()) == [("a", "a", True), ("b", "b", True)]
+    assert sorted((r.source_file, r.concept, r.value) for r in left.where("source_file IS NOT NULL").collect()) == [("f", "A", "c"), ("f", "B", "1")]
+    assert left.where("source_file IS NULL").first().value == "n"
+    assert tuple(summary.first()) == (5, 4, 2, 2, 1, 1, 2, 2, 0, 3, 2)
+
+
 def test_concepts_of_both_sides_at_once(spark):
     a, b = (spark.createDataFrame([(c,) for c in cs], "concept string") for cs in (["A", "A", "", "B"], ["B", "C"]))
     got = C.concept_sides({"oracle": a, "extract": b})
