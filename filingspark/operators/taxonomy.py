@@ -107,14 +107,17 @@ def zip_schemas(spark: SparkSession, archives: list[str]) -> DataFrame:
 def conflicts(located: DataFrame) -> DataFrame:
     """namespace, local_name, fields (that differ, comma-separated), locations (of two variants) of
     concepts declared in more than one way."""
-    grouped = located.groupBy(*KEY).agg(*(F.count_distinct(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS), F.min("location").alias("first"), F.max("location").alias("last"))
-    differing = F.array_compact(F.array(*(F.when(F.col(f) > 1, F.lit(f)) for f in FIELDS)))
+    rows = located.select(*KEY, "location", *(F.coalesce(f, F.lit("")).alias(f) for f in FIELDS))
+    # A field differs where its least and greatest text do; a count of distinct texts would multiply
+    # the rows by the fields. Rows are dealt first, so that no task sorts a whole file of them.
+    grouped = rows.repartition(*KEY).groupBy(*KEY).agg(*(F.min(f).alias(f) for f in FIELDS), *(F.max(f).alias(f"_{f}") for f in FIELDS), F.min("location").alias("first"), F.max("location").alias("last"))
+    differing = F.array_compact(F.array(*(F.when(F.col(f) != F.col(f"_{f}"), F.lit(f)) for f in FIELDS)))
     return grouped.select(*KEY, F.array_join(differing, ",").alias("fields"), F.array("first", "last").alias("locations")).where("fields <> ''")
 
 
 def merge(located: DataFrame) -> DataFrame:
     """One row per concept. Evaluating it fails on a concept declared in more than one way."""
-    rows = located.groupBy(*KEY).agg(*(F.min(f).alias(f) for f in FIELDS), *(F.max(f).alias(f"_{f}") for f in FIELDS), F.min("location").alias("_first"), F.max("location").alias("_last"))
+    rows = located.repartition(*KEY).groupBy(*KEY).agg(*(F.min(f).alias(f) for f in FIELDS), *(F.max(f).alias(f"_{f}") for f in FIELDS), F.min("location").alias("_first"), F.max("location").alias("_last"))
     differing = F.array_join(F.array_compact(F.array(*(F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in FIELDS))), ",")
     failure = F.raise_error(F.concat(F.lit("conflict on {"), "namespace", F.lit("}"), "local_name", F.lit(": "), differing, F.lit(" between "), "_first", F.lit(" and "), "_last"))
     same = F.when(differing == "", F.col(FIELDS[0])).otherwise(failure.cast("string"))

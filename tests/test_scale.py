@@ -1,6 +1,7 @@
 """Plans and steps whose cost must not grow past the input, or land on the driver or on one task."""
 
 from filingspark.operators import compare as C
+from filingspark.operators import taxonomy as X
 from filingspark.plans import facts as plan_facts
 from filingspark.plans.facts import spread
 from filingspark.schemas import FACT
@@ -58,3 +59,11 @@ def test_concepts_of_both_sides_at_once(spark):
     got = C.concept_sides({"oracle": a, "extract": b})
     assert "Join" not in plan_of(got)
     assert sorted(tuple(r) for r in got.collect()) == [("A", "oracle"), ("C", "extract")]
+
+
+def test_conflicts_do_not_multiply_rows(spark):
+    row = lambda at, **kw: (at, "urn:t", "Item", *(kw.get(f, "x") for f in X.FIELDS))
+    two = spark.createDataFrame([row("a", balance=None, nillable=None), row("b", balance="", nillable="true"), row("c", abstract="y")], X.LOCATED)
+    got = X.conflicts(two)
+    assert "Expand" not in plan_of(got) and plan_of(got).count("Exchange hashpartitioning") == 1
+    assert [tuple(r) for r in got.collect()] == [("urn:t", "Item", ",".join(f for f in X.FIELDS if f in ("abstract", "balance", "nillable")), ["a", "c"])]
