@@ -43,10 +43,15 @@ def read_other_reader(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in OTHER_READER), file.alias("source_file"))
 
 
+# A CSV with line ends inside quotes is read whole by one task, so a part file has a bound.
+FILE_ROWS = 500_000
+
+
 def write_facts(facts: DataFrame, path: str, *, single: bool = False) -> None:
-    """Facts as CSV, in the fixed order of columns; single makes one part file."""
+    """Facts as CSV, in the fixed order of columns, in files of FILE_ROWS at most; single makes one
+    part file."""
     rows = facts.select(FACT.names)
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("maxRecordsPerFile", 0 if single else FILE_ROWS).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_facts_file(facts: DataFrame, out) -> int:

@@ -5,6 +5,7 @@ from filingspark.operators import taxonomy as X
 from filingspark.plans import facts as plan_facts
 from filingspark.plans.facts import spread
 from filingspark.schemas import FACT
+from filingspark.sources import tables
 
 
 def plan_of(df):
@@ -67,3 +68,13 @@ def test_conflicts_do_not_multiply_rows(spark):
     got = X.conflicts(two)
     assert "Expand" not in plan_of(got) and plan_of(got).count("Exchange hashpartitioning") == 1
     assert [tuple(r) for r in got.collect()] == [("urn:t", "Item", ",".join(f for f in X.FIELDS if f in ("abstract", "balance", "nillable")), ["a", "c"])]
+
+
+def test_fact_files_have_a_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_ROWS", 10)
+    facts = spark.createDataFrame([("", "", "A", str(i), "", "", "", "f.html", "") for i in range(95)], FACT).coalesce(1)
+    tables.write_facts(facts, str(tmp_path / "f"))
+    assert len(list((tmp_path / "f").glob("part-*"))) == 10
+    assert tables.read_facts(spark, str(tmp_path / "f")).count() == 95
+    tables.write_facts(facts, str(tmp_path / "one"), single=True)
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1
