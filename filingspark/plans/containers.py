@@ -4,6 +4,7 @@ against the orders."""
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import tempfile
 import uuid
@@ -19,12 +20,12 @@ from filingspark.operators import compare as C
 from filingspark.operators.extract import extract
 from filingspark.plans.documents import _HEAD, _TAIL
 from filingspark.plans.facts import FACTS, facts
-from filingspark.schemas import FACT, MEMBER
+from filingspark.schemas import FACT
 from filingspark.sources import archives as A
 from filingspark.sources import tables
 from filingspark.sources.datasource import read_filings
 
-ARCHIVES = 4
+ARCHIVE_BYTES, FOLDER_TABLES = 16 << 20, 10_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -74,25 +75,36 @@ def _folder(files: dict[str, bytes], path: str) -> None:
 
 
 def _written(members: DataFrame, write, ending: str) -> list[str]:
-    """Paths of the archives, one for each task, that hold the members."""
+    """Paths of the archives that hold the members. A task ends an archive at ARCHIVE_BYTES, so it
+    holds no more at once, and there are more archives, not larger ones, as the input grows."""
     folder = scratch(members.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = {n: c for b in batches for n, c in zip(b.column("name").to_pylist(), b.column("content").to_pylist())}
-        if files:
-            path = f"{folder}/{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}{ending}"
+        files: dict[str, bytes] = {}
+        size = n = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal size, n
+            path = f"{folder}/{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}-{n}{ending}"
             write(files, path)
-            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+            files.clear()
+            size, n = 0, n + 1
+            return pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+        for b in batches:
+            for name, content in zip(b.column("name"), b.column("content")):
+                files[name.as_py()] = content.as_py()
+                size += len(content.as_py())
+                if size >= ARCHIVE_BYTES:
+                    yield close()
+        if files:
+            yield close()
 
-    return [r.path for r in members.repartition(ARCHIVES, "name").mapInArrow(run, "path string").collect()]
+    return [r.path for r in members.mapInArrow(run, "path string").collect()]
 
 
 def _read(spark: SparkSession, sf_dir: str, write, ending: str) -> DataFrame:
-    members = None
-    for path in _written(filings(spark, sf_dir), write, ending):
-        rows = read_filings(spark, path)
-        members = rows if members is None else members.unionByName(rows)
-    members = members if members is not None else spark.createDataFrame([], MEMBER)
+    members = read_filings(spark, _written(filings(spark, sf_dir), write, ending))
     return extract(members).select("source_file", "concept", "value")
 
 
@@ -125,18 +137,19 @@ def other_reader_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract(filings(spark, sf_dir).select(F.col("name").alias("source_file"), "content", F.lit(None).cast("string").alias("error"), F.lit(False).alias("only_ukfrs"))).select("source_file", "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_file: dict[str, list[str]] = {}
-        for b in batches:
-            for name, value in zip(b.column("source_file").to_pylist(), b.column("value").to_pylist()):
-                by_file.setdefault(name, []).append(value)
-        for name, values in by_file.items():
-            with open(f"{folder}/{name}.csv", "w", encoding="utf-8") as f:
+        """A filing's facts come one after the other; a folder holds FOLDER_TABLES tables at most."""
+        pairs = ((name, value) for b in batches for name, value in zip(b.column("source_file").to_pylist(), b.column("value").to_pylist()))
+        for i, (name, facts_of) in enumerate(itertools.groupby(pairs, key=lambda p: p[0])):
+            if i % FOLDER_TABLES == 0:
+                own_folder = f"{folder}/{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}-{i // FOLDER_TABLES}"
+                os.makedirs(own_folder)
+                yield pa.RecordBatch.from_arrays([pa.array([own_folder])], names=["path"])
+            with open(f"{own_folder}/{name}.csv", "w", encoding="utf-8") as f:
                 f.write("Dec,Name,Value,End/Instant,Start\n")
-                f.writelines(f'0,core:Order,"{v}"\n' if int(v) % 2 else f"0,core:Order,{v},,\n" for v in values if int(v) % 5)
-        yield pa.RecordBatch.from_arrays([pa.array([len(by_file)])], names=["n"])
+                f.writelines(f'0,core:Order,"{v}"\n' if int(v) % 2 else f"0,core:Order,{v},,\n" for _, v in facts_of if int(v) % 5)
 
-    rows.repartition(ARCHIVES, "source_file").mapInArrow(run, "n bigint").collect()
-    other = C.oracle_facts(tables.read_other_reader(spark, f"file://{folder}/*.csv"))
+    folders = [r.path for r in rows.mapInArrow(run, "path string").collect()]
+    other = C.oracle_facts(tables.read_other_reader_folders(spark, folders))
     own = C.own_facts(rows.select("source_file", F.lit("Order").alias("concept"), F.lit("").alias("period_start"), F.lit("").alias("period_end"), "value"))
     return C.facts_summary(other, own)
 

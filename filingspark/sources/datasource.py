@@ -1,18 +1,22 @@
 """Spark data source `filings`: members of a path or URL, one row per document.
 
 The driver reads names and directories only; each task reads its own range of one zip, its own
-files of a folder, or one tar. Options: `path` (a file, folder, archive or URL), `rangeBytes`,
-`filesPerTask`, `limit` (bytes of one document).
+files of a folder, or one tar. Of several paths the driver reads nothing: each task reads one of
+them whole, its names and directory too. Options: `path` (a file, folder, archive or URL), or
+`paths` (a JSON list of these), `rangeBytes`, `filesPerTask`, `limit` (bytes of one document).
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from filingspark.schemas import MEMBER
 from filingspark.sources import archives as A
@@ -22,7 +26,8 @@ from filingspark.sources import names as N
 
 @dataclass
 class Work(InputPartition):
-    """What one task reads. kind is a format of names, or `package` or `error`."""
+    """What one task reads. kind is a format of names, or `package`, `error`, or `whole`: a path
+    that the task itself divides."""
 
     kind: str
     source: str
@@ -31,16 +36,38 @@ class Work(InputPartition):
     error: str = ""
 
 
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
+
+
+def batched(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of MEMBER in batches of BATCH_BYTES of content: a worker holds no more at once."""
+    schema, held, size = to_arrow_schema(MEMBER), [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1] or b"")
+        if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 class FilingsReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        if not options.get("path"):
+        if not options.get("path") and not options.get("paths"):
             raise ValueError("filings: path is needed")
+        self.options = options
+        self.paths = json.loads(options["paths"]) if options.get("paths") else None
+        if self.paths is not None:
+            return
         self.source = options["path"].removeprefix("file://") if options["path"].startswith("file:///") else options["path"]
         self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", A.TARGET)))
         self.per_task = int(options.get("filespertask", options.get("filesPerTask", 64)))
         self.limit = int(options.get("limit", N.MOST_BYTES))
 
     def partitions(self) -> list[Work]:
+        if self.paths is not None:
+            return [Work("whole", p) for p in self.paths] or [Work("none", "")]
         remote = http.is_remote(self.source)
         if not remote and os.path.isdir(self.source):
             files = A.folder_files(self.source)
@@ -62,9 +89,16 @@ class FilingsReader(DataSourceReader):
         runs = A.batches([e for e in wanted if e.size <= self.limit], self.range_bytes, max(A.MOST, 2 * self.range_bytes))
         return [*big, *(Work(N.ZIP, self.source, tuple(run)) for run in runs)] or [Work("none", self.source)]
 
-    def read(self, partition: Work) -> Iterator[tuple]:
+    def read(self, partition: Work) -> Iterator[pa.RecordBatch]:
+        return batched(self.rows(partition))
+
+    def rows(self, partition: Work) -> Iterator[tuple]:
         kind, source = partition.kind, partition.source
-        if kind == "error":
+        if kind == "whole":
+            one = FilingsReader({k: v for k, v in self.options.items() if k != "paths"} | {"path": source})
+            for work in one.partitions():
+                yield from one.rows(work)
+        elif kind == "error":
             yield source, None, partition.error, False
         elif kind == N.DIRECTORY:
             for path in partition.entries:
@@ -98,10 +132,12 @@ class Filings(DataSource):
         return FilingsReader(dict(self.options))
 
 
-def read_filings(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Members of a path or URL."""
+def read_filings(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """Members of a path or URL, or of many: a task reads one of these whole."""
     spark.dataSource.register(Filings)
-    return spark.read.format("filings").options(**options).load(path)
+    if isinstance(path, str):
+        return spark.read.format("filings").options(**options).load(path)
+    return spark.read.format("filings").options(**options, paths=json.dumps(path)).load()
 
 
 def read_binary_files(spark: SparkSession, path: str) -> DataFrame:

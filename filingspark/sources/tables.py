@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import itertools
 import os
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +46,37 @@ def read_other_reader(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in OTHER_READER), file.alias("source_file"))
 
 
+def read_other_reader_folders(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """read_other_reader's rows of all tables (.csv) right in some folders that all tasks reach. A task
+    lists and reads one folder, so that the driver holds the folders' names alone, however many tables
+    there are. Columns are found by name in each table."""
+    columns = [*OTHER_READER, "source_file"]
+
+    def table(path: str) -> Iterator[tuple]:
+        with open(path, newline="", encoding="utf-8-sig") as f:
+            rows = csv.reader(f)
+            header = next(rows, None)
+            if header is None:
+                return
+            missing = [c for c in OTHER_READER if c not in header]
+            if missing:
+                raise ValueError(f"{path}: no column {', '.join(missing)}")
+            places = [header.index(c) for c in OTHER_READER]
+            name = os.path.basename(path).removesuffix(".csv")
+            for row in rows:
+                if row:
+                    yield (*(row[i] if i < len(row) else "" for i in places), name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = (e.path for b in batches for folder in b.column("folder").to_pylist() for e in os.scandir(folder) if e.name.endswith(".csv"))
+        found = (row for path in paths for row in table(path))
+        while held := list(itertools.islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string()) for c in zip(*held)], names=columns)
+
+    places = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, len(folders)))
+    return places.mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
+
+
 # A CSV with line ends inside quotes is read whole by one task, so a part file has a bound.
 FILE_ROWS = 500_000
 

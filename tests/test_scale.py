@@ -1,11 +1,17 @@
 """Plans and steps whose cost must not grow past the input, or land on the driver or on one task."""
 
+import json
+
+import pytest
+
 from filingspark.operators import compare as C
 from filingspark.operators import taxonomy as X
+from filingspark.plans import containers
 from filingspark.plans import facts as plan_facts
 from filingspark.plans.facts import spread
 from filingspark.schemas import FACT
-from filingspark.sources import tables
+from filingspark.sources import datasource, tables
+from filingspark.sources.datasource import FilingsReader, read_filings
 
 
 def plan_of(df):
@@ -78,3 +84,35 @@ def test_fact_files_have_a_bound(spark, tmp_path, monkeypatch):
     assert tables.read_facts(spark, str(tmp_path / "f")).count() == 95
     tables.write_facts(facts, str(tmp_path / "one"), single=True)
     assert len(list((tmp_path / "one").glob("part-*"))) == 1
+
+
+def test_many_archives_are_read_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(containers, "ARCHIVE_BYTES", 2000)
+    members = spark.createDataFrame([(f"f{i:03}.html", b"<html/>" * 100) for i in range(50)], "name string, content binary").coalesce(1)
+    paths = containers._written(members, containers._zip, ".zip")
+    assert len(paths) == 17
+    reader = FilingsReader({"paths": json.dumps(paths)})
+    assert [(w.kind, w.source, w.entries) for w in reader.partitions()] == [("whole", p, ()) for p in paths]
+    got = read_filings(spark, paths)
+    assert sorted((r.source_file, bytes(r.content)) for r in got.collect()) == [(f"f{i:03}.html", b"<html/>" * 100) for i in range(50)]
+    assert read_filings(spark, []).count() == 0
+
+
+def test_rows_go_out_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(datasource, "BATCH_BYTES", 100)
+    rows = [("a", b"x" * 60, None, False), ("b", None, "broken", True), ("c", b"x" * 60, None, False), ("d", b"", None, None)]
+    out = list(datasource.batched(iter(rows)))
+    assert [b.num_rows for b in out] == [3, 1] and [tuple(r.values()) for b in out for r in b.to_pylist()] == rows
+
+
+def test_folders_of_another_readers_tables(spark, tmp_path):
+    tables_of = {"a/x.csv": 'Dec,Name,Value,End/Instant,Start\n0,core:A,"1,5 ""q""",2020-12-31,\n\n0,core:B\n', "a/y+ z.csv": "Start,Value,Name,End/Instant\ns,v,n,e,more\n", "b/none.csv": "", "b/not.txt": "x"}
+    for name, text in tables_of.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = tables.read_other_reader_folders(spark, [str(tmp_path / d) for d in "ab"])
+    assert got.columns == [*tables.OTHER_READER, "source_file"] and "FileScan" not in plan_of(got)
+    assert sorted(tuple(r) for r in got.collect()) == [("core:A", '1,5 "q"', "", "2020-12-31", "x"), ("core:B", "", "", "", "x"), ("n", "v", "s", "e", "y+ z")]
+    (tmp_path / "a/x.csv").write_text("Name,Value\n")
+    with pytest.raises(Exception, match="no column Start, End/Instant"):
+        got.collect()
