@@ -106,16 +106,23 @@ def _digits(c: Column, first: int) -> Column:
     return F.translate(c, "".join(chr(first + i) for i in range(10)), "0123456789")
 
 
+_MARK = "\x01"  # stands before what a pattern rewrote
+
+
+def _rewritten(text: Column, name: str, order: str) -> Column:
+    """The parts of a text that matches the pattern, else null: one pass of the pattern. A text that
+    itself begins with the mark matches no pattern."""
+    rewritten = F.regexp_replace(text, rf"\A{_patterns()[name]}\z", _MARK + _ORDERS[order])
+    return let(rewritten, lambda r: F.when(r.startswith(_MARK) & ~text.startswith(_MARK), F.substr(r, F.lit(2))))
+
+
 def date_parts(fmt: Column, text: Column) -> Column:
     """`year/month/day` as written, parts that the transform lacks empty; null if the text does not
     match or the transform is none of FORMATS. fmt: local name in lower case."""
-    patterns = _patterns()
-
     def rewrite(folded: Column) -> Column:
         out = None
         for (name, order), formats in FORMATS.items():
-            whole = rf"\A{patterns[name]}\z"
-            branch = F.when(folded.rlike(whole), F.regexp_replace(folded, whole, _ORDERS[order]))
+            branch = _rewritten(folded, name, order)
             out = F.when(fmt.isin(*formats), branch) if out is None else out.when(fmt.isin(*formats), branch)
         return out
 
@@ -127,8 +134,7 @@ def parts_of(fmt: str, text: Column) -> Column:
     """date_parts for a transform known beforehand: one pattern alone."""
     name, order = next(key for key, formats in FORMATS.items() if fmt in formats)
     folded = _digits(text, 0x0966) if fmt in DEVANAGARI else _digits(text, 0xFF10) if fmt in FULL_WIDTH else text
-    whole = rf"\A{_patterns()[name]}\z"
-    return F.when(folded.rlike(whole), F.regexp_replace(folded, whole, _ORDERS[order]))
+    return _rewritten(folded, name, order)
 
 
 def expand_year(y: Column) -> Column:

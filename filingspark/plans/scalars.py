@@ -101,8 +101,10 @@ _MONTHS_FR = ["janv", "févr", "mars", "avr", "mai", "juin", "juil", "août", "s
 
 def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every date transform of the registry on every order's day; digits of other scripts on even
-    orders where the transform folds them."""
-    day, even = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 2 == 0
+    orders where the transform folds them. A text is made and transformed once for each day on which
+    there are orders, of which there are as many as the calendar has, and joined to the orders."""
+    orders = _orders(spark, sf_dir).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    day, even = F.col("day"), F.col("even")
     digits = lambda c, first: F.translate(c, "0123456789", "".join(chr(first + i) for i in range(10)))
     shown = []
     for (pattern, order), names in FORMATS.items():
@@ -117,9 +119,12 @@ def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name in names:
             folded = digits(text, 0x0966) if name in DEVANAGARI else digits(text, 0xFF10) if name in FULL_WIDTH else text
             shown.append(F.struct(F.lit(name).alias("form"), parts_of(name, F.when(even, folded).otherwise(text)).alias("parts")))
-    rows = _orders(spark, sf_dir).select("o_orderkey", F.explode(F.array(*shown)).alias("x"))
-    value = iso_date(F.col("x.parts"))
-    return rows.select("o_orderkey", "x.form", value.alias("value"), value.isNull().alias("failed"))
+    # The transforms run on rows of one text each, dealt over all cores.
+    texts = orders.select("day", "even").distinct().repartition(spark.sparkContext.defaultParallelism, "day", "even").select("day", "even", F.explode(F.array(*shown)).alias("x"))
+    values = texts.select("day", "even", "x.form", iso_date(F.col("x.parts")).alias("value"))
+    of_day = values.groupBy("day", "even").agg(F.collect_list(F.struct("form", "value", F.col("value").isNull().alias("failed"))).alias("x"))
+    on = orders["day"].eqNullSafe(of_day["day"]) & orders["even"].eqNullSafe(of_day["even"])
+    return orders.join(of_day, on).select("o_orderkey", F.inline("x"))
 
 
 def date_transform_partial(spark: SparkSession, sf_dir: str) -> DataFrame:

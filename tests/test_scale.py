@@ -3,10 +3,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from filingspark.functions.dates import parts_of
 from filingspark.operators import compare as C
 from filingspark.operators import taxonomy as X
-from filingspark.plans import containers
+from filingspark.plans import containers, scalars
 from filingspark.plans import facts as plan_facts
 from filingspark.plans.facts import spread
 from filingspark.schemas import FACT
@@ -116,3 +118,14 @@ def test_folders_of_another_readers_tables(spark, tmp_path):
     (tmp_path / "a/x.csv").write_text("Name,Value\n")
     with pytest.raises(Exception, match="no column Start, End/Instant"):
         got.collect()
+
+
+def test_dates_are_transformed_once_a_day(spark):
+    got = scalars.date_formats(spark, "/root/testdata/sf0.001")
+    assert "Join" in plan_of(got)  # of the orders with the days' values
+    assert got.count() == 44 * spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_a_text_that_no_pattern_matches_has_no_parts(spark):
+    texts = spark.createDataFrame([("1/2/2020",), ("\x011/2/2020",), ("\x012020/2/1",), ("1/2",), (None,)], "t string")
+    assert [r.p for r in texts.select(parts_of("dateslasheu", F.col("t")).alias("p")).collect()] == ["2020/2/1", None, None, None, None]
