@@ -274,33 +274,45 @@ def oracle_only_must(cell: DataFrame) -> DataFrame:
 
 
 def per_file(files: DataFrame, oracle: DataFrame, own: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
-    """Counts per file of rows, pairs, leftovers and mismatches; files without any have zeros.
-    Mismatches are counted inside each pair's row, so cells are not exploded. kinds: how each column
-    counts."""
+    """Counts per file of rows, pairs, leftovers and mismatches; files without any have zeros. kinds:
+    how each column counts. Each side is computed once and dealt by file with the other; the rows of
+    a file, as many as it has periods, meet in arrays, so neither rows nor cells are exploded."""
     kinds = kinds or {r["column_name"]: r["kind"] for r in fixed_values.rows(fixed_values.COMPARE_SPEC)}
-    paired = paired_rows(oracle, own)
-
-    def mismatches(kind: str) -> Column:
-        columns = [c for c in COMPARED if kinds.get(c) == kind]
-        pairs = F.array(*(F.struct(F.col(f"o_{c}").cast("string").alias("o"), F.col(f"e_{c}").cast("string").alias("e")) for c in columns))
-        return F.size(F.filter(pairs, lambda x: _differs(F.lit(kind), x["o"], x["e"]))) if columns else F.lit(0)
-
-    both = F.col("has_oracle") & F.col("has_extract")
-    must_values = F.exists(F.array(*(F.col(f"o_{c}").cast("string") for c in COMPARED if kinds.get(c) == "must")), lambda v: ~soft.empty_value(v))
-    only = F.col("has_oracle") & ~F.col("has_extract")
-    pair = paired.groupBy("source_file").agg(
-        F.count_if(both).alias("paired_rows"),
-        F.count_if(only).alias("oracle_only_rows"),
-        F.count_if(F.col("has_extract") & ~F.col("has_oracle")).alias("extract_only_rows"),
-        F.sum(F.when(both, mismatches("must")).otherwise(0)).alias("must_mismatches"),
-        F.sum(F.when(both, mismatches("observe")).otherwise(0)).alias("observe_mismatches"),
-        F.count_distinct(F.when(only & must_values, F.struct(F.coalesce("o_period_start", "e_period_start"), F.coalesce("o_period_end", "e_period_end")))).alias("oracle_only_must_rows"),
-    )
-    count = lambda df, name: df.groupBy("source_file").agg(F.count(F.lit(1)).alias(name))
-    out = files.select("source_file").distinct()
-    for part in (count(oracle, "oracle_rows"), count(own, "extract_rows"), pair):
-        out = out.join(part, "source_file", "left")
-    return out.select("source_file", *(F.coalesce(c, F.lit(0)).alias(c) for c in out.columns if c != "source_file"))
+    columns = {kind: [c for c in COMPARED if kinds.get(c) == kind] for kind in ("must", "observe")}
+    known = {True: ("companies_house_registered_number", "period_start", "period_end", "company_id"), False: ("company_id", "period_start", "period_end")}
+
+    def rows(df: DataFrame, is_oracle: bool) -> DataFrame:
+        texts = lambda kind: F.array(*(F.col(c).cast("string") for c in columns[kind])).cast("array<string>").alias(kind)
+        has = reduce(lambda x, y: x | y, (F.col(c).isNotNull() for c in known[is_oracle]))
+        return df.select("source_file", F.lit(is_oracle).alias("_o"), F.struct("period_start", "period_end", has.alias("known"), texts("must"), texts("observe")).alias("_row"))
+
+    o, e = rows(oracle, True), rows(own, False)
+    named = files.select("source_file").distinct().select("source_file", F.lit(None).cast("boolean").alias("_o"), F.lit(None).cast(o.schema["_row"].dataType).alias("_row"))
+    side = lambda own_side, name: F.collect_list(F.when(own_side, F.col("_row"))).alias(name)
+    met = o.unionByName(e).unionByName(named).repartition("source_file").groupBy("source_file").agg(F.bool_or(F.col("_o").isNull()).alias("_named"), side(F.col("_o"), "o"), side(~F.col("_o"), "e")).where("_named")
+
+    same_period = lambda x, y: x["period_start"].eqNullSafe(y["period_start"]) & x["period_end"].eqNullSafe(y["period_end"])
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    without = lambda a, b: F.filter(a, lambda x: ~F.exists(b, lambda y: same_period(x, y)))
+    met = met.select("source_file", F.size("o").alias("oracle_rows"), F.size("e").alias("extract_rows"),
+        F.flatten(F.transform("o", lambda x: F.transform(F.filter("e", lambda y: same_period(x, y)), lambda y: pair(x, y)))).alias("pairs"),
+        without("o", "e").alias("o_alone"), without("e", "o").alias("e_alone"))
+
+    def mismatches(kind: str, p: Column) -> Column:
+        return F.size(F.filter(F.arrays_zip(p["x"][kind].alias("o"), p["y"][kind].alias("e")), lambda c: _differs(F.lit(kind), c["o"], c["e"]))) if columns[kind] else F.lit(0)
+
+    both = F.filter("pairs", lambda p: p["x"]["known"] & p["y"]["known"])
+    oracle_only = F.concat(F.transform(F.filter("pairs", lambda p: p["x"]["known"] & ~p["y"]["known"]), lambda p: p["x"]), F.filter("o_alone", lambda x: x["known"]))
+    extract_only = F.size(F.filter("pairs", lambda p: p["y"]["known"] & ~p["x"]["known"])) + F.size(F.filter("e_alone", lambda y: y["known"]))
+    must = F.filter(oracle_only, lambda x: F.exists(x["must"], lambda v: ~soft.empty_value(v)))
+    total = lambda kind: F.aggregate(both, F.lit(0).cast("long"), lambda n, p: n + mismatches(kind, p))
+    count = lambda c, name: c.cast("long").alias(name)
+    return met.select(
+        "source_file", count(F.col("oracle_rows"), "oracle_rows"), count(F.col("extract_rows"), "extract_rows"),
+        count(F.size(both), "paired_rows"), count(F.size(oracle_only), "oracle_only_rows"), count(extract_only, "extract_only_rows"),
+        count(total("must"), "must_mismatches"), count(total("observe"), "observe_mismatches"),
+        count(F.size(F.array_distinct(F.transform(must, lambda x: F.struct(x["period_start"], x["period_end"])))), "oracle_only_must_rows"),
+    )
 
 
 def totals(by_file: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Plans and steps whose cost must not grow past the input, or land on the driver or on one task."""
 
+import datetime
 import json
 
 import pytest
@@ -129,3 +130,21 @@ def test_dates_are_transformed_once_a_day(spark):
 def test_a_text_that_no_pattern_matches_has_no_parts(spark):
     texts = spark.createDataFrame([("1/2/2020",), ("\x011/2/2020",), ("\x012020/2/1",), ("1/2",), (None,)], "t string")
     assert [r.p for r in texts.select(parts_of("dateslasheu", F.col("t")).alias("p")).collect()] == ["2020/2/1", None, None, None, None]
+
+
+def test_each_side_of_per_file_is_computed_once(spark):
+    names = ["source_file", *C.COMPARED, "period_start", "period_end"]
+    kinds = {c: "string" for c in names} | {"period_start": "date", "period_end": "date"}
+    day = datetime.date(2020, 1, 1)
+    wide = lambda *rows: spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
+    row = lambda f, d, **kw: {"source_file": f, "period_end": d, "company_id": "1", **kw}
+    column = C.COMPARED[-1]
+    oracle = wide(row("f", day, **{column: "1"}), row("f", day, **{column: "2"}), row("f", None, **{column: "3"}), row("gone", day))
+    own = wide(row("f", day, **{column: "1"}), {"source_file": "f"})
+    files = spark.createDataFrame([("f",), ("f",), ("none",)], "source_file string")
+    got = C.per_file(files, oracle, own, {column: "must"})
+    assert "Join" not in plan_of(got)
+    found = {r.source_file: tuple(r)[1:] for r in got.collect()}
+    # of three rows of the oracle two meet the dated row, one of them with another value; the row without
+    # a period meets one that is not known, so it stands alone
+    assert found == {"f": (3, 2, 2, 1, 0, 1, 0, 1), "none": (0,) * 8}
