@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from filingspark.functions.dates import parts_of
 from filingspark.operators import compare as C
+from filingspark.operators import parser
 from filingspark.operators import taxonomy as X
 from filingspark.plans import containers, scalars
 from filingspark.plans import facts as plan_facts
@@ -148,3 +149,14 @@ def test_each_side_of_per_file_is_computed_once(spark):
     # of three rows of the oracle two meet the dated row, one of them with another value; the row without
     # a period meets one that is not known, so it stands alone
     assert found == {"f": (3, 2, 2, 1, 0, 1, 0, 1), "none": (0,) * 8}
+
+
+def test_undeclared_entities_do_not_need_the_tolerant_reader():
+    head = b'<!DOCTYPE html><html xmlns:ix="http://www.xbrl.org/2013/inlineXBRL" xmlns:c="urn:c"><body title="&nbsp;">'
+    fact = lambda text, note=b"": b"<p>&pound;<b>&nosuch;</b></p><ix:nonNumeric name='c:A' contextRef='" + note + b"'>" + text + b"</ix:nonNumeric></body></html>"
+    for text in (b"a&nbsp;b", b"&nosuch; &amp;amp; &#163;&pound;&alefsym;", b"<![CDATA[&nbsp;]]>&Eacute;\r\n&eacute;", b"<!-- &nbsp; -->x&a.b-c;"):
+        for note in (b"", b"&nbsp;&lt;&x;"):
+            found = parser.read_well_formed(head + fact(text, note))
+            assert found is not None and found == parser.read_tolerant(head + fact(text, note))
+    for broken in (b"&nbsp", b"&;", b"&1;", b"& x"):
+        assert parser.read_well_formed(head + fact(broken)) is None
