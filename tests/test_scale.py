@@ -160,3 +160,9 @@ def test_undeclared_entities_do_not_need_the_tolerant_reader():
             assert found is not None and found == parser.read_tolerant(head + fact(text, note))
     for broken in (b"&nbsp", b"&;", b"&1;", b"& x"):
         assert parser.read_well_formed(head + fact(broken)) is None
+
+
+def test_agreement_does_not_broadcast_facts(spark):
+    frame = lambda *files: spark.createDataFrame([("", "", "A", "1", "", "", "", f, "") for f in files], FACT)
+    got = C.agreement({"dir": frame("a"), "zip": frame("a")})
+    assert "LeftAnti" not in plan_of(got) and got.first().status == "ok: dir, zip agree"
